@@ -9,16 +9,26 @@ from chronoloom.llm.bpe import bpe_digest
 from chronoloom.llm.common import documents
 from chronoloom.llm.decontaminate import contamination_digest
 from chronoloom.llm.line_dedup import line_dedup_digest
+from chronoloom.llm.near_dedup import near_dedup_digest
+from chronoloom.llm.quality_rules import quality_rules_digest
 
 #: Folder of the public tokenizer files; executors have them at the same place.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
 BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup_digest(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark, sf_dir):
     return contamination_digest(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules_digest(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup_digest(documents(spark, sf_dir))
 
@@ -27,12 +37,35 @@ def op9_bpe(spark, sf_dir):
     return bpe_digest(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op7_line_dedup, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op6_quality_rules, op7_line_dedup, op9_bpe)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = {
+    "op2_near_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[p:p + 3], ' ') FOR p IN range(1, len(w) - 2)] END) AS s FROM d WHERE len(w) > 0
+), e AS (
+  SELECT rep, n, hash(unnest(s)) AS h FROM (SELECT min(doc_id) AS rep, len(k) AS n, k AS s FROM (SELECT doc_id, list_sort(s) AS k FROM s) GROUP BY k)
+), j AS (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.h = b.h AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), m AS (
+  SELECT s.doc_id, min(s.doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM s
+), l AS (SELECT a, b FROM j UNION SELECT b, a FROM j
+), r(x, y) AS (
+  SELECT DISTINCT rep, rep FROM m UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y
+), g AS (
+  SELECT doc_id, min(y) AS comp FROM m JOIN r ON r.x = m.rep GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, coalesce(comp, d.doc_id) AS component_id,
+       d.doc_id = coalesce(comp, d.doc_id) AS kept
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN g USING (doc_id)
+""",
     "op3_decontaminate": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
