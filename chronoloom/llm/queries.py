@@ -8,13 +8,22 @@ import os
 from chronoloom.llm.bpe import bpe_digest
 from chronoloom.llm.common import documents
 from chronoloom.llm.decontaminate import contamination_digest
+from chronoloom.llm.language_id import language_digest
 from chronoloom.llm.line_dedup import line_dedup_digest
+from chronoloom.llm.lm_score import lm_score_digest
 from chronoloom.llm.near_dedup import near_dedup_digest
+from chronoloom.llm.quality_classifier import quality_classifier_digest
 from chronoloom.llm.quality_rules import quality_rules_digest
+from chronoloom.llm.sentence_dedup import sentence_dedup_digest
 
 #: Folder of the public tokenizer files; executors have them at the same place.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
 BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+PIECES = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
+
+
+def op1_lm_score(spark, sf_dir):
+    return lm_score_digest(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -25,6 +34,14 @@ def op3_decontaminate(spark, sf_dir):
     return contamination_digest(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op4_sentence_dedup(spark, sf_dir):
+    return sentence_dedup_digest(documents(spark, sf_dir))
+
+
+def op5_quality_classifier(spark, sf_dir):
+    return quality_classifier_digest(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules_digest(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -37,7 +54,11 @@ def op9_bpe(spark, sf_dir):
     return bpe_digest(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op6_quality_rules, op7_line_dedup, op9_bpe)}
+def op10_language_id(spark, sf_dir):
+    return language_digest(documents(spark, sf_dir), PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_decontaminate, op4_sentence_dedup, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op9_bpe, op10_language_id)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
