@@ -15,6 +15,8 @@ from chronoloom.llm.near_dedup import near_dedup_digest
 from chronoloom.llm.quality_classifier import quality_classifier_digest
 from chronoloom.llm.quality_rules import quality_rules_digest
 from chronoloom.llm.sentence_dedup import sentence_dedup_digest
+from chronoloom.llm.warc_revisits import ORACLE_SQL as _WARC_SQL
+from chronoloom.llm.warc_revisits import op8_warc_revisits
 
 #: Folder of the public tokenizer files; executors have them at the same place.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
@@ -58,7 +60,7 @@ def op10_language_id(spark, sf_dir):
     return language_digest(documents(spark, sf_dir), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_decontaminate, op4_sentence_dedup, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op9_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_decontaminate, op4_sentence_dedup, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op8_warc_revisits, op9_bpe, op10_language_id)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -132,4 +134,5 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY rid
 """,
+    "op8_warc_revisits": _WARC_SQL,
 }
