@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from chronoloom.llm.common import schema_plus, small_batches
 
 #: The pattern that the ByteLevel pre-tokenizer stands for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 NONE = 1 << 62
 _POSITION = 32
 
@@ -45,28 +46,30 @@ def byte_letters() -> dict[str, int]:
 class PairTree:
     """Minimum of ``rank << 32 | position`` over the live adjacent pairs of one piece."""
 
+    __slots__ = ("nodes", "size")
+
     def __init__(self, keys: list[int]):
-        size = 1
-        while size < len(keys):
-            size *= 2
+        size = 1 << (len(keys) - 1).bit_length()
         self.size = size
-        self.nodes = nodes = [NONE] * size + keys + [NONE] * (size - len(keys))
-        for i in range(size - 1, 0, -1):
-            a, b = nodes[2 * i], nodes[2 * i + 1]
-            nodes[i] = a if a < b else b
+        nodes = keys + [NONE] * (size - len(keys))
+        level = nodes
+        while len(level) > 1:  # parents in front of their children
+            level = list(map(min, level[::2], level[1::2]))
+            nodes = level + nodes
+        self.nodes = [NONE, *nodes]
 
     def set(self, position: int, key: int) -> None:
         nodes = self.nodes
         i = position + self.size
         nodes[i] = key
-        i >>= 1
-        while i:
-            a, b = nodes[2 * i], nodes[2 * i + 1]
-            least = a if a < b else b
-            if nodes[i] == least:
-                return  # nothing changes further up
-            nodes[i] = least
+        while i > 1:
+            other = nodes[i ^ 1]
+            if other < key:
+                key = other
             i >>= 1
+            if nodes[i] == key:
+                return  # nothing changes further up
+            nodes[i] = key
 
     def root(self) -> int:
         return self.nodes[1]
@@ -102,27 +105,31 @@ class ByteBpe:
         if n < 2:
             return ids
         get = self.merges.get
-        tree = PairTree([x[0] | i if (x := get((ids[i], ids[i + 1]))) else NONE for i in range(n - 1)])
+        tree = PairTree([NONE if (x := get(pair)) is None else x[0] | i for i, pair in enumerate(zip(ids, ids[1:]))])  # noqa: B905
+        if tree.nodes[1] == NONE:
+            return ids
+        nodes, put, size = tree.nodes, tree.set, tree.size
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (least := tree.root()) < NONE:
+        while (least := nodes[1]) < NONE:
             i = least & 0xFFFFFFFF
             j = after[i]
-            ids[i] = get((ids[i], ids[j]))[1]
+            merged = ids[i] = get((ids[i], ids[j]))[1]
             ids[j] = -1
-            k = after[j]
-            after[i] = k
-            if j < n - 1:
-                tree.set(j, NONE)
+            after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                x = get((ids[i], ids[k]))
-                tree.set(i, x[0] | i if x else NONE)
+                if nodes[j + size] < NONE:
+                    put(j, NONE)
+                x = get((merged, ids[k]))
+                put(i, NONE if x is None else x[0] | i)
             else:
-                tree.set(i, NONE)
+                put(i, NONE)
             h = before[i]
             if h >= 0:
-                x = get((ids[h], ids[i]))
-                tree.set(h, x[0] | h if x else NONE)
+                x = get((ids[h], merged))
+                key = NONE if x is None else x[0] | h
+                if nodes[h + size] != key:
+                    put(h, key)
         return [x for x in ids if x >= 0]
 
     def encode_packed(self, text: str) -> bytes:
@@ -152,7 +159,8 @@ class _Cache(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.bpe.merge(piece.encode()), "<u4").tobytes()
+        ids = self.bpe.merge(piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self[piece] = packed
         return packed
