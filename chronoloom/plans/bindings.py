@@ -93,3 +93,72 @@ val_samples AS (SELECT data_source, uid, sample_no, 'reward' AS var, CAST(qualit
 
 def with_sql(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names)
+
+
+def windows_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of 168 and targets of 24 hours, cut every 24 hours."""
+    from chronoloom.operators.forecasts import make_windows
+
+    return make_windows(series_hour(spark, sf_dir), 168, 24, 24)
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.operators.forecasts import windows_as_series
+
+    return windows_as_series(windows_hour(spark, sf_dir), "context")
+
+
+def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, truth_text): stamped lines of the targets."""
+    from chronoloom.operators.forecasts import windows_as_series
+    from chronoloom.sources.sinks import format_forecast_text
+
+    return format_forecast_text(windows_as_series(windows_hour(spark, sf_dir), "target"), "value").withColumnRenamed("text", "truth_text")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, answer_text): seasonal forecasts in five dresses, by window number.
+
+    0: tagged; 1: without tags; 2: tagged, 12 lines; 3: tagged table rows; 4: tagged copy of the context's end.
+    """
+    from chronoloom.operators.forecasts import forecast_seasonal_naive
+
+    ctx = contexts(spark, sf_dir)
+    stamped = lambda v: F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.format_string("%.3f", v))
+    kind = F.split("series_id", "#")[1].cast("int") % 5
+    made = forecast_seasonal_naive(ctx, 24).withColumn("kind", kind).filter("kind <> 4 and not (kind = 2 and step >= 12)")
+    line = F.when(F.col("kind") == 3, F.format_string("| %d | %.3f |", "step", "yhat")).otherwise(stamped(F.col("yhat")))
+    tail = ctx.withColumn("kind", kind).filter("kind = 4 and pos >= 144")
+    rows = made.select("series_id", "kind", F.col("step").alias("k"), line.alias("line")).unionByName(tail.select("series_id", "kind", (F.col("pos") - 144).alias("k"), stamped(F.col("value")).alias("line")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda p: p["line"]), "\n")
+    joined = rows.groupBy("series_id", "kind").agg(text.alias("t"))
+    return joined.select("series_id", F.when(F.col("kind") == 1, F.col("t")).otherwise(F.concat(F.lit("Done.\n<answer>\n"), "t", F.lit("\n</answer>"))).alias("answer_text"))
+
+
+def agent_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with tool calls by rule, and answers in every third step."""
+    call = lambda name, args: F.struct(F.lit(name).alias("name"), F.lit(args).alias("arguments"))
+    feature, predict = call("extract_data_quality", '{"model_name": null}'), call("predict_time_series", '{"model_name": " ARIMA "}')
+    odd = call("predict_time_series", '{"model_name": "prophet"')
+    t, c = F.col("trajectory_id").cast("bigint"), F.col("step_index") % 3
+    none = F.slice(F.array(feature), 1, 0)
+    calls = F.when((c == 0) & (t % 4 != 3), F.array(feature)).when((c == 1) & (t % 5 == 0), F.array(feature, predict)).when((c == 1) & (t % 5 == 1), F.array(odd, feature)).when(c == 1, F.array(predict)).otherwise(none)
+    text = F.when(c == 2, F.concat(F.lit("so <answer> "), F.when(t % 7 == 0, "").otherwise(F.col("response_text")), F.lit(" </answer>"))).otherwise(F.col("response_text"))
+    return steps(spark, sf_dir).withColumn("tool_calls", calls).withColumn("response_text", text).withColumn("is_copy", t % 6 == 0)
+
+
+SQL |= {
+    "windows": """ws AS (SELECT h.series_id, w.w AS window_no, h.pos - w.w * 24 AS offs, ts, value FROM series_hour h JOIN (SELECT unnest(range(23)) AS w) w ON h.pos BETWEEN w.w * 24 AND w.w * 24 + 191),
+ctx AS (SELECT series_id || '#' || window_no AS series_id, CAST(offs AS INTEGER) AS pos, ts, value FROM ws WHERE offs < 168),
+tgt AS (SELECT series_id || '#' || window_no AS series_id, CAST(offs - 168 AS INTEGER) AS pos, ts, value FROM ws WHERE offs >= 168),
+fc AS (SELECT series_id, CAST(pos - 144 AS INTEGER) AS step, ts + INTERVAL 24 HOUR AS ts, value AS yhat FROM ctx WHERE pos >= 144)""",
+    "texts": r"""truths AS (SELECT series_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || printf('%.3f', value), chr(10) ORDER BY pos) AS truth_text FROM tgt GROUP BY 1),
+al AS (SELECT series_id, CAST(split_part(series_id, '#', 2) AS INTEGER) % 5 AS kind, step AS k, ts, yhat AS v FROM fc
+  UNION ALL SELECT series_id, 4, pos - 144, ts, value FROM ctx WHERE pos >= 144 AND CAST(split_part(series_id, '#', 2) AS INTEGER) % 5 = 4),
+ax AS (SELECT a.series_id, a.kind, string_agg(CASE WHEN a.kind = 3 THEN '| ' || k || ' | ' || printf('%.3f', v) || ' |' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || printf('%.3f', v) END, chr(10) ORDER BY k) AS t
+  FROM al a WHERE NOT (kind = 2 AND k >= 12) AND NOT (kind = 4 AND ts >= (SELECT max(c.ts) + INTERVAL 1 HOUR FROM ctx c WHERE c.series_id = a.series_id)) GROUP BY 1, 2),
+answers AS (SELECT series_id, CASE WHEN kind = 1 THEN t ELSE 'Done.' || chr(10) || '<answer>' || chr(10) || t || chr(10) || '</answer>' END AS answer_text FROM ax)""",
+    "agent_steps": r"""agent_steps AS (SELECT * REPLACE (CASE WHEN step_index % 3 = 2 THEN 'so <answer> ' || CASE WHEN CAST(trajectory_id AS BIGINT) % 7 = 0 THEN '' ELSE response_text END || ' </answer>' ELSE response_text END AS response_text),
+    CASE WHEN step_index % 3 = 0 AND CAST(trajectory_id AS BIGINT) % 4 <> 3 THEN ['F'] WHEN step_index % 3 = 1 AND CAST(trajectory_id AS BIGINT) % 5 = 0 THEN ['F', 'P'] WHEN step_index % 3 = 1 AND CAST(trajectory_id AS BIGINT) % 5 = 1 THEN ['X', 'F']
+      WHEN step_index % 3 = 1 THEN ['P'] ELSE CAST([] AS VARCHAR[]) END AS calls, CAST(trajectory_id AS BIGINT) % 6 = 0 AS is_copy FROM steps)""",
+}

@@ -15,16 +15,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def read_rollouts(spark: SparkSession, path: str, max_samples: int = -1, max_prompt_tokens: int | None = None, order_by: str | None = None, tokens_col: str = "prompt_ids") -> DataFrame:
+def read_rollouts(spark: SparkSession, path: str, max_samples: int = -1, max_prompt_tokens: int | None = None, order_by: tuple[str, ...] = (), length: Column | None = None) -> DataFrame:
     """Prompt files (Parquet, or JSON by suffix): prompts over the limit dropped, then the first ones kept.
 
-    The files carry no order of their own, so ``order_by`` names the key that says what first means.
+    The files carry no order of their own, so ``order_by`` names the keys that say what first means.
+    ``length`` counts the tokens of a prompt, by default those of prompt_ids.
     """
     df = spark.read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.parquet(path)
     if max_prompt_tokens is not None:
-        df = df.filter(F.size(tokens_col) <= max_prompt_tokens)
+        df = df.filter((F.size("prompt_ids") if length is None else length) <= max_prompt_tokens)
     if max_samples >= 0:
-        df = (df.orderBy(order_by) if order_by else df).limit(max_samples)
+        df = (df.orderBy(*order_by) if order_by else df).limit(max_samples)
     return df
 
 
