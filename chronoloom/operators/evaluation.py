@@ -37,11 +37,11 @@ def bootstrap_sizes(n: Column) -> Column:
 def _ranked(samples: DataFrame) -> DataFrame:
     """Numeric samples with their number (from 0, by sample_no) and the group's count."""
     x = _numbers(samples).select(*KEYS, "sample_no", "num")
-    return x.withColumn("i", F.row_number().over(Window.partitionBy(*KEYS).orderBy("sample_no")) - 1).withColumn("N", F.count("*").over(Window.partitionBy(*KEYS)).cast("int"))
+    return x.withColumn("i", F.row_number().over(Window.partitionBy(*KEYS).orderBy("sample_no")) - 1).withColumn("total", F.count("*").over(Window.partitionBy(*KEYS)).cast("int"))
 
 
 def draw_table(spark: SparkSession, counts: list[int], n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """(N, n, boot, draw, i): the resampling draws, which depend on the numbers of samples only."""
+    """(total, n, boot, draw, i): the resampling draws, which depend on the numbers of samples only."""
     rows = []
     for total in counts:
         sizes = [2**k for k in range(1, 31) if 2**k < total] + ([total] if total > 1 else [])
@@ -49,8 +49,8 @@ def draw_table(spark: SparkSession, counts: list[int], n_boot: int = 1000, seed:
             rng = np.random.default_rng((seed, total, n))
             picks = rng.integers(0, total, size=(n_boot, n))
             rows.append((total, n, picks.ravel().tolist()))
-    made = spark.createDataFrame(rows, "N int, n int, picks array<int>") if rows else spark.createDataFrame([], "N int, n int, picks array<int>")
-    return made.select("N", "n", F.posexplode("picks").alias("at", "i")).select("N", "n", F.floor(F.col("at") / F.col("n")).cast("int").alias("boot"), (F.col("at") % F.col("n")).alias("draw"), "i")
+    made = spark.createDataFrame(rows, "total int, n int, picks array<int>") if rows else spark.createDataFrame([], "total int, n int, picks array<int>")
+    return made.select("total", "n", F.posexplode("picks").alias("at", "i")).select("total", "n", F.floor(F.col("at") / F.col("n")).cast("int").alias("boot"), (F.col("at") % F.col("n")).alias("draw"), "i")
 
 
 #: Groups of more samples than this get the exact values only; draws grow with the largest group.
@@ -59,14 +59,14 @@ MOST_SAMPLES = 512
 
 def _draws(samples: DataFrame, n_boot: int, seed: int) -> tuple[DataFrame, DataFrame]:
     ranked = _ranked(samples)
-    counts = sorted(r[0] for r in ranked.select("N").filter(F.col("N").between(2, MOST_SAMPLES)).distinct().collect())
+    counts = sorted(r[0] for r in ranked.select("total").filter(F.col("total").between(2, MOST_SAMPLES)).distinct().collect())
     return ranked, draw_table(samples.sparkSession, counts, n_boot, seed)
 
 
 def bootstrap_best_worst(samples: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, metric, value): mean and deviation of the best and the worst of n draws with replacement."""
     ranked, draws = _draws(samples, n_boot, seed)
-    each = ranked.join(draws, ["N", "i"]).groupBy(*KEYS, "n", "boot").agg(F.max("num").alias("best"), F.min("num").alias("worst"))
+    each = ranked.join(draws, ["total", "i"]).groupBy(*KEYS, "n", "boot").agg(F.max("num").alias("best"), F.min("num").alias("worst"))
     g = each.groupBy(*KEYS, "n").agg(F.avg("best").alias("bm"), F.stddev_pop("best").alias("bs"), F.avg("worst").alias("wm"), F.stddev_pop("worst").alias("ws"))
     names = {"concat('best@', n, '/mean')": F.col("bm"), "concat('best@', n, '/std')": F.col("bs"), "concat('worst@', n, '/mean')": F.col("wm"), "concat('worst@', n, '/std')": F.col("ws")}
     return long_metrics(g, KEYS, names)
@@ -75,9 +75,9 @@ def bootstrap_best_worst(samples: DataFrame, n_boot: int = 1000, seed: int = 42)
 def exact_best_worst(samples: DataFrame) -> DataFrame:
     """(keys, n, best, worst): the expectations that the bootstrap estimates, in closed form."""
     x = _ranked(samples)
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("num", "sample_no"))).withColumn("n", F.explode(bootstrap_sizes(F.col("N"))))
-    up = F.pow(F.col("k") / F.col("N"), F.col("n")) - F.pow((F.col("k") - 1) / F.col("N"), F.col("n"))
-    down = F.pow((F.col("N") - F.col("k") + 1) / F.col("N"), F.col("n")) - F.pow((F.col("N") - F.col("k")) / F.col("N"), F.col("n"))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("num", "sample_no"))).withColumn("n", F.explode(bootstrap_sizes(F.col("total"))))
+    up = F.pow(F.col("k") / F.col("total"), F.col("n")) - F.pow((F.col("k") - 1) / F.col("total"), F.col("n"))
+    down = F.pow((F.col("total") - F.col("k") + 1) / F.col("total"), F.col("n")) - F.pow((F.col("total") - F.col("k")) / F.col("total"), F.col("n"))
     return x.groupBy(*KEYS, "n").agg(F.sum(F.col("num") * up).alias("best"), F.sum(F.col("num") * down).alias("worst"))
 
 
@@ -86,7 +86,7 @@ def bootstrap_majority(samples: DataFrame, pred_var: str = "pred", n_boot: int =
     ones, that drawn first) where it was drawn first; mean and deviation over resamples."""
     preds = samples.filter(F.col("var") == pred_var).select("data_source", "uid", "sample_no", F.col("str").alias("pred")).filter("pred is not null")
     ranked, draws = _draws(samples, n_boot, seed)
-    x = ranked.join(preds, ["data_source", "uid", "sample_no"]).join(draws, ["N", "i"])
+    x = ranked.join(preds, ["data_source", "uid", "sample_no"]).join(draws, ["total", "i"])
     votes = x.groupBy(*KEYS, "n", "boot", "pred").agg(F.count("*").alias("c"), F.min("draw").alias("first"), F.min_by("num", "draw").alias("num"))
     best = votes.groupBy(*KEYS, "n", "boot").agg(F.max(F.struct("c", (-F.col("first")).alias("f"), "num")).alias("b"))
     g = best.groupBy(*KEYS, "n").agg(F.avg("b.num").alias("m"), F.stddev_pop("b.num").alias("s"))
