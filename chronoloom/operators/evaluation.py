@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.rows import response_length
@@ -40,27 +43,30 @@ def _ranked(samples: DataFrame) -> DataFrame:
     return x.withColumn("i", F.row_number().over(Window.partitionBy(*KEYS).orderBy("sample_no")) - 1).withColumn("total", F.count("*").over(Window.partitionBy(*KEYS)).cast("int"))
 
 
-def draw_table(spark: SparkSession, counts: list[int], n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """(total, n, boot, draw, i): the resampling draws, which depend on the numbers of samples only."""
-    rows = []
-    for total in counts:
-        sizes = [2**k for k in range(1, 31) if 2**k < total] + ([total] if total > 1 else [])
-        for n in sizes:
-            rng = np.random.default_rng((seed, total, n))
-            picks = rng.integers(0, total, size=(n_boot, n))
-            rows.append((total, n, picks.ravel().tolist()))
-    made = spark.createDataFrame(rows, "total int, n int, picks array<int>") if rows else spark.createDataFrame([], "total int, n int, picks array<int>")
-    return made.select("total", "n", F.posexplode("picks").alias("at", "i")).select("total", "n", F.floor(F.col("at") / F.col("n")).cast("int").alias("boot"), (F.col("at") % F.col("n")).alias("draw"), "i")
+def draw_table(sizes: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """(total, n, boot, draw, i): resampling draws for every (total, n) of ``sizes``.
+
+    The generator starts anew for each pair, so draws depend on the two numbers only. They are made
+    where they are used, a few resamples at a time.
+    """
 
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for total, n in zip(pdf["total"].tolist(), pdf["n"].tolist(), strict=True):
+                rng = np.random.RandomState(seed)
+                block = max(1, 200_000 // n)
+                for low in range(0, n_boot, block):
+                    boots = range(low, min(n_boot, low + block))
+                    picks = np.concatenate([rng.randint(0, total, size=n) for _ in boots])
+                    yield pd.DataFrame({"total": total, "n": n, "boot": np.repeat(np.array(boots), n), "draw": np.tile(np.arange(n), len(boots)), "i": picks})
 
-#: Groups of more samples than this get the exact values only; draws grow with the largest group.
-MOST_SAMPLES = 512
+    return sizes.repartition("total", "n").mapInPandas(draw, "total int, n int, boot int, draw int, i int")
 
 
 def _draws(samples: DataFrame, n_boot: int, seed: int) -> tuple[DataFrame, DataFrame]:
     ranked = _ranked(samples)
-    counts = sorted(r[0] for r in ranked.select("total").filter(F.col("total").between(2, MOST_SAMPLES)).distinct().collect())
-    return ranked, draw_table(samples.sparkSession, counts, n_boot, seed)
+    sizes = ranked.select("total").distinct().select("total", F.explode(bootstrap_sizes(F.col("total"))).alias("n"))
+    return ranked, draw_table(sizes, n_boot, seed)
 
 
 def bootstrap_best_worst(samples: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
