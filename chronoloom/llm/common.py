@@ -52,3 +52,13 @@ def fold(column: str, modulus: int) -> Column:
 def schema_plus(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` with the columns of ``ddl`` after its own."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+#: Most ids that are broadcast (16 bytes each in a task's memory); more ids are joined by shuffling.
+BROADCAST_IDS = 2_000_000
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of ``docs`` whose key is in ``ids``; texts stay where they are if the ids are few enough."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")

@@ -51,6 +51,7 @@ class CuckooFilter:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> CuckooFilter:
+        keys = np.unique(keys)  # equal entries beyond two buckets' slots would never fit
         capacity = max(len(keys), 4)
         while True:
             made = cls(capacity)
