@@ -58,7 +58,11 @@ def schema_plus(df: DataFrame, ddl: str) -> T.StructType:
 BROADCAST_IDS = 2_000_000
 
 
+def hinted(ids: DataFrame) -> DataFrame:
+    """``ids`` to join with texts: broadcast if few enough, so that texts stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def rows_of(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """The rows of ``docs`` whose key is in ``ids``; texts stay where they are if the ids are few enough."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    """The rows of ``docs`` whose key is in ``ids``."""
+    return docs.join(hinted(ids), key, "left_semi")

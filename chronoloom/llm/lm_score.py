@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bytewise as bw
-from chronoloom.llm.common import small_batches, stash
+from chronoloom.llm.common import hinted, small_batches, stash
 
 UNIGRAM_BITS, BIGRAM_BITS = 18, 20
 L1, L2 = 0.9, 0.6
@@ -84,32 +84,39 @@ def partial_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "good").mapInArrow(scan, "kind int, chunk int, cells binary, background binary, target binary")
 
 
-def summed_counts(partial: DataFrame, groups: int = 1024) -> DataFrame:
-    """Dense counts per (kind, chunk), summed over ``groups`` groups of tasks and then over these.
+#: Tasks whose counts meet first, and groups of these that meet next.
+FAN_IN = (32, 256)
 
-    A task adds rows as they come and holds one total per (kind, chunk), of fixed number.
+
+def summed_counts(partial: DataFrame) -> DataFrame:
+    """Dense counts per (kind, chunk), summed over neighbouring tasks, then over their groups, then over all.
+
+    A task adds rows as they come and holds one total per (kind, chunk) and group.
     """
 
     def adder(count_type):
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals: dict[tuple[int, int], np.ndarray] = {}
+            totals: dict[tuple[int, int, int], np.ndarray] = {}
             for batch in batches:
-                for kind, chunk, cells, *both in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "cells", "background", "target")), strict=True):
-                    total = totals.setdefault((kind, chunk), np.zeros((2, 1 << CHUNK_BITS), np.int64))
+                for kind, chunk, g, cells, *both in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "g", "cells", "background", "target")), strict=True):
+                    total = totals.setdefault((kind, chunk, g), np.zeros((2, 1 << CHUNK_BITS), np.int64))
                     at = np.frombuffer(cells, np.uint16)
                     for k in (0, 1):
                         total[k, at] += np.frombuffer(both[k], count_type)
-            for (kind, chunk), total in totals.items():
+            for (kind, chunk, g), total in totals.items():
                 cells = np.flatnonzero(total[0])
-                columns = [pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (cells.astype(np.uint16), total[0, cells], total[1, cells]))]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "cells", "background", "target"])
+                columns = [*(pa.array([x], pa.int32()) for x in (kind, chunk, g)), *(pa.array([x.tobytes()], pa.binary()) for x in (cells.astype(np.uint16), total[0, cells], total[1, cells]))]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "g", "cells", "background", "target"])
 
         return add
 
-    schema = "kind int, chunk int, cells binary, background binary, target binary"
+    schema = "kind int, chunk int, g int, cells binary, background binary, target binary"
     small_batches(partial.sparkSession, 100)
-    first = partial.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition("kind", "chunk", "g").drop("g")
-    return first.mapInArrow(adder(np.uint32), schema).repartition("kind", "chunk").mapInArrow(adder(np.int64), schema)
+    rows, count_type = partial.withColumn("g", F.spark_partition_id()), np.uint32
+    for fan_in in FAN_IN:
+        rows = rows.withColumn("g", F.floor(F.col("g") / fan_in).cast("int")).repartition("kind", "chunk", "g")
+        rows, count_type = rows.select("kind", "chunk", "g", "cells", "background", "target").mapInArrow(adder(count_type), schema), np.int64
+    return rows.withColumn("g", F.lit(0)).repartition("kind", "chunk").mapInArrow(adder(count_type), schema).drop("g")
 
 
 class Models:
@@ -166,7 +173,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     """Scores of all ``docs``; those whose id is in ``target_ids`` (column id) are the target text."""
     inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     marks = target_ids.select(F.col("id").cast("bigint").alias("__target")).filter("__target is not null").distinct()
-    marked = inner.join(marks, inner["id"] == marks["__target"], "left").select("text", F.col("__target").isNotNull().alias("good"))
+    marked = inner.join(hinted(stash(marks, "target")), F.col("id") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("good"))
     return score_documents(inner, fit_models(marked))
 
 
