@@ -160,10 +160,9 @@ def data_metrics(steps: DataFrame) -> DataFrame:
 def explained_variance(steps: DataFrame) -> DataFrame:
     """(metric, value): 1 - var(returns - value) / (var(returns) + 1e-5) over response tokens."""
     x = steps.select(response_length().alias("k"), (F.col("returns") - F.col("value")).alias("e"), F.col("returns").alias("r")).filter("k > 0")
-    means = x.agg((F.sum(F.col("k") * F.col("e")) / F.sum("k")).alias("me"), (F.sum(F.col("k") * F.col("r")) / F.sum("k")).alias("mr"), F.sum("k").alias("n"))
-    both = x.crossJoin(F.broadcast(means))  # means is one row
-    var = lambda c, m: F.sum(F.col("k") * (F.col(c) - F.col(m)) ** 2) / (F.first("n") - 1)
-    return _melt(both.agg((1 - var("e", "me") / (var("r", "mr") + 1e-5)).alias("critic/vf_explained_var")))
+    n, me, mr = x.agg(F.sum("k"), F.sum(F.col("k") * F.col("e")) / F.sum("k"), F.sum(F.col("k") * F.col("r")) / F.sum("k")).first()
+    var = lambda c, m: F.try_divide(F.sum(F.col("k") * (F.col(c) - F.lit(m)) ** 2), F.lit((n or 1) - 1))
+    return _melt(x.agg((1 - var("e", me) / (var("r", mr) + 1e-5)).alias("critic/vf_explained_var")))
 
 
 def response_info(steps: DataFrame) -> DataFrame:
@@ -173,9 +172,9 @@ def response_info(steps: DataFrame) -> DataFrame:
 def timing_metrics(stage_times: DataFrame, steps: DataFrame) -> DataFrame:
     """(metric, value): seconds per stage, and milliseconds per token: of response tokens for gen, of all
     tokens for ref, values, adv, update_critic and update_actor."""
-    tokens = response_info(steps).agg(F.sum("response_length").alias("r"), F.sum(F.col("response_length") + F.col("prompt_length")).alias("t"))
-    x = stage_times.crossJoin(F.broadcast(tokens))  # tokens is one row
-    per = F.when(F.col("stage") == "gen", F.col("r")).when(F.col("stage").isin("ref", "values", "adv", "update_critic", "update_actor"), F.col("t"))
+    response, every = response_info(steps).agg(F.sum("response_length"), F.sum(F.col("response_length") + F.col("prompt_length"))).first()
+    x = stage_times
+    per = F.when(F.col("stage") == "gen", F.lit(response)).when(F.col("stage").isin("ref", "values", "adv", "update_critic", "update_actor"), F.lit(every))
     a = x.select(F.concat(F.lit("timing_s/"), "stage").alias("metric"), F.col("seconds").alias("value"))
     b = x.select(F.concat(F.lit("timing_per_token_ms/"), "stage").alias("metric"), F.try_divide(F.col("seconds") * 1000, per).alias("value")).filter("value is not null")
     return a.unionByName(b)

@@ -8,6 +8,8 @@ steps of one trajectory gather that trajectory.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +97,8 @@ def gae_advantage(steps: DataFrame, gamma: float = 1.0, lam: float = 1.0, whiten
     """Adds advantage and returns by generalised estimation over the steps of each trajectory.
 
     Missing step numbers count as zero reward and value up to the largest step number of all.
-    Whitening uses mean and variance over response tokens (Bessel-corrected, 1e-8 within the root).
+    Whitening uses mean and variance over response tokens (Bessel-corrected, 1e-8 within the root);
+    with fewer than two tokens in all there is none.
     """
     last = steps.agg(F.max("step_index")).first()[0]
     x = steps.withColumn("__score", step_score(steps)).withColumn("__v", F.coalesce("value", F.lit(0.0)))
@@ -112,10 +115,10 @@ def gae_advantage(steps: DataFrame, gamma: float = 1.0, lam: float = 1.0, whiten
     out = x.join(rows, ["trajectory_id", "step_index"]).withColumn("returns", F.col("advantage") + F.col("__v"))
     if whiten:
         n = response_length()
-        sums = out.agg(F.sum(n).alias("n"), (F.sum(n * F.col("advantage")) / F.sum(n)).alias("m"))
-        mean = out.crossJoin(F.broadcast(sums)).select("m", "n", response_length().alias("k"), "advantage")  # sums is one row
-        spread = mean.agg(F.first("m").alias("__m"), (F.sum(F.col("k") * (F.col("advantage") - F.col("m")) ** 2) / (F.first("n") - 1)).alias("__var"))
-        out = out.crossJoin(F.broadcast(spread)).withColumn("advantage", (F.col("advantage") - F.col("__m")) / F.sqrt(F.col("__var") + 1e-8)).drop("__m", "__var")
+        total, mean = out.agg(F.sum(n), F.sum(n * F.col("advantage")) / F.sum(n)).first()
+        if total and total > 1:
+            var = out.agg(F.sum(n * (F.col("advantage") - mean) ** 2) / (total - 1)).first()[0]
+            out = out.withColumn("advantage", (F.col("advantage") - mean) / math.sqrt(var + 1e-8))
     return out.drop("__score", "__v")
 
 
