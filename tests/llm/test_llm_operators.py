@@ -660,3 +660,18 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(n == len(t) for _, t, n in rows[4])
     assert frames[-1].count() == len(rows[4])
     assert sorted(map(tuple, cp.run(spark, sf_dir).collect())) == sorted(map(tuple, frames[-1].collect()))
+
+
+def test_pipeline_stages_take_odd_documents(spark, docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows and an empty table go through every stage."""
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    labels_of(docs).coalesce(1).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items_of(made_up()), "item_id bigint, text string").coalesce(1).write.parquet(f"{sf}/benchmark.parquet")
+    for table in (docs, empty(spark)):
+        for name, stage in cp.STAGES:
+            out = stage(spark, table, sf)
+            if name != "bpe":
+                assert out.columns == table.columns and out.schema["n_chars"].dataType.simpleString() == "bigint"
+            assert out.count() <= table.count()
