@@ -13,8 +13,10 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        # many small queries: compiling them takes longer than running them
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN").config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
