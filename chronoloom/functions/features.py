@@ -207,12 +207,8 @@ def channel_dynamics(series: DataFrame, penalty: float = 5.0, most: int = 5, pro
 # -- residuals ----------------------------------------------------------------------
 
 
-def ar_residuals(series: DataFrame, order: int = 1) -> DataFrame:
-    """(series_id, pos, residual) of an autoregression with intercept; pos >= order.
-
-    Order 1 is a window regression; a constant series has residuals 0. Higher orders are least
-    squares in a grouped map.
-    """
+def _residual_rows(series: DataFrame, order: int) -> DataFrame:
+    """(series_id, pos, residual) of all points, null for the first ``order`` ones."""
     if order == 1:
         x = _with_lags(series, 1)
         pair = F.col("lag1").isNotNull() & F.col("value").isNotNull()
@@ -221,26 +217,34 @@ def ar_residuals(series: DataFrame, order: int = 1) -> DataFrame:
         dy, dz = F.col("value") - F.col("my"), F.when(pair, F.col("lag1")) - F.col("mz")
         x = x.withColumn("slope", ratio(F.sum(dy * dz).over(by()), F.sum(dz * dz).over(by())))
         fitted = F.col("my") + F.coalesce("slope", F.lit(0.0)) * (F.col("lag1") - F.col("mz"))
-        return x.filter("pos >= 1").select("series_id", "pos", (F.col("value") - fitted).alias("residual"))
+        return x.select("series_id", "pos", (F.col("value") - fitted).alias("residual"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         x = pdf["value"].to_numpy(float)
-        if len(x) <= order:
-            return pdf.iloc[:0][["series_id", "pos"]].assign(residual=0.0)
-        design = np.column_stack([np.ones(len(x) - order), *(x[order - k : len(x) - k] for k in range(1, order + 1))])
-        weights = np.linalg.lstsq(design, x[order:], rcond=None)[0]
-        return pdf.iloc[order:][["series_id", "pos"]].assign(residual=x[order:] - design @ weights)
+        residual = np.full(len(x), None, object)
+        if len(x) > order:
+            design = np.column_stack([np.ones(len(x) - order), *(x[order - k : len(x) - k] for k in range(1, order + 1))])
+            residual[order:] = x[order:] - design @ np.linalg.lstsq(design, x[order:], rcond=None)[0]
+        return pdf[["series_id", "pos"]].assign(residual=residual)
 
     return series.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, "series_id string, pos int, residual double")
 
 
+def ar_residuals(series: DataFrame, order: int = 1) -> DataFrame:
+    """(series_id, pos, residual) of an autoregression with intercept; pos >= order.
+
+    Order 1 is a window regression; a constant series has residuals 0. Higher orders are least
+    squares in a grouped map.
+    """
+    return _residual_rows(series, order).filter(F.col("pos") >= order)
+
+
 def residual_diagnostics(series: DataFrame, order: int = 1) -> DataFrame:
     """residual_mean, _max, _exceed_ratio, _acf1, _concentration; 0 for n <= order + 2."""
-    r = ar_residuals(series, order)
-    by_size = by().orderBy(F.abs("residual"), "pos")
-    r = r.select(
-        "series_id", "residual", F.count("*").over(by()).alias("m"), F.avg("residual").over(by()).alias("mu"), F.stddev_pop("residual").over(by()).alias("sd"),
+    by_size = by().orderBy(F.abs("residual").asc_nulls_last(), "pos")
+    r = _residual_rows(series, order).select(
+        "series_id", "residual", F.count("residual").over(by()).alias("m"), F.avg("residual").over(by()).alias("mu"), F.stddev_pop("residual").over(by()).alias("sd"),
         F.lag("residual").over(ordered()).alias("lag"), F.row_number().over(by_size).alias("rank"),
     )
     size, d = F.abs("residual"), F.col("residual") - F.col("mu")
@@ -251,8 +255,7 @@ def residual_diagnostics(series: DataFrame, order: int = 1) -> DataFrame:
         (F.sum(F.when(F.col("rank") > F.floor(0.9 * F.col("m")), size)) / (F.sum(size) + 1e-8)).alias("residual_concentration"),
     )
     names = ("residual_mean", "residual_max", "residual_exceed_ratio", "residual_acf1", "residual_concentration")
-    every = series.select("series_id").distinct().join(agg, "series_id", "left")
-    return every.select("series_id", *(F.when(F.col("m") + order <= order + 2, 0.0).otherwise(finite(F.col(c))).alias(c) for c in names))
+    return agg.select("series_id", *(F.when(F.col("m") <= 2, 0.0).otherwise(finite(F.col(c))).alias(c) for c in names))
 
 
 # -- quality ------------------------------------------------------------------------

@@ -15,8 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def series_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series per user: the values of its events in order of time."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series_id"), (F.row_number().over(w) - 1).alias("pos"), "ts", "value")
+    w = Window.partitionBy("series_id").orderBy("ts", "event_id")  # named first, so that later steps share this shuffle
+    named = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series_id"), "ts", "event_id", "value")
+    return named.select("series_id", (F.row_number().over(w) - 1).alias("pos"), "ts", "value")
 
 
 def series_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +50,11 @@ def series_text(spark: SparkSession, sf_dir: str, case: str = "partial") -> Data
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent steps from conversations: a trajectory per conversation, a step per turn."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations").withColumn("trajectory_id", F.col("conv_id").cast("string"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\n\\t]+"), lambda w: w != "")
     return c.select(
-        F.floor(F.col("conv_id") / 4).cast("string").alias("uid"), F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd").alias("data_source"), F.col("conv_id").cast("string").alias("trajectory_id"),
-        (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("step_index"), F.transform(words, lambda w: F.length(w)).alias("response_ids"),
+        F.floor(F.col("conv_id") / 4).cast("string").alias("uid"), F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd").alias("data_source"), "trajectory_id",
+        (F.row_number().over(Window.partitionBy("trajectory_id").orderBy("turn")) - 1).alias("step_index"), F.transform(words, lambda w: F.length(w)).alias("response_ids"),
         F.transform(words, lambda w: F.lit(1)).alias("response_mask"), F.slice(F.transform(words, lambda w: F.length(w)), 1, 8).alias("prompt_ids"),
         ((F.length("text") % 100) / 100).alias("reward_score"), ((F.length("text") % 37) / 37).alias("value"), F.col("text").alias("response_text"), F.col("role"),
         (F.size(words) / 50).alias("t_generate"), (F.size(words) % 7 / 10).alias("t_tool"),

@@ -217,3 +217,13 @@ def test_advantages_of_a_group_sum_to_zero(spark):
     data = [("g", f"t{i}", 0, float(x)) for i, x in enumerate(rng.normal(size=20))]
     s = spark.createDataFrame(data, "uid string, trajectory_id string, step_index int, reward_score double")
     assert abs(sum(r["advantage"] for r in tr.grpo_advantage(s).collect())) < 1e-9
+
+
+def test_higher_order_residuals(spark):
+    x = np.sin(np.arange(40) / 3) + np.arange(40) % 5
+    s = series(spark, a=x, b=[1.0], c=[1.0, 2.0])
+    got = np.array([r["residual"] for r in fx.ar_residuals(s, 2).filter("series_id = 'a'").orderBy("pos").collect()])
+    design = np.column_stack([np.ones(38), x[1:-1], x[:-2]])
+    assert np.allclose(got, x[2:] - design @ np.linalg.lstsq(design, x[2:], rcond=None)[0])
+    short = {r["series_id"]: r.asDict() for r in fx.residual_diagnostics(s, 2).filter("series_id <> 'a'").collect()}
+    assert set(short) == {"b", "c"} and all(v == 0 for r in short.values() for k, v in r.items() if k != "series_id")
