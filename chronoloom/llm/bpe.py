@@ -6,8 +6,9 @@ adjacent pair, together with its position, and inner nodes the smaller of their
 children. The root is therefore the leftmost pair of lowest rank. A merge changes three
 leaves, each in logarithmic time, until the root says that no pair can merge.
 
-Texts are encoded where they lie, without a shuffle. Each Python worker keeps the pieces
-it has met, up to ``CACHE_PIECES``; then it starts anew, so its memory is bounded.
+Texts are encoded where they lie, without a shuffle. Each task keeps the pieces it has met,
+up to ``CACHE_PIECES``; then it goes on with the short ones, which recur most. A worker
+that lives on for other tasks keeps only the vocabulary.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; added
 tokens in a text become their ids, as the tokenizers library does by default.
@@ -31,7 +32,7 @@ from chronoloom.llm.common import schema_plus, small_batches
 
 #: The pattern that the ByteLevel pre-tokenizer stands for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 500_000
+CACHE_PIECES = 150_000
 NONE = 1 << 62
 _POSITION = 32
 
@@ -136,7 +137,7 @@ class ByteBpe:
         """Ids as little-endian unsigned 32-bit integers."""
         cache = self.cache
         if len(cache) > CACHE_PIECES:
-            cache.clear()
+            cache.shrink()
         if self.split is None or not any(token in text for token in self.added):
             return b"".join(map(cache.__getitem__, self.pieces(text)))
         out = []
@@ -158,6 +159,12 @@ class _Cache(dict):
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
 
+    def shrink(self) -> None:
+        short = [(k, v) for k, v in self.items() if len(k) <= 5]
+        self.clear()
+        if len(short) < CACHE_PIECES // 2:
+            self.update(short)
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.bpe.merge(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
@@ -187,6 +194,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
             for part in bw.slices(batch, text_col):
                 ids = [bpe.encode(text or "") for text in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.list_(pa.int64())), pa.array([bpe.decode(x) for x in ids], pa.string())], [*names, ids_col, decoded_col])
+        bpe.cache.clear()
 
     small_batches(docs.sparkSession)
     return docs.select(*names).mapInArrow(scan, schema)
@@ -209,6 +217,7 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(np.frombuffer(packed, "<u4").tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.cache.clear()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, schema)

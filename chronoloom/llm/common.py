@@ -36,8 +36,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that batches of long texts fit in a Python worker."""
+    """Arrow batches of few rows, so that batches of long texts fit in a Python worker; and Parquet
+    row groups of 32 MB, which a writer holds in memory beside the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("parquet.block.size", str(32 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

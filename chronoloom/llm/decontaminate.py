@@ -263,12 +263,24 @@ def _collected(items: DataFrame, block: int) -> list:
     return [(r[0], r[1]) for r in items.filter(F.col("block") == block).select("item", "words").orderBy("item").collect()]
 
 
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, list]:
+    items = benchmark_blocks(benchmark)
+    return items, [r[0] for r in items.select("block").distinct().orderBy("block").collect()] or [None]
+
+
+def _shared_phrases(items: DataFrame, block: int | None, window: int):
+    rows = _collected(items, block) if block is not None else []
+    return items.sparkSession.sparkContext.broadcast(Phrases(rows, window) if rows else None)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (columns id, text, and any others but text are carried) ->
     the others, n_words, hit (word indexes as spans [from, to)), items (array<string>, sorted)."""
+    return _contamination(docs, *_blocks(benchmark), window)
+
+
+def _contamination(docs: DataFrame, items: DataFrame, blocks: list, window: int) -> DataFrame:
     spark = docs.sparkSession
-    items = benchmark_blocks(benchmark)
-    blocks = [r[0] for r in items.select("block").distinct().orderBy("block").collect()] or [None]
     small_batches(spark)
     others = [c for c in docs.columns if c != "text"]
     many = len(blocks) > 1
@@ -278,7 +290,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     schema = schema_plus(docs.select(*others), "n_words bigint, hit array<struct<a:int,b:int>>, items array<string>")
 
     def scan_for(block):
-        shared = spark.sparkContext.broadcast(Phrases(rows, window) if (rows := _collected(items, block) if block is not None else []) else None)
+        shared = _shared_phrases(items, block, window)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
@@ -330,7 +342,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     names = docs.columns
     inner = docs.select(F.col(text_col).alias("text"), F.col(text_col).alias("__kept"), *(F.col(c).alias(f"__c{i}") for i, c in enumerate(names) if c != text_col))
-    found = contamination(inner, benchmark, window)
+    items, blocks = _blocks(benchmark)
+    named = lambda df: df.select(*(F.col("__kept").alias(c) if c == text_col else F.col(f"__c{i}").alias(c) for i, c in enumerate(names)))
+    if len(blocks) == 1:
+        return named(_cut_in_place(inner.drop("__kept"), _shared_phrases(items, blocks[0], window)).withColumnRenamed("text", "__kept"))
+    found = _contamination(inner, items, blocks, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,18 +358,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             out = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(out, batch.schema.names)
 
-    cut_docs = found.mapInArrow(cut, found.schema)
-    return cut_docs.select(*(F.col("__kept").alias(c) if c == text_col else F.col(f"__c{i}").alias(c) for i, c in enumerate(names)))
+    return named(found.mapInArrow(cut, found.schema))
+
+
+def _cut_in_place(docs: DataFrame, shared) -> DataFrame:
+    """docs (text and any others) with hit words removed, in one scan."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bw.slices(batch, "text", SHARD_BYTES):
+                if shared.value is None:
+                    yield part
+                    continue
+                data, offsets, start, end, first, hit, items = shard_hits(part, shared.value)
+                texts = part.column("text").to_pylist()
+                for i in items:
+                    a, b = _spans(hit[first[i] : first[i + 1]])
+                    texts[i] = _without(data, offsets[i], offsets[i + 1], start[first[i] :], end[first[i] :], zip(a.tolist(), b.tolist(), strict=True))
+                at = part.schema.get_field_index("text")
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(part.num_columns)], part.schema.names)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _without(data: np.ndarray, low: int, high: int, start: np.ndarray, end: np.ndarray, spans) -> str:
+    """Bytes low to high without the word spans, each from its first to its last byte."""
+    keep = []
+    for a, b in spans:
+        keep.append(data[low : start[a]].tobytes())
+        low = int(end[b - 1])
+    return b"".join([*keep, data[low:high].tobytes()]).decode()
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     data = np.frombuffer(text.encode(), np.uint8)
     start, end, _ = bw.word_ranges(data, np.array([0, len(data)]), bw.ALNUM)
-    keep, last = [], 0
-    for a, b in spans:
-        keep.append(data[last : start[a]].tobytes())
-        last = int(end[b - 1])
-    return b"".join([*keep, data[last:].tobytes()]).decode()
+    return _without(data, 0, len(data), start, end, spans)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
