@@ -2,11 +2,15 @@
 
 The *background* model is counted over all documents, the *target* model over the
 documents that labels call good. They are matched: same order (bigrams that back off to
-unigrams by interpolation), same smoothing and one shared vocabulary. The vocabulary is
-every word of the corpus, by hash: word and bigram counts live in ``1 << UNIGRAM_BITS`` and
-``1 << BIGRAM_BITS`` cells that both models index alike, so the models have a fixed, known
-size and may be broadcast, while what is counted is the whole corpus: each task counts
-its documents into sparse cells and these partial counts are summed by shuffles.
+unigrams by interpolation), same smoothing and one shared vocabulary. Every distinct word
+and every distinct (previous, word) has a count of its own, by 64-bit hashes; nothing is
+dropped or shares a cell, so what is gathered grows with the corpus and stays in tables.
+
+Documents are taken in blocks of about ``BLOCK_TOKENS`` words. A block asks once for each of
+its distinct words and bigrams: its sorted hashes and its own counts go to shards by the
+first bits of the hash, a shard sums what all blocks sent, and the sums go back to the block
+in the order in which it asked. So a very common word is one entry of a block, however
+often it occurs, and no count of the whole corpus is ever in one place.
 
 Per token, loss(w | v) = -log(L2 * c(vw) / c(v.) + (1 - L2) * (L1 * c(w) / N + (1 - L1) / V)),
 and a document's score is the mean over its tokens of target loss minus background loss:
@@ -26,158 +30,219 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bytewise as bw
 from chronoloom.llm.common import hinted, small_batches, stash
 
-UNIGRAM_BITS, BIGRAM_BITS = 18, 20
+#: The uniform part is over ``1 << UNIGRAM_BITS`` words unless a caller gives or asks for another size.
+UNIGRAM_BITS = 18
 L1, L2 = 0.9, 0.6
-#: Cells in one row of partial counts; a row is one unit of the shuffle.
-CHUNK_BITS = 14
+#: Words after which a block ends, with its document: some 200 MB in a task.
+BLOCK_TOKENS = 1 << 21
+#: Shards are ``1 << LEAST_BITS`` at least and as many as there are blocks.
+LEAST_BITS = 10
 _WORD = bw.byte_table(61, True)
 _START = np.uint64(0xA5B3C7D91E2F4861)
 
 
-def tokens(part: pa.RecordBatch):
-    """Unigram cells, bigram cells (with the word before) and the cells of the words before; bounds of texts."""
-    data, offsets = bw.text_bytes(part.column("text"))
-    start, end, first = bw.word_ranges(data, offsets, bw.NOT_SPACE)
-    words = bw.RangeHash(data, _WORD).of(start, end) if len(start) else np.zeros(0, np.uint64)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[first[:-1][first[:-1] < len(words)]] = _START
-    one = (words >> np.uint64(64 - UNIGRAM_BITS)).astype(np.int64)
-    ahead = (before >> np.uint64(64 - UNIGRAM_BITS)).astype(np.int64)
-    two = (bw.mix(words + before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64)
-    return one, two, ahead, first
+def pack(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes before all second ones, which compress well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, len(b) // width).T).reshape(-1).view(kind)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
+
 
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
-#: Which counts a row of partial counts belongs to: words, words as the one before, bigrams.
-KINDS = (("one", UNIGRAM_BITS), ("ahead", UNIGRAM_BITS), ("two", BIGRAM_BITS))
 
+BLOCK = "block bigint, ids binary, no_id binary, lengths binary, good binary, words binary, tokens binary"
 
-def partial_counts(docs: DataFrame) -> DataFrame:
-    """(kind, chunk, cells, background, target): the counts of each task; docs has text and good."""
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """docs (id, text, good) as rows of many documents: the distinct words by hash, and each token's place among them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros((2, 1 << bits), np.int64) for _, bits in KINDS]
+        parts, held, serial = [], 0, TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            ids, no_id, lengths, good, hashes = map(np.concatenate, zip(*parts, strict=True))
+            words, tokens = np.unique(np.append(hashes, _START), return_inverse=True)
+            row = [pack(ids), pack(no_id), pack(lengths), pack(good), pack_sorted(words), pack(tokens[:-1].astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array([serial], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], [c.split()[0] for c in BLOCK.split(", ")])
+
         for batch in batches:
             for part in bw.slices(batch, "text"):
-                one, two, ahead, first = tokens(part)
-                good = np.repeat(part.column("good").to_numpy(zero_copy_only=False), np.diff(first))
-                for have, cells in zip(counts, (one, ahead, two), strict=True):
-                    have[0] += np.bincount(cells, minlength=have.shape[1])
-                    if good.any():
-                        have[1] += np.bincount(cells[good], minlength=have.shape[1])
-        for kind, have in enumerate(counts):
-            for chunk in range(have.shape[1] >> CHUNK_BITS):
-                low = chunk << CHUNK_BITS
-                cells = np.flatnonzero(have[0, low : low + (1 << CHUNK_BITS)])
-                if len(cells):
-                    columns = [pa.array([kind], pa.int32()), pa.array([chunk], pa.int32()), pa.array([cells.astype(np.uint16).tobytes()], pa.binary())]
-                    columns += [pa.array([have[k, low + cells].astype(np.uint32).tobytes()], pa.binary()) for k in (0, 1)]  # of one task: 32 bits do
-                    yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "cells", "background", "target"])
+                data, offsets = bw.text_bytes(part.column("text"))
+                start, end, first = bw.word_ranges(data, offsets, bw.NOT_SPACE)
+                hashes = bw.RangeHash(data, _WORD).of(start, end) if len(start) else np.zeros(0, np.uint64)
+                ids = part.column("id")
+                good = part.column("good").to_numpy(zero_copy_only=False).astype(bool)
+                parts.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), np.diff(first), good, hashes))
+                held += len(hashes)
+                if held >= BLOCK_TOKENS:
+                    yield flush()
+                    parts, held, serial = [], 0, serial + 1
+        if parts:
+            yield flush()
 
     small_batches(docs.sparkSession)
-    return docs.select("text", "good").mapInArrow(scan, "kind int, chunk int, cells binary, background binary, target binary")
+    return docs.select("id", "text", "good").mapInArrow(scan, BLOCK)
 
 
-#: Tasks whose counts meet first, and groups of these that meet next.
-FAN_IN = (32, 256)
+class Block:
+    """A row of ``blocks`` read back; ``word`` and ``ahead`` are places in ``words``, ``pair`` is one in ``pairs``."""
 
+    def __init__(self, row: dict):
+        self.ids, self.no_id = unpack(row["ids"], np.int64), unpack(row["no_id"], bool)
+        self.lengths, self.words = unpack(row["lengths"], np.int64), unpack_sorted(row["words"])
+        self.word = unpack(row["tokens"], np.uint32).astype(np.int64)
+        self.good = np.repeat(unpack(row["good"], bool), self.lengths)
+        first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        self.ahead = np.empty_like(self.word)
+        self.ahead[1:] = self.word[:-1]
+        self.ahead[first] = np.searchsorted(self.words, _START)
 
-def summed_counts(partial: DataFrame) -> DataFrame:
-    """Dense counts per (kind, chunk), summed over neighbouring tasks, then over their groups, then over all.
+    def read_pairs(self) -> None:
+        keys = bw.mix(self.words[self.word] + self.words[self.ahead] * np.uint64(0x9E3779B97F4A7C15))
+        self.pairs, self.pair = np.unique(keys, return_inverse=True)
 
-    A task adds rows as they come and holds one total per (kind, chunk) and group.
-    """
+    def asked(self, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sorted keys and the counts of this block: words, and words as the one before, or bigrams; background, then target."""
+        if kind == "words":
+            keys, places = self.words, (self.word, self.ahead)
+        else:
+            self.read_pairs()
+            keys, places = self.pairs, (self.pair,)
+        return keys, [np.bincount(p, minlength=len(keys)) for place in places for p in (place, place[self.good])]
 
-    def adder(count_type):
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals: dict[tuple[int, int, int], np.ndarray] = {}
-            for batch in batches:
-                for kind, chunk, g, cells, *both in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "g", "cells", "background", "target")), strict=True):
-                    total = totals.setdefault((kind, chunk, g), np.zeros((2, 1 << CHUNK_BITS), np.int64))
-                    at = np.frombuffer(cells, np.uint16)
-                    for k in (0, 1):
-                        total[k, at] += np.frombuffer(both[k], count_type)
-            for (kind, chunk, g), total in totals.items():
-                cells = np.flatnonzero(total[0])
-                columns = [*(pa.array([x], pa.int32()) for x in (kind, chunk, g)), *(pa.array([x.tobytes()], pa.binary()) for x in (cells.astype(np.uint16), total[0, cells], total[1, cells]))]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "g", "cells", "background", "target"])
-
-        return add
-
-    schema = "kind int, chunk int, g int, cells binary, background binary, target binary"
-    small_batches(partial.sparkSession, 100)
-    rows, count_type = partial.withColumn("g", F.spark_partition_id()), np.uint32
-    for fan_in in FAN_IN:
-        rows = rows.withColumn("g", F.floor(F.col("g") / fan_in).cast("int")).repartition("kind", "chunk", "g")
-        rows, count_type = rows.select("kind", "chunk", "g", "cells", "background", "target").mapInArrow(adder(count_type), schema), np.int64
-    return rows.withColumn("g", F.lit(0)).repartition("kind", "chunk").mapInArrow(adder(count_type), schema).drop("g")
-
-
-class Models:
-    """Both models as per-cell log-probability parts of fixed size (float32)."""
-
-    def __init__(self, rows: list):
-        counts = [np.zeros((2, 1 << bits)) for _, bits in KINDS]
-        for kind, chunk, cells, *both in rows:
-            at = np.frombuffer(cells, np.uint16).astype(np.int64) + (chunk << CHUNK_BITS)
-            for k in (0, 1):
-                counts[kind][k, at] = np.frombuffer(both[k], np.int64)
-        one, ahead, two = counts
-        uniform = 1.0 / one.shape[1]
-        total = np.maximum(one.sum(1, keepdims=True), 1)
-        self.unigram = (L1 * one / total + (1 - L1) * uniform).astype(np.float32)
-        self.ahead, self.two = ahead.astype(np.float32), two.astype(np.float32)
-
-    def losses(self, one: np.ndarray, two: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-        """float64[2, tokens]: background and target loss of each token."""
-        seen = self.ahead[:, ahead]
-        bigram = np.minimum(self.two[:, two] / np.maximum(seen, 1), 1)
-        return -np.log((L2 * bigram + (1 - L2) * self.unigram[:, one]).astype(np.float64))
-
-
-def fit_models(docs: DataFrame) -> Models:
-    """docs: text, good. What reaches the driver is bounded by the number of cells."""
-    rows = stash(summed_counts(partial_counts(docs)), "counts").collect()
-    return Models([(r[0], r[1], *map(bytes, r[2:])) for r in rows])
-
-
-def score_documents(docs: DataFrame, models: Models) -> DataFrame:
-    """docs (id, text) -> id, n_tokens, target_loss, background_loss, score; in place."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in bw.slices(batch, "text"):
-                one, two, ahead, first = tokens(part)
-                losses = shared.value.losses(one, two, ahead)
-                n = np.diff(first)
-                sums = np.concatenate([np.zeros((2, 1)), np.cumsum(losses, axis=1)], axis=1)
-                mean = (sums[:, first[1:]] - sums[:, first[:-1]]) / np.maximum(n, 1)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n), pa.array(mean[1], mask=none), pa.array(mean[0], mask=none), pa.array(np.where(none, 0.0, mean[1] - mean[0]))],
-                    ["id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
+SUMS = "block bigint, shard int, sums binary, n_keys bigint, background bigint, target bigint"
 
-    small_batches(docs.sparkSession)
-    return docs.select("id", "text").mapInArrow(scan, "id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
+def requests(blocked: DataFrame, kind: str, bits: int) -> DataFrame:
+    """(shard, block, keys, counts): what each block asks of each shard."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, counts = Block(row).asked(kind)
+                bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                full = np.flatnonzero(np.diff(bounds))
+                for some in np.array_split(full, max(1, len(full) // 100)):
+                    cuts = [slice(bounds[s], bounds[s + 1]) for s in some]
+                    columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["block"])), pa.array([pack_sorted(keys[c]) for c in cuts], pa.binary())]
+                    columns.append(pa.array([pack(np.concatenate([n[c] for n in counts]).astype(np.int64)) for c in cuts], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "counts"])
+
+    return blocked.select(*(c.split()[0] for c in BLOCK.split(", "))).mapInArrow(scan, "shard int, block bigint, keys binary, counts binary")
+
+
+def summed(asked: DataFrame) -> DataFrame:
+    """The sums of each shard, a row for each request, in its order; a row without a block has the shard's totals of the first two counts."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answers(shard: int, rows: list) -> pa.RecordBatch:
+            keys = [unpack_sorted(k) for _, k, _ in rows]
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            ends = np.cumsum([len(k) for k in keys])
+            counts = [unpack(c, np.int64).reshape(-1, len(k)) for (_, _, c), k in zip(rows, keys, strict=True)]
+            sums = np.zeros((len(counts[0]), len(distinct)), np.int64)
+            for here, add in zip(np.split(at, ends[:-1]), counts, strict=True):
+                sums[:, here] += add  # the keys of a request are distinct
+            packed = [pack(sums[:, here].reshape(-1)) for here in np.split(at, ends[:-1])]
+            none = [None] * len(rows)
+            columns = [pa.array([*(b for b, _, _ in rows), None], pa.int64()), pa.array([shard] * (len(rows) + 1), pa.int32()), pa.array([*packed, None], pa.binary())]
+            columns += [pa.array([*none, int(n)], pa.int64()) for n in ((sums[0] > 0).sum(), sums[0].sum(), sums[1].sum())]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SUMS.split(", ")])
+
+        now, rows = None, []
+        for batch in batches:
+            for shard, *rest in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "keys", "counts")), strict=True):
+                if shard != now and rows:
+                    yield answers(now, rows)
+                    rows = []
+                now = shard
+                rows.append(rest)
+        if rows:
+            yield answers(now, rows)
+
+    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, SUMS)
+
+
+def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals: tuple[int, int], vocabulary: int) -> DataFrame:
+    """id, n_tokens, target_loss, background_loss, score; the answers come to their block."""
+
+    def score(row: dict, answers: dict[int, list[bytes]]) -> pa.RecordBatch:
+        block = Block(row)
+        block.read_pairs()
+        one_ahead, two = (np.concatenate([unpack(b, np.int64).reshape(n, -1) for b in answers[kind]] or [np.zeros((n, 0), np.int64)], axis=1) for kind, n in ((1, 4), (2, 2)))
+        if one_ahead.shape[1] != len(block.words) or two.shape[1] != len(block.pairs):
+            raise ValueError("a block has not got the counts it asked for")
+        sums = np.zeros((2, len(block.word) + 1))
+        for k in (0, 1):
+            unigram = L1 * one_ahead[k] / max(totals[k], 1) + (1 - L1) / vocabulary
+            bigram = two[k][block.pair] / np.maximum(one_ahead[2 + k], 1)[block.ahead]
+            np.cumsum(-np.log(L2 * bigram + (1 - L2) * unigram[block.word]), out=sums[k, 1:])
+        n, last = block.lengths, np.cumsum(block.lengths)
+        mean = (sums[:, last] - sums[:, last - n]) / np.maximum(n, 1)
+        none = n == 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block.ids, mask=block.no_id), pa.array(n), pa.array(mean[1], mask=none), pa.array(mean[0], mask=none), pa.array(np.where(none, 0.0, mean[1] - mean[0]))],
+            ["id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all ``docs``; those whose id is in ``target_ids`` (column id) are the target text."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, answers = None, {}
+        for batch in batches:
+            for i, (block, kind) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                if kind == 0:
+                    if row is not None:
+                        yield score(row, answers)
+                    row, answers = batch.slice(i, 1).to_pylist()[0], {1: [], 2: []}
+                elif row is None or row["block"] != block:
+                    raise ValueError("counts without their block")
+                else:
+                    answers[kind].append(batch.column("sums")[i].as_py())
+        if row is not None:
+            yield score(row, answers)
+
+    rows = blocked.withColumns({"kind": F.lit(0), "shard": F.lit(-1)})
+    for kind, found in ((1, words), (2, pairs)):
+        rows = rows.unionByName(found.filter("block is not null").select("block", F.lit(kind).alias("kind"), "shard", "sums"), allowMissingColumns=True)
+    rows = rows.repartition("block").sortWithinPartitions("block", "kind", "shard")
+    return rows.mapInArrow(scan, "id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = 1 << UNIGRAM_BITS) -> DataFrame:
+    """Scores of all ``docs``; those whose id is in ``target_ids`` (column id) are the target text.
+
+    vocabulary: V of the uniform part; None: the number of distinct words of ``docs``.
+    """
     inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     marks = target_ids.select(F.col("id").cast("bigint").alias("__target")).filter("__target is not null").distinct()
-    marked = inner.join(hinted(stash(marks, "target")), F.col("id") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("good"))
-    return score_documents(inner, fit_models(marked))
+    marked = inner.join(hinted(stash(marks, "target")), F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("good"))
+    blocked = stash(blocks(marked), "blocks")
+    bits = max(LEAST_BITS, blocked.count().bit_length())
+    small_batches(docs.sparkSession, 100)
+    words = stash(summed(requests(blocked, "words", bits)), "words")
+    n_words, *totals = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "background", "target"))).first()
+    return score_blocks(blocked, words, summed(requests(blocked, "pairs", bits)), tuple(totals), max(n_words, 1) if vocabulary is None else vocabulary)
 
 
 def lm_score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The registered query: target text is what labels call good and not toxic."""
+    """The registered query: target text is what labels call good and not toxic; V is the number of distinct words."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("id"))
-    return cross_entropy_difference(docs, good).withColumnRenamed("id", "doc_id")
+    return cross_entropy_difference(docs, good, vocabulary=None).withColumnRenamed("id", "doc_id")

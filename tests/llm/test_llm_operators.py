@@ -462,6 +462,28 @@ def test_lm_scores_equal_a_loop(spark, docs):
     assert lm_score.cross_entropy_difference(empty(spark), ids).count() == 0
 
 
+def test_lm_counts_are_exact_and_grow(spark, monkeypatch):
+    """More distinct words and bigrams than any fixed number of cells, in many blocks; V is what the documents hold."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 50_000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(600_000)}" for _ in range(400)) + " The end the END", i % 3 == 0) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in rows], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in lm_score.lm_score_digest(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3), labels).collect()}
+    counts = [[Counter(), Counter(), Counter()] for _ in range(2)]
+    pairs = {i: list(zip(["<s>", *words(t)], words(t), strict=False)) for i, t, _ in rows}
+    for i, _, good in rows:
+        for one, ahead, two in counts[: 1 + good]:
+            one.update(b for _, b in pairs[i])
+            ahead.update(a for a, _ in pairs[i])
+            two.update(pairs[i])
+    l1, l2, v, totals = lm_score.L1, lm_score.L2, len(counts[0][0]), [c[0].total() for c in counts]
+    assert v > 1 << 18
+    for i, p in pairs.items():
+        back, target = (np.mean([-math.log(l2 * two[x] / max(ahead[x[0]], 1) + (1 - l2) * (l1 * one[x[1]] / sum_ + (1 - l1) / v)) for x in p]) for (one, ahead, two), sum_ in zip(counts, totals, strict=True))
+        assert got[i]["n_tokens"] == len(p)
+        assert got[i]["background_loss"] == pytest.approx(back, abs=1e-8) and got[i]["target_loss"] == pytest.approx(target, abs=1e-8) and got[i]["score"] == pytest.approx(target - back, abs=1e-8)
+
+
 def test_target_text_scores_lower(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op1_lm_score(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg("score").alias("s"))
