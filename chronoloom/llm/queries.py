@@ -37,7 +37,7 @@ def op3_decontaminate(spark, sf_dir):
 
 
 def op4_sentence_dedup(spark, sf_dir):
-    return sentence_dedup_digest(documents(spark, sf_dir))
+    return sentence_dedup_digest(documents(spark, sf_dir), go_on=True)
 
 
 def op5_quality_classifier(spark, sf_dir):

@@ -336,6 +336,33 @@ def test_sentence_spans(spark, docs):
     assert sentence_dedup.sentence_dedup_digest(empty(spark)).count() == 0
 
 
+def test_short_sentences_are_repeats_too(spark, tmp_path):
+    """A passage of 60 words in sentences of four, whole in its first document only; short phrases stay."""
+    rng = random.Random(5)
+    passage = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(4)) + "." for _ in range(15)]
+    rows = [(i, "\n".join([f"Opening line of number {i} goes here for once.", *passage, f"Closing line of number {i} goes here for once."])) for i in (1, 2)]
+    rows += [(3, "Yes. No. All other words of this are here for the first time."), (4, "Something else is said with words of its own here. Yes. No.")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    query = {r["doc_id"]: (r["n_removed"], r["words_removed"]) for r in queries.op4_sentence_dedup(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in sentence_dedup.dedup_sentences(table, go_on=True).collect()}
+    assert query == {i: (r["n_removed"], r["words_removed"]) for i, r in got.items()} == {1: (0, 0), 2: (15, 60), 3: (0, 0), 4: (0, 0)}
+    assert got[2]["text"] == "Opening line of number 2 goes here for once.\nClosing line of number 2 goes here for once."
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 9), max_size=12), max_size=4), st.integers(1, 3), st.integers(0, 14))
+def test_runs_go_on_until_they_have_the_words(lengths, size, least):
+    texts = [" ".join(" ".join(["a"] * (n - 1) + ["b."]) for n in t) for t in lengths]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    text, place, span, *_ = sentence_dedup._runs(data, np.cumsum([0, *map(len, texts)]), size, least, True)
+    want = set()
+    for i, t in enumerate(lengths):
+        ok = {(a, b) for a in range(len(t)) for b in range(a + size, len(t) + 1) if sum(t[a:b]) >= least}
+        want |= {(i, a, b - a) for a, b in ok if (a, b - 1) not in ok or (a + 1, b) not in ok}
+    assert sorted(zip(text.tolist(), place.tolist(), span.tolist(), strict=True)) == sorted(want)
+
+
 def test_sentences_leave_the_rest_of_a_text(spark):
     text = "First one here is long enough. " + "Shared words are here now again. And some more of them follow. " + "Last of b."
     rows = [(1, "Shared words are here now again. And some more of them follow.", "x"), (2, text, "y")]
