@@ -51,6 +51,11 @@ def d20_dynamics_report(spark, sf_dir):
     return fx.report(found.withColumns({c: F.lit(0.0) for c in ("changepoint_count", "changepoint_score", "peak_max_width")}), "dynamics")
 
 
+def d20_dynamics_report_all(spark, sf_dir):
+    """All lines as they are, those without SQL too."""
+    return fx.report(fx.channel_dynamics(series_user(spark, sf_dir)), "dynamics")
+
+
 def d21_ar_residuals(spark, sf_dir):
     return fx.ar_residuals(series_user(spark, sf_dir)).select("series_id", "pos", r("residual"))
 
@@ -109,7 +114,7 @@ def i1_i3_top_residuals(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        d01_d10_basic_statistics, d01_basic_statistics_daily, d11_basic_statistics_report, d12_d13_d18_changes_and_widths, d14_d16_slopes_and_runs, d17_d19_peaks, d20_dynamics_report, d21_ar_residuals,
+        d01_d10_basic_statistics, d01_basic_statistics_daily, d11_basic_statistics_report, d12_d13_d18_changes_and_widths, d14_d16_slopes_and_runs, d17_d19_peaks, d20_dynamics_report, d20_dynamics_report_all, d21_ar_residuals,
         d22_d26_residual_diagnostics, d27_residual_report, d28_d31_data_quality, d32_quality_report, d33_event_segments, d34_d36_event_summary, d37_event_report, d38_feature_table, d38_feature_table_all, i1_i3_top_residuals,
     )
 }

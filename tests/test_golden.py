@@ -227,3 +227,42 @@ def test_higher_order_residuals(spark):
     assert np.allclose(got, x[2:] - design @ np.linalg.lstsq(design, x[2:], rcond=None)[0])
     short = {r["series_id"]: r.asDict() for r in fx.residual_diagnostics(s, 2).filter("series_id <> 'a'").collect()}
     assert set(short) == {"b", "c"} and all(v == 0 for r in short.values() for k, v in r.items() if k != "series_id")
+
+
+def brute_breaks(x, penalty=5.0, least=2, jump=5):
+    """The cheapest of all segmentations on the grid, without pruning."""
+    n = len(x)
+    d = [[(a - b) ** 2 for b in x] for a in x]
+    middle = np.median([d[i][j] for i in range(n) for j in range(i)])
+    k = np.array([[math.exp(-min(max(v / (middle or 1.0), 1e-2), 1e2)) if v else 1.0 for v in r] for r in d])
+    best = {0: (0.0, [])}
+    for e in [*range(jump, n, jump), n]:
+        best[e] = min((best[a][0] + e - a - k[a:e, a:e].sum() / (e - a) + penalty, [*best[a][1], e]) for a in best if e - a >= least)
+    return best[n][1]
+
+
+def test_full_dynamics_report(spark, monkeypatch):
+    """Lines that the query with SQL sets to 0 have their values."""
+    from chronoloom.plans import feature_queries as fq
+
+    rng = np.random.default_rng(4)
+    named = {"steps": np.repeat([0.0, 9.0, 4.0], 20) + rng.normal(0, 0.3, 60), "waves": np.sin(np.arange(48) / 2), "flat": np.ones(12)}
+    monkeypatch.setattr(fq, "series_user", lambda spark, sf_dir: series(spark, **named))
+    got = {r["series_id"]: dict(line.split(": ") for line in r["report"].split("\n")[1:]) for r in fq.d20_dynamics_report_all(spark, "").collect()}
+    for name, x in named.items():
+        breaks = brute_breaks(x.tolist())
+        means = [x[a:b].mean() for a, b in zip([0, *breaks], breaks, strict=False)]
+        z, widths = (x - x.mean()) / (x.std() + 1e-8), [0.0]
+        for p in (p for p in range(1, len(z) - 1) if z[p - 1] < z[p] > z[p + 1]):
+            lo = max((i for i in range(p) if z[i] > z[p]), default=0)
+            hi = min((i for i in range(p, len(z)) if z[i] > z[p]), default=len(z) - 1)
+            prominence = z[p] - max(z[lo : p + 1].min(), z[p : hi + 1].min())
+            if prominence >= 1:
+                level = z[p] - prominence / 2
+                a = max((i for i in range(p) if z[i] <= level), default=0)
+                b = min((i for i in range(p, len(z)) if z[i] <= level), default=len(z) - 1)
+                widths.append((b - (level - z[b]) / (z[b - 1] - z[b])) - (a + (level - z[a]) / (z[a + 1] - z[a])))
+        assert float(got[name]["Change points"]) == min(len(breaks) - 1, 5)
+        assert float(got[name]["Change score"]) == pytest.approx(max(np.abs(np.diff(means)), default=0), abs=1e-4)
+        assert float(got[name]["Max peak width"]) == pytest.approx(max(widths), abs=1e-4)
+    assert float(got["steps"]["Change points"]) == 2 and float(got["waves"]["Max peak width"]) > 1
