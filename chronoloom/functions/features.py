@@ -143,43 +143,87 @@ def half_widths(x: np.ndarray, peaks: np.ndarray, proms: np.ndarray) -> np.ndarr
     return np.array(out)
 
 
+def median_squared_distance(x: np.ndarray) -> float:
+    """The median of (x[i] - x[j]) ** 2 over all pairs, in memory for the points alone."""
+    x = np.sort(x)
+    n = len(x)
+    if n < 2:
+        return 0.0
+    if n <= 512:
+        return float(np.median(((x[:, None] - x[None, :]) ** 2)[np.triu_indices(n, 1)]))
+    pairs, at = n * (n - 1) // 2, np.arange(n)
+
+    def at_most(t: float) -> int:
+        """Pairs whose difference is t at most: of each point, the last one that near, by halving."""
+        low, high = at.copy(), np.full(n, n - 1)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            near = x[middle] - x <= t
+            low, high = np.where(near, middle, low), np.where(near, high, middle - 1)
+        return int((low - at).sum())
+
+    def smallest(k: int) -> float:
+        """The k-th smallest difference: bits of floats that are not negative are in their order."""
+        low, high = 0, int(np.float64(x[-1] - x[0]).view(np.int64))
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if at_most(np.int64(middle).view(np.float64)) >= k else (middle + 1, high)
+        return float(np.int64(low).view(np.float64))
+
+    first = smallest((pairs + 1) // 2)
+    second = first if pairs % 2 or at_most(first) > pairs // 2 else smallest(pairs // 2 + 1)
+    return (first**2 + second**2) / 2
+
+
 def pelt_rbf(x: np.ndarray, penalty: float, least: int = 2, jump: int = 5) -> list[int]:
     """Break points (the end included) of penalised segmentation with a Gaussian kernel cost.
 
     The bandwidth is the median of squared distances; segments have ``least`` points at least
-    and begin at multiples of ``jump``.
+    and begin at multiples of ``jump``. Memory grows with the points, time with their pairs: of
+    each start that is alive, the sum of its kernel square is carried on from end to end.
     """
     n = len(x)
-    d = (x[:, None] - x[None, :]) ** 2
-    middle = np.median(d[np.triu_indices(n, 1)]) if n > 1 else 0.0
+    middle = median_squared_distance(x)
     gamma = 1.0 / middle if middle > 0 else 1.0
-    sums = np.zeros((n + 1, n + 1))
-    sums[1:, 1:] = np.exp(-np.clip(gamma * d, 1e-2, 1e2) * (d > 0)).cumsum(0).cumsum(1)
-    cost = lambda a, b: (b - a) - (sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]) / (b - a)
-    ends = [e for e in [*range(0, n, jump), n] if e >= least]
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    alive = [0]
-    for e in ends:
-        options = [(best[a][0] + cost(a, e) + penalty, a) for a in alive if a in best and e - a >= least]
-        if not options:
+    before: dict[int, int] = {}
+    alive, inner, costs, at = np.zeros(1, np.int64), np.zeros(1), np.zeros(1), 0
+    for e in [e for e in [*range(0, n, jump), n] if e >= least]:
+        low = alive[0]
+        d = (x[low:e, None] - x[None, at:e]) ** 2
+        k = np.exp(-np.clip(gamma * d, 1e-2, 1e2) * (d > 0))
+        # the new columns from each start on: those above the new square count twice
+        above = np.append(np.cumsum(k[: at - low].sum(1)[::-1])[::-1], 0.0)
+        inner += 2 * above[alive - low] + k[at - low :].sum()
+        at, length = e, e - alive
+        ready = length >= least
+        if not ready.any():
             continue
-        value, a = min(options)
-        best[e] = (value, [*best[a][1], e])
-        alive = [a for a in alive if e - a < least or best[a][0] + cost(a, e) <= value] + [e]
-    return best.get(n, (0.0, [n]))[1]
+        upto = costs + length - inner / length
+        value = (upto[ready] + penalty).min()
+        before[e] = int(alive[ready][np.argmin(upto[ready] + penalty)])
+        stay = ~ready | (upto <= value)
+        alive, inner, costs = np.append(alive[stay], e), np.append(inner[stay], 0.0), np.append(costs[stay], value)
+    breaks = [n]
+    while before.get(breaks[-1], 0):
+        breaks.append(before[breaks[-1]])
+    return breaks[::-1]
+
+
+CHANGES = ("changepoint_count", "changepoint_score")
 
 
-def peaks_and_changes(series: DataFrame, penalty: float = 5.0, most: int = 5, prominence: float = 1.0) -> DataFrame:
-    """changepoint_count, changepoint_score, peak_count, peak_max_width, peak_spacing_cv.
+def peaks_and_changes(series: DataFrame, penalty: float = 5.0, most: int = 5, prominence: float = 1.0, changes: bool = True) -> DataFrame:
+    """changepoint_count, changepoint_score (unless not ``changes``), peak_count, peak_max_width, peak_spacing_cv.
 
-    Sequential in each series, parallel over series. The segmentation needs memory for all
-    pairs of points, so series go through ``make_windows`` first where they are long.
+    Sequential in each series, parallel over series, in memory for the points of a series. The
+    segmentation takes time for all pairs of points where few starts can be ruled out.
     """
+    names = (*(CHANGES if changes else ()), "peak_count", "peak_max_width", "peak_spacing_cv")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("pos")["value"].to_numpy(float)
-        out = dict.fromkeys(("changepoint_count", "changepoint_score", "peak_count", "peak_max_width", "peak_spacing_cv"), 0.0)
-        if len(x) >= 10 and np.isfinite(x).all():
+        out = dict.fromkeys(names, 0.0)
+        if changes and len(x) >= 10 and np.isfinite(x).all():
             breaks = pelt_rbf(x, penalty)
             out["changepoint_count"] = float(min(len(breaks) - 1, most))
             if len(breaks) > 1:
@@ -196,12 +240,12 @@ def peaks_and_changes(series: DataFrame, penalty: float = 5.0, most: int = 5, pr
                 out["peak_spacing_cv"] = float(gaps.std() / (gaps.mean() + 1e-8))
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1]} | {k: [v] for k, v in out.items()})
 
-    schema = "series_id string, changepoint_count double, changepoint_score double, peak_count double, peak_max_width double, peak_spacing_cv double"
+    schema = f"series_id string, {', '.join(f'{c} double' for c in names)}"
     return series.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, schema)
 
 
-def channel_dynamics(series: DataFrame, penalty: float = 5.0, most: int = 5, prominence: float = 1.0) -> DataFrame:
-    return slopes_and_runs(series).join(peaks_and_changes(series, penalty, most, prominence), "series_id")
+def channel_dynamics(series: DataFrame, penalty: float = 5.0, most: int = 5, prominence: float = 1.0, changes: bool = True) -> DataFrame:
+    return slopes_and_runs(series).join(peaks_and_changes(series, penalty, most, prominence, changes), "series_id")
 
 
 # -- residuals ----------------------------------------------------------------------
@@ -354,10 +398,10 @@ def report(features: DataFrame, family: str) -> DataFrame:
 FAMILIES = {"basic": basic_statistics, "dynamics": channel_dynamics, "residuals": residual_diagnostics, "quality": data_quality, "events": event_summary}
 
 
-def feature_table(series: DataFrame, families: tuple[str, ...] | list[str] = tuple(FAMILIES)) -> DataFrame:
-    """All chosen families side by side, for series of two points or more."""
+def feature_table(series: DataFrame, families: tuple[str, ...] | list[str] = tuple(FAMILIES), changes: bool = True) -> DataFrame:
+    """All chosen families side by side, for series of two points or more; change points only with ``changes``."""
     kept = series.withColumn("__n", F.count("*").over(by())).filter("__n >= 2").drop("__n")
     out = kept.select("series_id").distinct()
     for family in families:
-        out = out.join(FAMILIES[family](kept), "series_id")
+        out = out.join(FAMILIES[family](kept, **({} if changes or family != "dynamics" else {"changes": False})), "series_id")
     return out

@@ -37,7 +37,7 @@ def d14_d16_slopes_and_runs(spark, sf_dir):
 
 
 def d17_d19_peaks(spark, sf_dir):
-    out = fx.peaks_and_changes(series_user(spark, sf_dir)).select("series_id", "peak_count", "peak_spacing_cv")
+    out = fx.peaks_and_changes(series_user(spark, sf_dir), changes=False).select("series_id", "peak_count", "peak_spacing_cv")
     return rounded(out, "series_id")
 
 
@@ -47,7 +47,7 @@ def d12_d13_d18_changes_and_widths(spark, sf_dir):
 
 def d20_dynamics_report(spark, sf_dir):
     """The lines of what SQL can follow; the others are set to 0."""
-    found = fx.channel_dynamics(series_user(spark, sf_dir))
+    found = fx.channel_dynamics(series_user(spark, sf_dir), changes=False)
     return fx.report(found.withColumns({c: F.lit(0.0) for c in ("changepoint_count", "changepoint_score", "peak_max_width")}), "dynamics")
 
 
@@ -93,8 +93,8 @@ def d37_event_report(spark, sf_dir):
 
 
 def d38_feature_table(spark, sf_dir):
-    every = _flat_events(fx.feature_table(series_user(spark, sf_dir)))
-    return rounded(every.drop("changepoint_count", "changepoint_score", "peak_max_width"), "series_id", spec_entropy=4)
+    every = _flat_events(fx.feature_table(series_user(spark, sf_dir), changes=False))
+    return rounded(every.drop("peak_max_width"), "series_id", spec_entropy=4)
 
 
 def d38_feature_table_all(spark, sf_dir):

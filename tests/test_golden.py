@@ -266,3 +266,24 @@ def test_full_dynamics_report(spark, monkeypatch):
         assert float(got[name]["Change score"]) == pytest.approx(max(np.abs(np.diff(means)), default=0), abs=1e-4)
         assert float(got[name]["Max peak width"]) == pytest.approx(max(widths), abs=1e-4)
     assert float(got["steps"]["Change points"]) == 2 and float(got["waves"]["Max peak width"]) > 1
+
+
+def test_change_points_of_long_series_need_little_memory(spark, monkeypatch):
+    """All pairs of 8,000 points would take 512 MB a matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = np.repeat([0.0, 8.0, 3.0, 9.0], 2000) + rng.normal(0, 0.5, 8000)
+    tracemalloc.start()
+    breaks = fx.pelt_rbf(x, 5.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert breaks == [2000, 4000, 6000, 8000] and peak < 32 << 20
+    for n in (0, 1, 2, 4, 9, 12, 33, 61, 130):
+        y = np.round(np.repeat(rng.normal(0, 2, n // 10 + 1), 10)[:n] + rng.normal(0, 0.4, n), 1)
+        assert n < 2 or fx.pelt_rbf(y, 1.0) == brute_breaks(y.tolist(), 1.0)
+    for n in (513, 514, 515, 516):
+        for y in (rng.normal(0, 1, n), rng.integers(0, 4, n).astype(float)):
+            assert fx.median_squared_distance(y) == np.median(((y[:, None] - y[None, :]) ** 2)[np.triu_indices(n, 1)])
+    monkeypatch.setattr(fx, "pelt_rbf", None)
+    assert "changepoint_count" not in fx.peaks_and_changes(series(spark, x=X), changes=False).columns
