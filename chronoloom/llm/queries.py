@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-
 from chronoloom.llm.bpe import bpe_digest
 from chronoloom.llm.common import documents
 from chronoloom.llm.decontaminate import contamination_digest
@@ -18,10 +15,20 @@ from chronoloom.llm.sentence_dedup import sentence_dedup_digest
 from chronoloom.llm.warc_revisits import ORACLE_SQL as _WARC_SQL
 from chronoloom.llm.warc_revisits import op8_warc_revisits
 
-#: Folder of the public tokenizer files; executors have them at the same place.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
-PIECES = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, looked up when a query runs; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_bpe() -> str:
+    return vocabulary("byte_bpe_50k.json")
+
+
+def pieces() -> str:
+    return vocabulary("piece_bpe_32k.model")
 
 
 def op1_lm_score(spark, sf_dir):
@@ -53,11 +60,11 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op9_bpe(spark, sf_dir):
-    return bpe_digest(documents(spark, sf_dir), BYTE_BPE)
+    return bpe_digest(documents(spark, sf_dir), byte_bpe())
 
 
 def op10_language_id(spark, sf_dir):
-    return language_digest(documents(spark, sf_dir), PIECES)
+    return language_digest(documents(spark, sf_dir), pieces())
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_decontaminate, op4_sentence_dedup, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op8_warc_revisits, op9_bpe, op10_language_id)}

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -407,6 +408,41 @@ def test_quality_rules(spark, docs):
     assert kept.columns == [*docs.columns, "score"] and kept.count() == sum(r["kept"] for r in got)
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """Every path walked by a plain loop, every threshold tried, labels repeated and in any order."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    twice = labels.unionByName(labels.withColumn("quality", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("quality")).cast(labels.schema["quality"].dataType)))
+    forest = quality_rules.fit_forest(docs.select(F.col("doc_id").alias("id"), "text"))
+    batch = pa.RecordBatch.from_pandas(docs.toPandas())
+    counts, x = quality_rules.statistics(batch)
+    failed, x = quality_rules.base_failed(counts), x[:, quality_rules.RULE_FEATURES]
+
+    def path(row, at):
+        while forest.feature[at] >= 0:
+            at = forest.child[at][int(row[forest.feature[at]] > forest.split[at])]
+        return forest.length[at]
+
+    score = [2 ** (-sum(path(row, r) for r in forest.roots) / len(forest.roots) / float(forest.expected_path(forest.rows))) for row in x]
+    quality = dict(labels.filter("quality is not null").select("doc_id", "quality").collect())
+    live = [(int(s * quality_rules.BINS), quality[i] > 0) for i, f, s in zip(batch["doc_id"].to_pylist(), failed, score, strict=True) if not f and i in quality]
+    best = None
+    for t in range(quality_rules.BINS + 1):
+        good, bad = sum(g and b >= t for b, g in live), sum(not g and b >= t for b, g in live)
+        if bad and 2 * good <= bad and good <= quality_rules.FALSE_REJECTS * sum(g for _, g in live):
+            loss = sum(not g for _, g in live) - bad + quality_rules.GOOD_WEIGHT * good
+            best = min(best or (math.inf, 0), (loss, -t))
+    limit = -best[1] / quality_rules.BINS if best else math.inf
+    want = {i: not f and s < limit for i, f, s in zip(batch["doc_id"].to_pylist(), failed, score, strict=True)}
+    for given_labels in (labels, twice, twice.orderBy(F.desc("quality"))):
+        got = quality_rules.quality_rules_digest(docs, given_labels).select("doc_id", "kept").collect()
+        assert {r["doc_id"]: r["kept"] for r in got} == want
+    assert 0 < sum(want.values()) < len(want)
+    kept = quality_rules.keep_good(docs, twice).select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == sorted(i for i, k in want.items() if k)
+
+
 def test_isolation_forest_isolates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
@@ -525,7 +561,7 @@ def test_target_text_scores_lower(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(queries.BYTE_BPE)
+    return Tokenizer.from_file(queries.byte_bpe())
 
 
 def test_bpe_query(spark, docs, tokenizer):
@@ -533,9 +569,9 @@ def test_bpe_query(spark, docs, tokenizer):
     for i, t, *_ in made_up():
         e = tokenizer.encode(t or "", add_special_tokens=False)
         want.append((i, len(e.ids), hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest(), sha(tokenizer.decode(e.ids, skip_special_tokens=False))))
-    assert sorted(map(tuple, bpe.bpe_digest(docs, queries.BYTE_BPE).collect()), key=str) == sorted(want, key=str)
-    assert bpe.bpe_digest(empty(spark), queries.BYTE_BPE).count() == 0
-    full = bpe.encode_decode(docs.withColumn("ids", F.lit(0)), queries.BYTE_BPE)
+    assert sorted(map(tuple, bpe.bpe_digest(docs, queries.byte_bpe()).collect()), key=str) == sorted(want, key=str)
+    assert bpe.bpe_digest(empty(spark), queries.byte_bpe()).count() == 0
+    full = bpe.encode_decode(docs.withColumn("ids", F.lit(0)), queries.byte_bpe())
     assert full.columns == [*docs.columns, "ids", "decoded"] and full.filter("decoded <> coalesce(text, '')").count() == 0
 
 
@@ -546,14 +582,32 @@ _own = {}
 @settings(max_examples=300, deadline=None)
 @given(_TEXTS)
 def test_bpe_equals_the_library(tokenizer, text):
-    own = _own.setdefault("bpe", bpe.ByteBpe(queries.BYTE_BPE))
+    own = _own.setdefault("bpe", bpe.ByteBpe(queries.byte_bpe()))
     e = tokenizer.encode(text, add_special_tokens=False)
     assert own.encode(text) == e.ids
     assert own.decode(e.ids) == tokenizer.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_whole_tables(spark, tokenizer):
+    """Every text of a table, with few pieces kept, and texts that are cut into chunks."""
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    long = [" ".join(texts)[:1_300_000], "ab" * 30_000, "word\n" * 300_000, "<|endoftext|> x" * 9, "é" * 70 + " " + "é" * 31]
+    own = bpe.ByteBpe(queries.byte_bpe())
+    for some in (texts, long, texts[:50]):
+        packed = [b""] * len(some)
+        for parts in own.encode_stream(some):
+            for r, ids in parts:
+                packed[r] += ids
+        want = [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in packed] == want
+        assert [x.decode("utf-8", "replace") for x in own.bytes_of(packed)] == some
+        own.forget()
+        assert len(own.cache) <= bpe.HOT_PIECES
+    assert all("".join(bpe.chunks(t, 7)) == t for t in ["", "a b", "a  \n b" * 9, "x" * 50, " " * 50 + "x"])
+
+
 def test_bpe_of_bytes_that_are_no_text(tokenizer):
-    own = _own.setdefault("bpe", bpe.ByteBpe(queries.BYTE_BPE))
+    own = _own.setdefault("bpe", bpe.ByteBpe(queries.byte_bpe()))
     rng = random.Random(0)
     for _ in range(300):
         ids = [rng.randrange(50257) for _ in range(8)]
@@ -581,12 +635,12 @@ def test_languages_on_held_out_rows(spark):
 
 
 def test_language_edges(spark, docs):
-    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.language_digest(docs, queries.PIECES).collect()}
+    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.language_digest(docs, queries.pieces()).collect()}
     odd = {i for i, t, *_ in made_up() if t is None or not any(c.isalpha() for c in t)}
     assert {i for i, p in got if p == "und"} == odd
-    nothing = language_id.language_digest(docs.withColumn("lang", F.lit(None).cast("string")), queries.PIECES)
+    nothing = language_id.language_digest(docs.withColumn("lang", F.lit(None).cast("string")), queries.pieces())
     assert nothing.filter("lang_pred <> 'und' or score <> 0").count() == 0
-    assert language_id.language_digest(empty(spark), queries.PIECES).count() == 0
+    assert language_id.language_digest(empty(spark), queries.pieces()).count() == 0
 
 
 def test_forward_sums_all_segmentations():
@@ -649,11 +703,16 @@ def test_revisits(spark, spans):
             headers["Last-Modified"] = rng.choice("xy")
         headers[rng.choice(["Content-Length", "Date", "CACHE-CONTROL"])] = str(i)
         rows.append((i, url, ts, rng.choice(["revisit", "response"]), headers if rng.random() > 0.05 else None))
+    rows += [r for r in rows if r[3] == "revisit"][:60] + rows[:1]  # repeated records
+    rows.append((7, "h.org/a", datetime(2024, 1, 1, 1), "response", {"ETag": "1"}))  # an id that others have
     df = spark.createDataFrame(rows, "record_id bigint, url string, ts timestamp, kind string, headers map<string,string>").withColumn("status", F.lit("mine"))
     got = warc_revisits.resolve_revisits(df, spans).select("record_id", "refers_to", "status", "merged").collect()
     assert sorted(((a, b, c, None if d is None else tuple(sorted(d.items()))) for a, b, c, d in got), key=str) == brute_revisits(rows)
     payload = warc_revisits.with_payload(warc_revisits.resolve_revisits(df, spans), df.withColumn("payload", F.concat(F.lit("p"), "record_id")))
     assert payload.filter("refers_to is not null and payload <> concat('p', refers_to)").count() == 0
+    assert payload.count() == len(got)
+    odd = warc_revisits.resolve_revisits(spark.createDataFrame([(None, "h.org/a", datetime(2024, 1, 2), "revisit", None, "x")], df.drop("status").schema.add("span", "string")), spans)
+    assert [tuple(r) for r in odd.select("span", "canonical", "status").collect()] == [("x", None, "missing")]
     assert warc_revisits.resolve_revisits(df.limit(0), spans).count() == 0
 
 
