@@ -15,7 +15,7 @@ from chronoloom.llm.decontaminate import decontaminate
 from chronoloom.llm.line_dedup import dedup_lines
 from chronoloom.llm.near_dedup import keep_one
 from chronoloom.llm.quality_rules import keep_good
-from chronoloom.llm.queries import BYTE_BPE
+from chronoloom.llm.queries import byte_bpe
 
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return bpe_digest(docs, BYTE_BPE)
+    return bpe_digest(docs, byte_bpe())
 
 
 STAGES = [
