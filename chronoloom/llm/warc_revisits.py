@@ -7,20 +7,25 @@ one, else the Last-Modified dates if both have one); then headers of the 304 tha
 update a stored response replace those of the response, except the ones that describe
 the payload itself.
 
-A URL may hold a third of all records. Therefore time is cut into at most ``SPANS`` spans
-by quantiles over all records; within (URL, span) a window carries the last full response
-along, and what a span starts with is the last full response of the spans before it,
-found by a window over at most ``SPANS`` summary rows per URL. No window sees all records
-of a hot URL.
+A URL may hold a third of all records. Therefore time is cut into spans by quantiles over all
+records, one for about ``SPAN_ROWS`` records, ``SPANS`` at least and ``MOST_SPANS`` at most (longer
+spans only take longer); within (URL, span) a window carries the last full response along, and
+what a span starts with is the last full response of the spans before it, found by a window over
+one summary row per span. No window sees all records of a hot URL. Every revisit goes through as
+one row with all its columns; nothing is joined back by record_id.
 
 Records: (record_id long, url string, ts timestamp, kind string: 'response' or 'revisit',
-headers map<string,string>). Other columns are carried through.
-
-Defined cases: null URLs and null times are never matched; of full responses at one time the
-largest record_id is the latest; a response at the time of the revisit itself counts as
-earlier only if its record_id is smaller; a revisit without an earlier full response is
+headers map<string,string>). Other columns are carried through; columns named like the results
+are replaced.
+
+Defined cases: revisits with a null URL, time or record_id are ``missing`` with a null canonical
+URL, and such responses answer no one; null headers are none; of full responses at one time the
+largest record_id is the latest, and of equal record_ids the one whose sorted headers have the
+largest hash; a response at the time of the revisit itself counts as earlier only if its record_id
+is smaller; repeated revisits have a row each; a revisit without an earlier full response is
 ``missing``, one whose validators disagree or are absent ``mismatch``; header names compare
-without case, and repeated names keep the last value.
+without case, and repeated names keep the last value; an empty table gives an empty one; header
+values and URLs of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import documents, stash
 
-SPANS = 64
+SPANS, MOST_SPANS, SPAN_ROWS = 64, 1024, 1_000_000
 #: Headers that a 304 must not change, as they describe the stored payload (fixed values).
 PAYLOAD_HEADERS = ("content-length", "content-encoding", "content-type", "content-range", "transfer-encoding", "trailer", "connection", "keep-alive", "te", "upgrade")
 
@@ -69,44 +74,54 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(permitted), k)), permitted)
 
 
-def span_bounds(records: DataFrame, spans: int = SPANS) -> list:
-    """At most spans - 1 cutting times, from a sketch over all records."""
-    q = [i / spans for i in range(1, spans)]
-    cuts = records.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), q, 10000)).first()[0]
-    return sorted(set(cuts or []))
+def span_bounds(records: DataFrame, spans: int | None = None) -> list:
+    """Cutting times, fewer than spans (by the count of records where that is None), from a sketch over all records."""
+    q = [i / MOST_SPANS for i in range(1, MOST_SPANS)]
+    n, cuts = records.agg(F.count("*"), F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), q, 10000)).first()
+    spans = spans or min(MOST_SPANS, max(SPANS, -(-n // SPAN_ROWS)))
+    return sorted({cuts[i * MOST_SPANS // spans - 1] for i in range(1, spans)}) if cuts else []
+
+
+RESULTS = ("canonical", "refers_to", "status", "merged")
 
 
-def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
+def resolve_revisits(records: DataFrame, spans: int | None = None) -> DataFrame:
     """The revisit records with columns: canonical, refers_to, status ('resolved', 'mismatch',
     'missing') and merged (headers; null unless resolved)."""
     cuts = span_bounds(records, spans)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("__t")))
-    lean = records.select(canonical_url(F.col("url")).alias("canonical"), micros.alias("__t"), "record_id", (F.col("kind") == "response").alias("full"), _lower_keys(F.col("headers")).alias("h"))
-    lean = lean.filter("canonical is not null and __t is not null and record_id is not null").withColumn("span", span)
-    own = F.struct(F.col("__t").alias("t"), F.col("record_id").alias("r"), F.col("h").alias("h"))
-    last = F.last(F.when(F.col("full"), own), ignorenulls=True)
+    names = [c for c in records.columns if c not in RESULTS]
+    full, revisit = F.col("kind") == "response", F.col("kind") == "revisit"
+    row = F.when(revisit, F.struct(*names))  # what is carried through, of revisits alone
+    usable = F.col("url").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
+    lean = records.filter(usable & (full | revisit)).select(
+        canonical_url(F.col("url")).alias("__url"), micros.alias("__t"), F.col("record_id").alias("__id"), full.alias("__full"), _lower_keys(F.col("headers")).alias("__h"), row.alias("__row")
+    )
+    lean = lean.withColumn("__span", span).withColumn("__tie", F.when(F.col("__full"), F.xxhash64(F.array_sort(F.map_entries("__h")))))
+    own = F.struct(F.col("__t").alias("t"), F.col("__id").alias("r"), F.col("__h").alias("h"))
+    last = F.last(F.when(F.col("__full"), own), ignorenulls=True)
     # within a span: the last full response before each record; after it: the span's last
-    inside = Window.partitionBy("canonical", "span").orderBy("__t", "record_id")
-    found = lean.withColumn("near", last.over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = lean.filter("full").groupBy("canonical", "span").agg(F.max_by(own, F.struct("__t", "record_id")).alias("end"))
-    needed = ends.select("canonical", "span", "end").unionByName(lean.filter("not full").select("canonical", "span").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType)))
-    per_span = needed.groupBy("canonical", "span").agg(F.max_by("end", F.col("end").isNotNull()).alias("end"))
-    carried = per_span.withColumn("carry", F.last("end", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select("canonical", "span", "carry")
-    joined = found.filter("not full").join(carried, ["canonical", "span"]).withColumn("base", F.coalesce("near", "carry"))
-    status = F.when(F.col("base").isNull(), "missing").when(_agrees(F.col("h"), F.col("base.h")), "resolved").otherwise("mismatch")
+    inside = Window.partitionBy("__url", "__span").orderBy("__t", "__id", "__full", "__tie")
+    found = lean.withColumn("__near", last.over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    summary = lean.groupBy("__url", "__span").agg(F.max_by(F.when(F.col("__full"), own), F.when(F.col("__full"), F.struct("__t", "__id", "__tie"))).alias("__end"))
+    carried = summary.withColumn("__carry", F.last("__end", ignorenulls=True).over(Window.partitionBy("__url").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))).select("__url", "__span", "__carry")
+    joined = found.filter("not __full").join(carried, ["__url", "__span"]).withColumn("__base", F.coalesce("__near", "__carry"))
+    status = F.when(F.col("__base").isNull(), "missing").when(_agrees(F.col("__h"), F.col("__base.h")), "resolved").otherwise("mismatch")
+    resolved = F.col("status") == "resolved"
     result = joined.withColumn("status", status).select(
-        F.col("record_id").alias("__id"), "canonical", F.when(F.col("status") == "resolved", F.col("base.r")).alias("refers_to"), "status",
-        F.when(F.col("status") == "resolved", merged_headers(F.col("base.h"), F.col("h"))).alias("merged"),
+        *(F.col("__row").getField(c).alias(c) for c in names), F.col("__url").alias("canonical"), F.when(resolved, F.col("__base.r")).alias("refers_to"), "status",
+        F.when(resolved, merged_headers(F.col("__base.h"), F.col("__h"))).alias("merged"),
     )
-    revisits = records.filter("kind = 'revisit'")
-    names = [c for c in revisits.columns if c not in ("canonical", "refers_to", "status", "merged")]
-    return revisits.select(*names).join(result, revisits["record_id"] == result["__id"], "left").drop("__id").withColumn("status", F.coalesce("status", F.lit("missing")))
+    kinds = {c: result.schema[c].dataType for c in RESULTS}
+    rest = records.filter(revisit & ~usable).select(*names, *(F.lit("missing" if c == "status" else None).cast(t).alias(c) for c, t in kinds.items()))
+    return result.unionByName(rest)
 
 
 def with_payload(resolved: DataFrame, records: DataFrame, payload: str = "payload") -> DataFrame:
-    """Resolved revisits with the payload of the response they refer to."""
-    stored = records.filter("kind = 'response'").select(F.col("record_id").alias("__ref"), F.col(payload).alias("__payload"))
+    """Resolved revisits with the payload of the response they refer to; of repeated record_ids the latest
+    response, and of those at one time the largest payload."""
+    stored = records.filter("kind = 'response' and record_id is not null").groupBy(F.col("record_id").alias("__ref")).agg(F.max_by(payload, F.struct("ts", payload)).alias("__payload"))
     return resolved.drop(payload).join(stored, resolved["refers_to"] == stored["__ref"], "left").drop("__ref").withColumnRenamed("__payload", payload)
 
 
