@@ -1,10 +1,11 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 Each language has probabilities of the pieces of a fixed public vocabulary. A word (a run
-of letters and marks between blanks, in lower case, with a mark for its beginning) has as
-probability the sum over all ways to cut it into pieces, by a forward recursion; single
-characters are always pieces, so each word has one way at least. A text's log-probability
-is the sum over its words, and languages compete with equal priors.
+of letters and marks, in lower case, with a mark for its beginning) has as probability the
+sum over all ways to cut it into pieces, by a forward recursion; single characters are
+always pieces, so each word has one way at least. A text's log-probability is the sum over
+its words, and languages compete with equal priors. All letter pieces of the vocabulary
+take part, whatever their length, and words are never cut.
 
 The probabilities are learned by expectation maximisation: forward and backward sums give
 expected piece counts per language in each task, and tasks' sums meet by (language,
@@ -13,11 +14,15 @@ documents with a language whose crc32(doc_id as text) mod 3 is not 1. Every docu
 scored, where it lies.
 
 Words are counted once per slice of a batch, and the recursion runs over all distinct
-words of one length together.
+words of one length together; words over ``LONG_WORD`` characters go one by one, in
+logarithms, which no length takes out of range.
 
 Defined cases: ``lang_pred`` is ``und`` with score 0 for null texts and texts without a
 letter, and where nothing could be learned; null languages do not teach; ties go to the
-first language in alphabetical order.
+first language in alphabetical order; null ids and repeated rows are rows like others; an
+empty table gives an empty one; texts of any length are taken whole, a slice of words at a
+time. The model has a column per language, so more than ``MOST_LANGUAGES`` distinct values of
+lang are an error rather than a model of unknown size.
 """
 
 from __future__ import annotations
@@ -34,8 +39,7 @@ from chronoloom.llm import bytewise as bw
 from chronoloom.llm.common import fold, small_batches, stash
 
 FIT_DOCS, ROUNDS, SMOOTHING = 1500, 2, 0.1
-#: Most characters of a piece, the mark included, and of a word part; longer words are cut.
-PIECE_CHARS, WORD_CHARS = 8, 24
+MOST_LANGUAGES, LONG_WORD = 500, 32
 #: The words of a batch that are treated at a time.
 SLICE_BYTES = 1 << 20
 MARK = "▁"
@@ -50,52 +54,61 @@ def load_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= PIECE_CHARS and regex.fullmatch(MARK + r"?[\p{L}\p{M}]*", p)} - {""})
+    return sorted({p for p in pieces if regex.fullmatch(MARK + r"?[\p{L}\p{M}]*", p)} - {""})
 
 
-def _hash_chars(chars: np.ndarray) -> np.ndarray:
-    """Hashes of rows of code points."""
-    h = np.full(len(chars), np.uint64(chars.shape[1]))
-    for k in range(chars.shape[1]):
-        h = (h ^ chars[:, k].astype(np.uint64)) * _CHAR_MIX
-        h ^= h >> np.uint64(29)
-    return h
+def _longer(h: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Hashes of pieces that go on by a character each."""
+    h = (h ^ chars.astype(np.uint64)) * _CHAR_MIX
+    return h ^ (h >> np.uint64(29))
 
 
 class Pieces:
-    """Numbers of pieces by length; number 0 stands for any character outside the vocabulary."""
+    """Numbers of pieces; number 0 stands for any character outside the vocabulary.
+
+    ``hashes`` are those of all beginnings of pieces, ``numbers`` the pieces that they are (-1: a
+    beginning only), so a piece is found by going on from character to character.
+    """
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length in range(1, PIECE_CHARS + 1):
-            own = [i for i, p in enumerate(pieces) if len(p) == length]
-            if own:
-                h = _hash_chars(np.array([[ord(c) for c in pieces[i]] for i in own], np.uint32))
-                order = np.argsort(h)
-                self.by_length[length] = (h[order], (np.array(own) + 1)[order])
-
-    def find(self, chars: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces that rows of code points are, -1 for none (0 if one character)."""
-        none = 0 if chars.shape[1] == 1 else -1
-        if chars.shape[1] not in self.by_length:
-            return np.full(len(chars), none)
-        hashes, numbers = self.by_length[chars.shape[1]]
-        h = _hash_chars(chars)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        return np.where(hashes[at] == h, numbers[at], none)
+        self.longest = max(map(len, pieces), default=1)
+        number = {p: i + 1 for i, p in enumerate(pieces)}
+        beginnings = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)}, key=len)
+        found: dict[str, int] = {}
+        for p in beginnings:
+            found[p] = int(_longer(np.array([found.get(p[:-1], 0)], np.uint64), np.array([ord(p[-1])]))[0])
+        hashes = np.array([found[p] for p in beginnings], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array([number.get(p, -1) for p in beginnings], np.int64)[order]
+
+    def from_start(self, chars: np.ndarray):
+        """Of rows of code points: (length, rows, piece numbers) of the pieces at their beginning."""
+        rows, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        for length in range(1, min(chars.shape[1], self.longest) + 1):
+            h = _longer(h, chars[rows, length - 1])
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                known = self.hashes[at] == h
+                numbers = np.where(known, self.numbers[at], -1)
+            else:
+                known, numbers = np.zeros(len(h), bool), np.full(len(h), -1)
+            if length == 1:
+                numbers = np.maximum(numbers, 0)
+            hit = numbers >= 0
+            if hit.any():
+                yield length, rows[hit], numbers[hit]
+            rows, h = rows[known], h[known]
+            if not len(rows):
+                return
 
     def lattice(self, chars: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """(end, length) -> rows and piece numbers, for words of equal length."""
-        n = chars.shape[1]
+        """(end, length) -> rows and piece numbers, for words of equal length, ends ascending."""
         out = {}
-        for end in range(1, n + 1):
-            for length in range(1, min(end, PIECE_CHARS) + 1):
-                numbers = self.find(chars[:, end - length : end])
-                rows = np.flatnonzero(numbers >= 0)
-                if len(rows):
-                    out[end, length] = (rows, numbers[rows])
-        return out
+        for start in range(chars.shape[1]):
+            for length, rows, numbers in self.from_start(chars[:, start:]):
+                out[start + length, length] = (rows, numbers)
+        return dict(sorted(out.items()))
 
 
 def forward(lattice: dict, n_words: int, n_chars: int, p: np.ndarray) -> np.ndarray:
@@ -121,6 +134,35 @@ def expected_counts(lattice: dict, alpha: np.ndarray, p: np.ndarray, weight: np.
             out[:, language] += np.bincount(numbers, weights=share[:, language], minlength=len(out))
 
 
+class LongWord:
+    """Segmentations of one long word (code points): the same recursions in logarithms."""
+
+    def __init__(self, pieces: Pieces, chars: np.ndarray):
+        self.n = n = len(chars)
+        padded = np.concatenate([chars, np.zeros(pieces.longest, chars.dtype)])  # no piece has a character 0
+        windows = np.lib.stride_tricks.sliding_window_view(padded, pieces.longest)[:n]
+        found = [(rows, rows + length, numbers) for length, rows, numbers in pieces.from_start(windows)]
+        self.start, self.end, self.number = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.by_end, self.by_start = np.argsort(self.end, kind="stable"), np.argsort(self.start, kind="stable")
+
+    def sums(self, log_p: np.ndarray, back: bool = False) -> np.ndarray:
+        """[n + 1, languages]: logarithms of the sums over segmentations of each prefix (or suffix)."""
+        order, here, there = (self.by_start, self.start, self.end) if back else (self.by_end, self.end, self.start)
+        borders = np.searchsorted(here[order], np.arange(self.n + 2))
+        out = np.zeros((self.n + 1, log_p.shape[1]))
+        for at in range(self.n - 1, -1, -1) if back else range(1, self.n + 1):
+            some = order[borders[at] : borders[at + 1]]
+            x = out[there[some]] + log_p[self.number[some]]
+            most = x.max(0)
+            out[at] = most + np.log(np.exp(x - most).sum(0))
+        return out
+
+    def add_counts(self, log_p: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+        head, tail = self.sums(log_p), self.sums(log_p, True)
+        share = np.exp(head[self.start] + log_p[self.number] + tail[self.end] - head[self.n]) * weight
+        np.add.at(out, self.number, share)
+
+
 def lowered(part: pa.RecordBatch) -> list[str]:
     return [(t or "").lower() for t in part.column("text").to_pylist()]
 
@@ -153,22 +195,16 @@ def distinct_words(texts: list[str]):
 
 
 def word_parts(words: list[str]):
-    """Marked words as code points, grouped by length: length -> (word numbers, code points).
+    """Marked words as code points, grouped by length: length -> (numbers of words, code points).
 
-    Words over WORD_CHARS are cut into parts, so a word may have several.
+    Separators outside ASCII are taken here: one entry of ``words`` may hold several words.
     """
     groups: dict[int, tuple[list[int], list[str]]] = {}
     for i, word in enumerate(words):
-        if not word.isalpha():  # other than ASCII: keep letters and marks only
-            word = "".join(_WORDS.findall(word))
-            if not word:
-                continue
-        word = MARK + word
-        for k in range(0, len(word), WORD_CHARS):
-            piece = word[k : k + WORD_CHARS]
-            numbers, strings = groups.setdefault(len(piece), ([], []))
+        for run in [word] if word.isalpha() else _WORDS.findall(word):
+            numbers, strings = groups.setdefault(len(run) + 1, ([], []))
             numbers.append(i)
-            strings.append(piece)
+            strings.append(MARK + run)
     return {n: (np.array(numbers), np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(-1, n)) for n, (numbers, strings) in groups.items()}
 
 
@@ -176,6 +212,10 @@ def word_scores(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """[words, languages]: log-probabilities."""
     out = np.zeros((len(words), p.shape[1]))
     for n, (numbers, chars) in word_parts(words).items():
+        if n > LONG_WORD:
+            for number, one in zip(numbers.tolist(), chars, strict=True):
+                out[number] += LongWord(pieces, one).sums(np.log(p))[n]
+            continue
         alpha = forward(pieces.lattice(chars), len(chars), n, p)
         np.add.at(out, numbers, np.log(np.maximum(alpha[n], 1e-300)))
     return out
@@ -218,7 +258,9 @@ class LanguageModel:
 def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> LanguageModel:
     """docs: text, lang (not null), id. Piece counts of size languages x pieces reach the driver."""
     spark = docs.sparkSession
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct values of lang")
     languages = sorted(sizes)
     pieces = Pieces(load_pieces(path))
     p = np.full((pieces.size, len(languages)), 1.0 / pieces.size)
@@ -246,6 +288,10 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int = ROUN
                     weight = np.zeros((len(words), p.shape[1]))
                     np.add.at(weight, (which, language), 1.0)
                     for n, (numbers, chars) in word_parts(words).items():
+                        if n > LONG_WORD:
+                            for i, one in zip(numbers.tolist(), chars, strict=True):
+                                LongWord(pieces, one).add_counts(np.log(p), weight[i], out)
+                            continue
                         lattice = pieces.lattice(chars)
                         expected_counts(lattice, forward(lattice, len(chars), n, p), p, weight[numbers], out)
             piece, language = np.nonzero(out > 1e-9)

@@ -1,5 +1,6 @@
 """The text operators beside brute force, on small made-up documents and on the smallest tables."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -662,6 +664,64 @@ def test_forward_sums_all_segmentations():
     for word in ("ab", "abba", "xab", "b", "aaaa"):
         got = language_id.word_scores([word], pieces, p)[0]
         assert np.allclose(np.exp(got), [total("▁" + word, k) for k in (0, 1)])
+    # separators outside ASCII end words, and words of any length are one piece of work
+    got = language_id.word_scores(["ab—ba", "ab", "ba", "ab" * 40, "ab" * 9], pieces, p)
+    assert np.allclose(got[0], got[1] + got[2])
+    table = functools.lru_cache(None)(lambda i, k: 1.0 if i == 81 else sum(p[number.get(w[i:j], 0), k] * table(j, k) for j in range(i + 1, min(i + 3, 81) + 1) if w[i:j] in number or j == i + 1))
+    w = "▁" + "ab" * 40
+    assert np.allclose(got[3], np.log([table(0, 0), table(0, 1)]))
+    ((n, (_, chars)),) = language_id.word_parts(["ab" * 9]).items()
+    one, counts, want = language_id.LongWord(pieces, chars[0]), np.zeros(p.shape), np.zeros(p.shape)
+    assert np.allclose(one.sums(np.log(p))[n], got[4]) and np.allclose(one.sums(np.log(p), True)[0], got[4])
+    one.add_counts(np.log(p), np.array([1.0, 2.0]), counts)
+    lattice = pieces.lattice(chars)
+    language_id.expected_counts(lattice, language_id.forward(lattice, 1, n, p), p, np.array([[1.0, 2.0]]), want)
+    assert np.allclose(counts, want)
+
+
+def test_all_letter_pieces_take_part():
+    names = language_id.load_pieces(queries.pieces())
+    pieces = language_id.Pieces(names)
+    assert pieces.longest == max(map(len, names)) > 8
+    long = max(names, key=len)
+    _, rows, numbers = [x for x in pieces.from_start(np.array([[ord(c) for c in long]])) if x[0] == len(long)][0]
+    assert names[numbers[0] - 1] == long
+
+
+def test_languages_tie_and_are_bounded(spark, monkeypatch):
+    rows = [(i, "abc abd", lang, 1) for i in range(60) for lang in ("b", "a")] + [(None, "abc", None, 1), (None, "abc", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int")
+    got = language_id.language_digest(docs, queries.pieces()).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} == {"a"}
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="distinct values of lang"):
+        language_id.language_digest(docs, queries.pieces())
+
+
+def test_language_query_by_brute_force(spark):
+    """Predictions from the learned probabilities by a plain recursion over each word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    inner = docs.withColumnRenamed("doc_id", "id")
+    model = language_id.fit(inner.filter("lang is not null and text is not null").filter(language_id.fold("id", 3) != 1), queries.pieces())
+    number = {p: i + 1 for i, p in enumerate(language_id.load_pieces(queries.pieces()))}
+    log_p = np.log(model.p)
+
+    @functools.lru_cache(None)
+    def score(word):
+        sums = [np.zeros(log_p.shape[1])]
+        for end in range(1, len(word) + 1):
+            ways = [sums[i] + log_p[number.get(word[i:end], 0)] for i in range(end) if word[i:end] in number or i == end - 1]
+            sums.append(np.logaddexp.reduce(ways))
+        return sums[-1]
+
+    for r, text in zip(language_id.language_digest(docs, queries.pieces()).orderBy("doc_id").collect(), [x["text"] for x in docs.orderBy("doc_id").collect()], strict=True):
+        found = regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+        if not regex.search(r"\p{L}", text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        total = sum(score("▁" + w) for w in found)
+        share = np.exp(total - np.logaddexp.reduce(total))
+        assert r["score"] == pytest.approx(share.max(), abs=1e-3) and share[model.languages.index(r["lang_pred"])] == pytest.approx(share.max(), abs=1e-3)
 
 
 # -- 8: revisits ---------------------------------------------------------------------------
