@@ -6,17 +6,22 @@ documents are *shared*: all their lines go except those in the largest doc_id.
 
 ``postings`` (one row per key and document) is the exact table; its counts decide.
 The cuckoo filters hold the shared keys, a filter per shard, and let a scan of
-documents skip nearly all lines before the exact join. They support insertion and
-deletion, so ``LineIndex.insert`` and ``LineIndex.delete`` move an index both ways:
+documents skip nearly all lines before the exact join. Filters of ``BROADCAST_BYTES`` in
+all go to the scan; larger ones stay, and keys are sent to the filter of their shard
+instead, hot shards split over several tasks. They support insertion and deletion, so ``LineIndex.insert`` and ``LineIndex.delete`` move an index both ways:
 deleting what was inserted gives the index as it was, in effect.
 
 Defined cases: a null or empty text is one empty line and stays; rows with a null id
 neither count as documents nor lose lines; rows that share an id count as one
-document and lose the same keys; other columns are carried through untouched.
+document and lose the same keys; of repeated lines in the kept document all stay; an
+empty table gives an empty one; texts of any length are cut into lines whole, in some
+60 bytes of memory a byte of the longest text; other columns are carried through
+untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bytewise as bw
-from chronoloom.llm.common import schema_plus, small_batches, stash
+from chronoloom.llm.common import hinted, schema_plus, small_batches, stash
 
 KEY_SEEDS = (11, 12)
 #: Keys a shard's filter is planned for, and the total size up to which filters are broadcast.
 SHARD_KEYS = 1 << 16
 BROADCAST_BYTES = 32 << 20
+#: Keys of documents that one task probes where filters are not broadcast, about.
+PROBE_ROWS = 1 << 22
 
 
 class CuckooFilter:
@@ -242,14 +249,48 @@ class LineIndex:
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """(id, drop): for each document that loses lines, their keys as one array."""
-        spark = docs.sparkSession
-        probe = None
-        if self.bytes <= BROADCAST_BYTES:  # beyond that, the exact join alone decides
+        if self.bytes <= BROADCAST_BYTES:
             rows = self.filters.select("shard", "filter").collect()
-            probe = spark.sparkContext.broadcast((self.n_shards, {r[0]: CuckooFilter.load(bytes(r[1])) for r in rows}))
-        found = line_keys(docs, self.min_chars, probe).join(self.shared, ["k1", "k2"]).filter("id <> top_doc")
+            probe = docs.sparkSession.sparkContext.broadcast((self.n_shards, {r[0]: CuckooFilter.load(bytes(r[1])) for r in rows}))
+            maybe = line_keys(docs, self.min_chars, probe)
+        else:
+            maybe = self._probe_in_shards(line_keys(docs, self.min_chars))
+        found = maybe.join(self.shared, ["k1", "k2"]).filter("id <> top_doc")
         return found.groupBy("id").agg(F.collect_set("k1").alias("drop"))
 
+    def _probe_in_shards(self, keys: DataFrame) -> DataFrame:
+        """The keys (id, k1, k2) that the filter of their shard may hold.
+
+        Each task gets its shard's filter in front of the keys and streams them past it. A shard
+        of many occurrences has several tasks, by a hash of the id, each with a copy of the filter.
+        """
+        load = self.shared.groupBy(_shard(self.n_shards).alias("shard")).agg(F.ceil(F.sum("n_docs") / PROBE_ROWS).cast("int").alias("parts"))
+        filters = self.filters.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "filter")
+        split = keys.withColumn("shard", _shard(self.n_shards)).join(hinted(load.filter("parts > 1")), "shard", "left")
+        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+        both = filters.select("shard", "part", "filter", *(F.lit(None).cast("bigint").alias(c) for c in ("id", "k1", "k2"))).unionByName(
+            split.select("shard", part.alias("part"), F.lit(None).cast("binary").alias("filter"), "id", "k1", "k2")
+        )
+        dealt = both.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, current = None, None
+            for batch in batches:
+                shard, part = batch.column("shard").to_numpy(), batch.column("part").to_numpy()
+                borders = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(shard)]
+                for low, high in itertools.pairwise(borders) if len(shard) else ():
+                    some = batch.slice(low, high - low)
+                    if (place := (shard[low], part[low])) != at:
+                        at, current = place, None
+                    if some.column("filter")[0].is_valid:
+                        current = CuckooFilter.load(some.column("filter")[0].as_py())
+                        some = some.slice(1)
+                    if current is not None and some.num_rows:  # without a filter the shard has no shared key
+                        hit = current.contains(some.column("k1").to_numpy().view(np.uint64))
+                        yield some.select(["id", "k1", "k2"]).filter(pa.array(hit))
+
+        return dealt.mapInArrow(scan, "id bigint, k1 bigint, k2 bigint")
+
 
 def apply_drops(docs: DataFrame, drops: DataFrame, min_chars: int = 20) -> DataFrame:
     """docs (any columns, among them id and text) with the lines dropped.

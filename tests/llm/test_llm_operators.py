@@ -117,6 +117,22 @@ def test_line_dedup(spark, docs):
     assert line_dedup.line_dedup_digest(empty(spark)).count() == 0
 
 
+def test_line_filters_act_at_every_size(spark, docs, monkeypatch):
+    """Filters too large to be sent out are probed where their shard is, hot shards in several tasks."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    for rows in (1, 1 << 22):
+        monkeypatch.setattr(line_dedup, "PROBE_ROWS", rows)
+        assert sorted(map(tuple, line_dedup.line_dedup_digest(docs).collect()), key=str) == brute_lines(made_up())
+        inner = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+        index = line_dedup.LineIndex.build(inner)
+        every, maybe = line_dedup.line_keys(inner), index._probe_in_shards(line_dedup.line_keys(inner))
+        shared = {(r["k1"], r["k2"]) for r in index.shared.collect()}
+        hit, all_ = sorted(map(tuple, maybe.collect())), sorted(map(tuple, every.collect()))
+        assert len(hit) < len(all_) and [k for k in all_ if k[1:] in shared] == [k for k in hit if k[1:] in shared]
+    assert line_dedup.line_dedup_digest(empty(spark)).count() == 0
+
+
 def test_line_dedup_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "t", 7, "a" * 30, "x")], "doc_id bigint, __drop string, k1 int, text string, id string").withColumn("n_lines", F.lit(99))
     got = line_dedup.dedup_lines(df)
