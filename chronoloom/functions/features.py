@@ -189,8 +189,8 @@ def pelt_rbf(x: np.ndarray, penalty: float, least: int = 2, jump: int = 5) -> li
     alive, inner, costs, at = np.zeros(1, np.int64), np.zeros(1), np.zeros(1), 0
     for e in [e for e in [*range(0, n, jump), n] if e >= least]:
         low = alive[0]
-        d = (x[low:e, None] - x[None, at:e]) ** 2
-        k = np.exp(-np.clip(gamma * d, 1e-2, 1e2) * (d > 0))
+        k = np.exp(-np.clip(gamma * (x[low:e, None] - x[None, at:e]) ** 2, 1e-2, 1e2))
+        k[np.arange(at - low, e - low), np.arange(e - at)] = 1.0  # a point with itself; equal points are clipped like others
         # the new columns from each start on: those above the new square count twice
         above = np.append(np.cumsum(k[: at - low].sum(1)[::-1])[::-1], 0.0)
         inner += 2 * above[alive - low] + k[at - low :].sum()
@@ -362,37 +362,49 @@ def event_summary(series: DataFrame) -> DataFrame:
 # -- reports and the table of all -----------------------------------------------------
 
 
-def _lines(title: str, **rows: tuple[str, str]) -> Column:
-    number = lambda c, fmt: F.format_string(fmt, F.round(F.col(c), int(fmt[2])))
-    return F.concat_ws("\n", F.lit(title), *(F.concat(F.lit(f"{label}: "), number(c, fmt)) for c, (label, fmt) in rows.items()))
-
-
+#: Titles, labels and formats of the reports, which agents read (fixed values).
 REPORTS = {
-    "basic": {
-        "median": ("Median", "%.4f"), "mad": ("MAD", "%.4f"), "acf1": ("ACF(1)", "%.4f"), "acf_seasonal": ("Seasonal ACF", "%.4f"), "peak_freq": ("Peak frequency", "%.4f"),
-        "spec_entropy": ("Spectral entropy", "%.4f"), "cusum_max": ("CUSUM max", "%.4f"), "qkurt": ("Quantile kurtosis", "%.4f"),
-    },
-    "dynamics": {
-        "changepoint_count": ("Change points", "%.1f"), "changepoint_score": ("Change score", "%.4f"), "slope_max": ("Max slope", "%.4f"), "slope_second_diff_max": ("Max second difference", "%.4f"),
-        "monotone_duration": ("Monotone duration", "%.4f"), "peak_count": ("Peaks", "%.1f"), "peak_max_width": ("Max peak width", "%.4f"), "peak_spacing_cv": ("Peak spacing CV", "%.4f"),
-    },
-    "residuals": {
-        "residual_mean": ("Residual mean", "%.4f"), "residual_max": ("Residual max", "%.4f"), "residual_exceed_ratio": ("Exceed ratio", "%.4f"), "residual_acf1": ("Residual ACF(1)", "%.4f"), "residual_concentration": ("Concentration", "%.4f"),
-    },
-    "quality": {
-        "quality_quantization_score": ("Quantization", "%.4f"), "quality_saturation_ratio": ("Saturation", "%.4f"), "quality_constant_channel_ratio": ("Constant channels", "%.4f"), "quality_dropout_ratio": ("Dropout", "%.4f"),
-    },
+    "basic": ("Basic Statistics:", {
+        "median": ("Median", "%.4f"), "mad": ("MAD", "%.4f"), "acf1": ("ACF(1)", "%.4f"), "acf_seasonal": ("ACF(seasonal)", "%.4f"), "peak_freq": ("Peak Frequency", "%.4f"),
+        "spec_entropy": ("Spectral Entropy", "%.4f"), "cusum_max": ("CUSUM Max", "%.4f"), "qkurt": ("Quantile Kurtosis", "%.4f"),
+    }),
+    "dynamics": ("Within-Channel Dynamics:", {
+        "changepoint_count": ("Changepoint Count", "%.1f"), "changepoint_score": ("Changepoint Score", "%.4f"), "slope_max": ("Max Slope", "%.4f"), "slope_second_diff_max": ("Max Second Diff", "%.4f"),
+        "monotone_duration": ("Monotone Duration", "%.4f"), "peak_count": ("Peak Count", "%.1f"), "peak_max_width": ("Peak Max Width", "%.4f"), "peak_spacing_cv": ("Peak Spacing CV", "%.4f"),
+    }),
+    "residuals": ("Forecast Residuals:", {
+        "residual_mean": ("Residual Mean", "%.4f"), "residual_max": ("Residual Max", "%.4f"), "residual_exceed_ratio": ("Exceed Ratio", "%.4f"), "residual_acf1": ("ACF(1)", "%.4f"), "residual_concentration": ("Concentration", "%.4f"),
+    }),
+    "quality": ("Data Quality:", {
+        "quality_quantization_score": ("Quantization Score", "%.4f"), "quality_saturation_ratio": ("Saturation Ratio", "%.4f"), "quality_constant_channel_ratio": ("Constant Channel Ratio", "%.4f"), "quality_dropout_ratio": ("Dropout Ratio", "%.4f"),
+    }),
+    "events": ("Event Summary:", {
+        "event_segment_count": ("Segment Count", "%.1f"), "rises": ("Rise Events", "%.1f"), "falls": ("Fall Events", "%.1f"), "flats": ("Flat Events", "%.1f"), "oscillations": ("Oscillation Events", "%.1f"),
+    }),
 }
+PATTERNS, DOMINANT = ("rise", "fall", "flat", "oscillation"), "Dominant Pattern"
+
+
+def shown(c: Column, fmt: str) -> Column:
+    """A number as text: ties that a double holds exactly go to the even digit, and what rounds to zero has no sign."""
+    digits = int(fmt[2])
+    tie = c * 32 == F.floor(c * 32)
+    value = F.when(F.abs(c) * 10**digits < 0.5, 0.0).when(tie, F.bround(c, digits)).otherwise(c)
+    return F.format_string(fmt, value)
 
 
 def report(features: DataFrame, family: str) -> DataFrame:
-    """(series_id, report): a title and one line per feature."""
+    """(series_id, report): a title and one line per feature, as agents read them."""
+    title, labels = REPORTS[family]
+    lines = [F.lit(title), *(F.concat(F.lit(f"  {label}: "), shown(_feature(c), fmt)) for c, (label, fmt) in labels.items())]
     if family == "events":
-        names = F.array(*(F.lit(x) for x in ("rise", "fall", "flat", "oscillation")))
-        lines = [F.format_string("%s: %.0f", F.lit(label), F.get("event_counts", F.lit(i))) for i, label in enumerate(("Rises", "Falls", "Flats", "Oscillations"))]
-        text = F.concat_ws("\n", F.format_string("Segments: %.0f", "event_segment_count"), *lines, F.concat(F.lit("Dominant: "), F.get(names, F.col("event_dominant_pattern").cast("int"))))
-        return features.select("series_id", text.alias("report"))
-    return features.select("series_id", _lines(f"[{family}]", **REPORTS[family]).alias("report"))
+        lines.append(F.concat(F.lit(f"  {DOMINANT}: "), F.get(F.array(*map(F.lit, PATTERNS)), F.col("event_dominant_pattern").cast("int"))))
+    return features.select("series_id", F.concat_ws("\n", *lines).alias("report"))
+
+
+def _feature(name: str) -> Column:
+    kinds = ("rises", "falls", "flats", "oscillations")
+    return F.get("event_counts", F.lit(kinds.index(name))) if name in kinds else F.col(name)
 
 
 FAMILIES = {"basic": basic_statistics, "dynamics": channel_dynamics, "residuals": residual_diagnostics, "quality": data_quality, "events": event_summary}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.sources.series_text import _plus_seconds
@@ -104,10 +105,13 @@ def forecast_seasonal_naive(series: DataFrame, horizon: int, season: int = 24) -
 
 # -- ARIMA --------------------------------------------------------------------------
 
-#: Candidate orders (p, q) for given d (fixed values of the search).
-CANDIDATES = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2), (3, 0))
-#: Response surface of the 5 % critical value of the unit root test with a constant, by 1 / n.
-_CRITICAL = (-2.86154, -2.8903, -4.234, -40.04)
+#: Candidate orders (p, q) for given d, in the order in which they are tried (fixed values).
+CANDIDATES = ((1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (0, 1), (1, 0), (5, 0), (0, 5))
+#: The order (p, d, q) where no candidate can be fitted (fixed value).
+FALLBACK = (1, 1, 1)
+#: Polynomial of the published surface: the unit root test's statistic to the normal quantile of its
+#: asymptotic p-value, with a constant (fixed values).
+_SURFACE = (2.1659, 1.4412, 0.038269)
 
 
 def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,69 +119,117 @@ def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return beta, y - x @ beta
 
 
+def _unit_root_design(x: np.ndarray, lags: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Constant, level and lagged differences, and the differences they explain, from the ``start``-th on."""
+    d = np.diff(x)
+    m = len(d) - start
+    return np.column_stack([np.ones(m), x[start : start + m], *(d[start - k : start - k + m] for k in range(1, lags + 1))]), d[start:]
+
+
 def stationarity(x: np.ndarray) -> int:
-    """0 if the augmented test rejects a unit root at 5 %, else 1; 1 where it can't be made."""
+    """0 if the augmented test (with a constant) rejects a unit root at 5 %, else 1; 1 where it can't be made.
+
+    Lags: of 0 to min(10, n // 3) those of the least AIC on the points that all of them have (of
+    equal ones the fewest); the test itself uses all points that these lags leave.
+    """
     n = len(x)
-    lags = min(10, n // 3)
-    d = np.diff(x)
-    m = len(d) - lags
-    if m <= lags + 3 or not np.isfinite(x).all() or np.ptp(x) == 0:
+    most = min(10, n // 3)
+    if most > n // 2 - 2 or not np.isfinite(x).all() or np.ptp(x) == 0:
         return 1
-    design = np.column_stack([np.ones(m), x[lags : lags + m], *(d[lags - k : lags - k + m] for k in range(1, lags + 1))])
-    beta, e = _least_squares(design, d[lags:])
-    cov = np.linalg.pinv(design.T @ design) * (e @ e) / max(m - design.shape[1], 1)
-    if cov[1, 1] <= 0:
+    best = None
+    for lags in range(most + 1):
+        design, y = _unit_root_design(x, lags, most)
+        r = _least_squares(design, y)[1]
+        aic = len(y) * np.log(max(float(r @ r) / len(y), 1e-300)) + 2 * design.shape[1]
+        if best is None or aic < best[0]:
+            best = (aic, lags)
+    design, y = _unit_root_design(x, best[1], best[1])
+    if len(y) <= design.shape[1]:
         return 1
-    critical = sum(c / m**k for k, c in enumerate(_CRITICAL))
-    return int(beta[1] / np.sqrt(cov[1, 1]) >= critical)
+    beta, e = _least_squares(design, y)
+    cov = np.linalg.pinv(design.T @ design) * (e @ e) / (len(y) - design.shape[1])
+    if not cov[1, 1] > 0:
+        return 1
+    t = float(beta[1] / np.sqrt(cov[1, 1]))
+    if t > 2.74:  # beyond the surface, whose p-value is 1
+        return 1
+    quantile = sum(c * max(t, -18.83) ** k for k, c in enumerate(_SURFACE))
+    return int(0.5 * math.erfc(-quantile / math.sqrt(2)) >= 0.05)
+
+
+def _inside(coefficients: np.ndarray) -> bool:
+    """Whether 1 - c1 z - c2 z^2 ... has all its roots outside the unit circle."""
+    roots = np.roots(np.concatenate([-coefficients[::-1], [1.0]])) if len(coefficients) else np.zeros(0)
+    return bool((np.abs(roots) > 1 + 1e-6).all())
+
+
+def _long_residuals(x: np.ndarray, constant: bool, k: int) -> np.ndarray:
+    """Residuals of a long autoregression; the first ``k`` are 0."""
+    e = np.zeros(len(x))
+    lags = [x[k - j : len(x) - j] for j in range(1, k + 1)]
+    e[k:] = _least_squares(np.column_stack([np.ones(len(x) - k)] * constant + lags), x[k:])[1]
+    return e
 
 
-def arma_fit(x: np.ndarray, p: int, q: int) -> tuple[float, Callable[[int], np.ndarray]]:
-    """AIC and forecaster of a mean plus ARMA(p, q): long autoregression first, then least squares
-    on lagged values and lagged residuals."""
+def arma_fit(x: np.ndarray, p: int, q: int, constant: bool = True, least: int = 5) -> tuple[float, Callable[[int], np.ndarray]]:
+    """AIC and forecaster of ARMA(p, q), with a mean if ``constant``: long autoregression first, then least
+    squares on lagged values and lagged residuals.
+
+    All orders up to ``least`` are fitted on the same points, so their AIC can be compared. An
+    estimate that is not stationary and invertible is an error, as too few points are.
+    """
     n = len(x)
-    e = np.zeros(n)
-    start = p
-    if q:
-        k = min(max(p, q) + 5, n // 4)
-        long = np.column_stack([np.ones(n - k), *(x[k - j : n - j] for j in range(1, k + 1))])
-        e[k:] = _least_squares(long, x[k:])[1]
-        start = k + q
-    m = n - start
-    if m < p + q + 3:
+    most = max(p, q, least)
+    k = min(most + 5, n // 4)
+    start = k + most
+    m, c = n - start, int(constant)
+    if k < 1 or m < p + q + c + 3:
         raise ValueError("too few points")
-    design = np.column_stack([np.ones(m), *(x[start - j : n - j] for j in range(1, p + 1)), *(e[start - j : n - j] for j in range(1, q + 1))])
+    e = _long_residuals(x, constant, k)
+    design = np.column_stack([np.ones((m, c)), *(x[start - j : n - j] for j in range(1, p + 1)), *(e[start - j : n - j] for j in range(1, q + 1))])
     beta, r = _least_squares(design, x[start:])
-    aic = n * np.log(max(float(r @ r) / m, 1e-12)) + 2 * (p + q + 2)
-    e[start:] = r
+    mean, ar, ma = beta[0] if constant else 0.0, beta[c : c + p], beta[c + p :]
+    if not (np.isfinite(beta).all() and _inside(ar) and _inside(-ma)):
+        raise ValueError("not stationary and invertible")
+    aic = m * np.log(max(float(r @ r) / m, 1e-12)) + 2 * (p + q + c + 1)
 
     def forecast(h: int) -> np.ndarray:
-        xs, es = list(x), list(e)
+        xs, es = x.tolist(), [0.0] * p
+        for t in range(p, n):  # the residuals that the estimate itself leaves
+            es.append(xs[t] - mean - sum(ar[j] * xs[t - 1 - j] for j in range(p)) - sum(ma[j] * es[t - 1 - j] for j in range(min(q, t))))
         for _ in range(h):
-            xs.append(float(beta[0] + sum(beta[1 + j] * xs[-1 - j] for j in range(p)) + sum(beta[1 + p + j] * es[-1 - j] for j in range(q))))
+            xs.append(float(mean + sum(ar[j] * xs[-1 - j] for j in range(p)) + sum(ma[j] * es[-1 - j] for j in range(q))))
             es.append(0.0)
         return np.array(xs[n:])
 
     return aic, forecast
 
 
-def arima_values(x: np.ndarray, horizon: int, candidates=CANDIDATES) -> np.ndarray:
-    d = stationarity(x)
-    z = np.diff(x) if d else x
-    best = None
-    for p, q in candidates:
+def arima_fit(x: np.ndarray, candidates=CANDIDATES) -> tuple[tuple[int, int, int] | None, Callable[[int], np.ndarray]]:
+    """The order (p, d, q) of the least AIC (of equal ones the first) and its forecaster of x.
+
+    A constant is part of models with d = 0 alone, so differenced series don't drift. Where no
+    candidate can be fitted, ``FALLBACK`` is tried; where that fails too, the order is None and the
+    last value goes on.
+    """
+
+    def fitted(p: int, d: int, q: int, least: int = 5):
         try:
-            fit = arma_fit(z, p, q)
+            aic, forecast = arma_fit(np.diff(x) if d else x, p, q, not d, least)
         except (ValueError, np.linalg.LinAlgError):
-            continue
-        if np.isfinite(fit[0]) and (best is None or fit[0] < best[0]):
-            best = fit
-    if best is None or not np.isfinite(x).all():
-        return np.full(horizon, x[-1])
-    out = best[1](horizon)
-    out = x[-1] + np.cumsum(out) if d else out
-    bound = 10 * (np.ptp(x) + 1)
-    return np.where(np.isfinite(out), np.clip(out, x.min() - bound, x.max() + bound), x[-1])
+            return None
+        return (aic, (p, d, q), (lambda h: x[-1] + np.cumsum(forecast(h))) if d else forecast) if np.isfinite(aic) else None
+
+    if np.isfinite(x).all():
+        d = stationarity(x)
+        found = [f for p, q in candidates if (f := fitted(p, d, q))] or [f for f in [fitted(*FALLBACK, least=1)] if f]
+        if found:
+            return min(found, key=lambda f: f[0])[1:]
+    return None, lambda h: np.full(h, x[-1])
+
+
+def arima_values(x: np.ndarray, horizon: int) -> np.ndarray:
+    return arima_fit(x)[1](horizon)
 
 
 def stationarity_order(series: DataFrame) -> DataFrame:
@@ -228,8 +280,17 @@ def forecast_with_model(series: DataFrame, model: str, horizon: int, models: dic
 
 
 def forecast_arima(series: DataFrame, horizon: int) -> DataFrame:
-    return forecast_with_model(series, "arima", horizon)
+    """(series_id, model, order, step, ts, yhat): ``order`` is the (p, d, q) that was chosen as text,
+    'naive' where none could be fitted."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, x in zip(pdf["series_id"], pdf["values"], strict=True):
+                order, forecast = arima_fit(np.asarray(x, float))
+                text = "naive" if order is None else ",".join(map(str, order))
+                rows += [(name, text, step, v) for step, v in enumerate(forecast(horizon).tolist())]
+            yield pd.DataFrame(rows, columns=["series_id", "order", "step", "yhat"])
 
-def as_yhat(c: Column) -> Column:
-    return c.alias("yhat")
+    made = value_arrays(series).filter(F.size("values") > 0).mapInPandas(run, "series_id string, order string, step int, yhat double")
+    return extend_timestamps(series, horizon).join(made, ["series_id", "step"]).select("series_id", F.lit("arima").alias("model"), "order", "step", "ts", "yhat")

@@ -36,7 +36,7 @@ def resolve_value_column(df: DataFrame) -> str:
 
 def truncate_history(df: DataFrame, text_col: str = "text", head: int = 5, tail: int = 5) -> DataFrame:
     """Long texts keep their first and last lines and say how many are left out."""
-    lines = F.split(F.col(text_col), "\n")
+    lines = F.split(F.regexp_replace(F.col(text_col), r"^\s+|\s+$", ""), "\n")
     note = F.concat(F.lit("... ("), (F.size(lines) - head - tail).cast("string"), F.lit(" rows omitted) ..."))
     short = F.array_join(F.concat(F.slice(lines, 1, head), F.array(note), F.slice(lines, -tail, tail)), "\n")
     return df.withColumn(text_col, F.when(F.size(lines) <= head + tail, F.col(text_col)).otherwise(short))
@@ -104,15 +104,56 @@ def sanitize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+#: What the three turns ask of the agent (fixed values).
+ACTIONS = (
+    "Call feature extraction tools (e.g., extract_basic_statistics). Do NOT call predict_time_series yet.",
+    "Call predict_time_series with your chosen model (e.g., 'chronos2').",
+    "Output your final answer in <think>...</think><answer>...</answer> format using the model predictions. Do NOT output any text outside these tags.",
+)
+#: Sentences for what is not there yet, and how both prompts end (fixed values).
+NO_ANALYSIS = "No previous analysis performed."
+NO_PREDICTION = "No predictions available yet. Call predict_time_series to generate forecasts."
+INSTRUCTIONS = """**Instructions**:
+1. Reflect on whether the model predictions are reasonable given the historical patterns.
+2. Based on this reflection, refine the predictions.
+3. Output the final refined prediction.
+4. Output ONLY <think>...</think> and <answer>...</answer>. Do not include anything else.
+
+<think>
+[Reflection on the consistency between historical patterns and model predictions]
+</think>
+
+<answer>
+[Final prediction after reflection and refinement]
+</answer>"""
+STATE_CHECK = """**Check your current state and act accordingly:**
+- If "Analysis History" is empty → Call feature extraction tools. Do NOT call predict_time_series yet.
+- If "Analysis History" has features but "Model Predictions" is empty → Call predict_time_series with model_name.
+"""
+
+
 def turn_info(has_features: Column, has_predictions: Column) -> Column:
-    """struct(turn, action): which of the three turns is next and what it asks for."""
-    action = F.when(has_predictions, "Review the prediction and give the final answer.").when(has_features, "Call the prediction tool.").otherwise("Call feature tools on the history.")
-    return F.struct(F.when(has_predictions, 3).when(has_features, 2).otherwise(1).alias("turn"), action.alias("action"))
+    """struct(turn, action): which of the three turns is next and what it asks for. Without features it is
+    the first, whatever is predicted."""
+    turn = F.when(~has_features, 1).when(~has_predictions, 2).otherwise(3)
+    return F.struct(turn.alias("turn"), F.get(F.array(*map(F.lit, ACTIONS)), turn - 1).alias("action"))
 
 
 def render_prompt(state: DataFrame) -> DataFrame:
-    """(series_id, prompt) from lookback, horizon, history, analysis (array) and prediction (nullable)."""
-    analysis = F.when(F.size("analysis") > 0, F.array_join("analysis", "\n")).otherwise("No analysis yet.")
-    head = [F.format_string("Lookback: %d, horizon: %d", "lookback", "horizon"), F.lit("## History"), F.coalesce(F.nullif("history", F.lit("")), F.lit("No history.")), F.lit("## Analysis"), analysis]
-    plain, full = F.concat_ws("\n", *head), F.concat_ws("\n", *head, F.lit("## Prediction"), F.col("prediction"))
-    return state.select("series_id", F.when(F.coalesce("prediction", F.lit("")) == "", plain).otherwise(full).alias("prompt"))
+    """(series_id, prompt) from lookback, horizon, history, analysis (array) and prediction (nullable).
+
+    The turn is found from the analysis (or from a column has_features) and the prediction. With a
+    prediction the history is cut to its first and last lines, and the final answer is asked for.
+    """
+    analysis = F.when(F.size("analysis") > 0, F.array_join("analysis", "\n")).otherwise(NO_ANALYSIS)
+    predicted = F.coalesce("prediction", F.lit("")) != ""
+    prediction = F.when(predicted, F.concat(F.format_string("Model Predictions (%d steps):\n", "horizon"), "prediction")).otherwise(NO_PREDICTION)
+    known = F.col("has_features") if "has_features" in state.columns else F.coalesce(F.size("analysis") > 0, F.lit(False))
+    now = turn_info(known, F.col("prediction").isNotNull())
+    cut = truncate_history(state.select("*", F.coalesce("history", F.lit("")).alias("__cut"), now.alias("__now")), "__cut")
+    parts = [
+        F.format_string("**[Turn %d] Action: %s**", "__now.turn", "__now.action"), F.format_string("### Lookback Window: %d rows", "lookback"), F.format_string("### Forecast Horizon: %d rows", "horizon"),
+        F.when(predicted, F.lit("### Historical Data (truncated)")).otherwise("### Historical Data"), F.when(predicted, F.col("__cut")).otherwise(F.coalesce("history", F.lit(""))),
+        F.lit("\n### Analysis History"), analysis, F.lit("\n### Model Predictions"), prediction, F.when(predicted, "\n" + INSTRUCTIONS).otherwise("\n" + STATE_CHECK),
+    ]
+    return cut.select("series_id", F.concat_ws("\n", *parts).alias("prompt"))

@@ -37,18 +37,18 @@ def d14_d16_slopes_and_runs(spark, sf_dir):
 
 
 def d17_d19_peaks(spark, sf_dir):
-    out = fx.peaks_and_changes(series_user(spark, sf_dir), changes=False).select("series_id", "peak_count", "peak_spacing_cv")
+    out = fx.peaks_and_changes(series_user(spark, sf_dir), changes=False).select("series_id", "peak_count", "peak_max_width", "peak_spacing_cv")
     return rounded(out, "series_id")
 
 
 def d12_d13_d18_changes_and_widths(spark, sf_dir):
-    return fx.peaks_and_changes(series_user(spark, sf_dir)).select("series_id", "changepoint_count", "changepoint_score", "peak_max_width")
+    return fx.peaks_and_changes(series_user(spark, sf_dir)).select("series_id", *fx.CHANGES, "peak_max_width")
 
 
 def d20_dynamics_report(spark, sf_dir):
-    """The lines of what SQL can follow; the others are set to 0."""
+    """The lines of what SQL can follow; the change points, which it can't, are set to 0."""
     found = fx.channel_dynamics(series_user(spark, sf_dir), changes=False)
-    return fx.report(found.withColumns({c: F.lit(0.0) for c in ("changepoint_count", "changepoint_score", "peak_max_width")}), "dynamics")
+    return fx.report(found.withColumns({c: F.lit(0.0) for c in fx.CHANGES}), "dynamics")
 
 
 def d20_dynamics_report_all(spark, sf_dir):
@@ -94,7 +94,7 @@ def d37_event_report(spark, sf_dir):
 
 def d38_feature_table(spark, sf_dir):
     every = _flat_events(fx.feature_table(series_user(spark, sf_dir), changes=False))
-    return rounded(every.drop("peak_max_width"), "series_id", spec_entropy=4)
+    return rounded(every, "series_id", spec_entropy=4)
 
 
 def d38_feature_table_all(spark, sf_dir):
@@ -156,9 +156,15 @@ pe AS (SELECT pm.series_id, pm.p, pm.z, coalesce(max(CASE WHEN q.pos < pm.p AND
   FROM pm JOIN pz q ON q.series_id = pm.series_id GROUP BY 1, 2, 3),
 pp AS (SELECT pe.series_id, pe.p, pe.z - greatest(min(CASE WHEN q.pos <= pe.p THEN q.z END), min(CASE WHEN q.pos >= pe.p THEN q.z END)) AS prominence
   FROM pe JOIN pz q ON q.series_id = pe.series_id AND q.pos BETWEEN pe.lo AND pe.hi GROUP BY pe.series_id, pe.p, pe.z),
+ph AS (SELECT pp.series_id, p, z, prominence, z - prominence / 2 AS level, n - 1 AS last FROM pp JOIN pm USING (series_id, p) WHERE prominence >= 1.0),
+pc AS (SELECT ph.series_id, p, any_value(level) AS level, coalesce(max(q.pos) FILTER (WHERE q.pos < p AND q.z <= level), 0) AS l, coalesce(min(q.pos) FILTER (WHERE q.pos > p AND q.z <= level), any_value(last)) AS r
+  FROM ph JOIN pz q ON q.series_id = ph.series_id GROUP BY ph.series_id, p),
+pw AS (SELECT c.series_id, max(CASE WHEN r0.z < level THEN r - (level - r0.z) / (r1.z - r0.z) ELSE r END - CASE WHEN l0.z < level THEN l + (level - l0.z) / (l1.z - l0.z) ELSE l END) AS peak_max_width
+  FROM pc c JOIN pz l0 ON l0.series_id = c.series_id AND l0.pos = l JOIN pz l1 ON l1.series_id = c.series_id AND l1.pos = l + 1
+  JOIN pz r0 ON r0.series_id = c.series_id AND r0.pos = r JOIN pz r1 ON r1.series_id = c.series_id AND r1.pos = r - 1 GROUP BY c.series_id),
 pg AS (SELECT series_id, p - lag(p) OVER (PARTITION BY series_id ORDER BY p) AS gap FROM pp WHERE prominence >= 1.0),
-peaks AS (SELECT series_id, CAST(count(g.series_id2) AS DOUBLE) AS peak_count, coalesce(CASE WHEN count(g.series_id2) > 1 THEN stddev_pop(gap) / (avg(gap) + 1e-8) END, 0) AS peak_spacing_cv
-  FROM (SELECT DISTINCT series_id FROM series_user) LEFT JOIN (SELECT series_id AS series_id2, gap FROM pg) g ON g.series_id2 = series_id GROUP BY series_id)"""
+peaks AS (SELECT series_id, CAST(count(g.series_id2) AS DOUBLE) AS peak_count, coalesce(any_value(peak_max_width), 0) AS peak_max_width, coalesce(CASE WHEN count(g.series_id2) > 1 THEN stddev_pop(gap) / (avg(gap) + 1e-8) END, 0) AS peak_spacing_cv
+  FROM (SELECT DISTINCT series_id FROM series_user) LEFT JOIN (SELECT series_id AS series_id2, gap FROM pg) g ON g.series_id2 = series_id LEFT JOIN (SELECT series_id AS series_id3, peak_max_width FROM pw) v ON v.series_id3 = series_id GROUP BY series_id)"""
 
 _RESIDUALS = """
 rl AS (SELECT series_id, pos, value, lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS lag1 FROM series_user),
@@ -210,30 +216,34 @@ def _r(*columns: str, digits: int = 6) -> str:
 _ALL_BASIC = f"{_r(*_BASIC_COLUMNS)}, CAST(0 AS DOUBLE) AS mean_abs_corr, CAST(1 AS DOUBLE) AS pca_var_ratio1, {_r('peak_freq')}, {_r('spec_entropy', digits=4)}"
 
 
-def _report(title: str, family: str, zero: tuple[str, ...] = ()) -> str:
-    rows = [f"'{label}: ' || printf('{fmt}', round({'CAST(0 AS DOUBLE)' if c in zero else c}, {fmt[2]}) + 0.0)" for c, (label, fmt) in fx.REPORTS[family].items()]
-    return f"concat_ws(chr(10), '{title}', {', '.join(rows)})"
+def _report(family: str, *more: str, zero: tuple[str, ...] = ()) -> str:
+    title, labels = fx.REPORTS[family]
+    number = lambda c, digits: "CAST(0 AS DOUBLE)" if c in zero else f"CASE WHEN abs({c}) * 1e{digits} < 0.5 THEN 0 ELSE {c} END"
+    rows = [f"'  {label}: ' || printf('{fmt}', {number(c, fmt[2])})" for c, (label, fmt) in labels.items()]
+    return f"concat_ws(chr(10), '{title}', {', '.join([*rows, *more])})"
+
+
+_DOMINANT = f"'  {fx.DOMINANT}: ' || {list(fx.PATTERNS)}[CAST(event_dominant_pattern AS INTEGER) + 1]"
 
 
 _U = with_sql("series_user")
 ORACLE_SQL = {
     "d01_d10_basic_statistics": f"{_U},{_basic('series_user')},{_SPECTRUM} SELECT series_id, {_ALL_BASIC} FROM basic JOIN spectrum USING (series_id)",
     "d01_basic_statistics_daily": f"{with_sql('series_day')},{_basic('series_day')} SELECT series_id, {_r('median', 'mad', 'cusum_max', digits=2)}, {_r('acf1', 'acf_seasonal', 'qkurt')}, CAST(0 AS DOUBLE) AS mean_abs_corr, CAST(1 AS DOUBLE) AS pca_var_ratio1 FROM basic",
-    "d11_basic_statistics_report": f"{_U},{_basic('series_user')},{_SPECTRUM} SELECT series_id, {_report('[basic]', 'basic')} AS report FROM basic JOIN spectrum USING (series_id)",
+    "d11_basic_statistics_report": f"{_U},{_basic('series_user')},{_SPECTRUM} SELECT series_id, {_report('basic')} AS report FROM basic JOIN spectrum USING (series_id)",
     "d14_d16_slopes_and_runs": f"{_U},{_SLOPES} SELECT series_id, {_r(*_SLOPE_COLUMNS)} FROM slopes",
-    "d17_d19_peaks": f"{_U},{_PEAKS} SELECT series_id, peak_count, {_r('peak_spacing_cv')} FROM peaks",
-    "d20_dynamics_report": f"{_U},{_SLOPES},{_PEAKS} SELECT series_id, {_report('[dynamics]', 'dynamics', ('changepoint_count', 'changepoint_score', 'peak_max_width'))} AS report FROM slopes JOIN peaks USING (series_id)",
+    "d17_d19_peaks": f"{_U},{_PEAKS} SELECT series_id, peak_count, {_r('peak_max_width', 'peak_spacing_cv')} FROM peaks",
+    "d20_dynamics_report": f"{_U},{_SLOPES},{_PEAKS} SELECT series_id, {_report('dynamics', zero=('changepoint_count', 'changepoint_score'))} AS report FROM slopes JOIN peaks USING (series_id)",
     "d21_ar_residuals": f"{_U},{_RESIDUALS} SELECT series_id, pos, {_r('residual')} FROM resid",
     "d22_d26_residual_diagnostics": f"{_U},{_RESIDUALS} SELECT series_id, {_r(*_RESIDUAL_COLUMNS)} FROM residuals",
-    "d27_residual_report": f"{_U},{_RESIDUALS} SELECT series_id, {_report('[residuals]', 'residuals')} AS report FROM residuals",
+    "d27_residual_report": f"{_U},{_RESIDUALS} SELECT series_id, {_report('residuals')} AS report FROM residuals",
     "d28_d31_data_quality": f"{_U},{_QUALITY} SELECT series_id, {_r(*_QUALITY_COLUMNS)} FROM quality",
-    "d32_quality_report": f"{_U},{_QUALITY} SELECT series_id, {_report('[quality]', 'quality')} AS report FROM quality",
+    "d32_quality_report": f"{_U},{_QUALITY} SELECT series_id, {_report('quality')} AS report FROM quality",
     "d33_event_segments": f"{_U},{_EVENTS} SELECT series_id, segment, first_pos, last_pos FROM segments",
     "d34_d36_event_summary": f"{_U},{_EVENTS} SELECT series_id, event_segment_count, rises, falls, flats, oscillations, event_dominant_pattern FROM event_sums",
-    "d37_event_report": f"""{_U},{_EVENTS} SELECT series_id, concat_ws(chr(10), printf('Segments: %.0f', event_segment_count), printf('Rises: %.0f', rises), printf('Falls: %.0f', falls), printf('Flats: %.0f', flats),
-      printf('Oscillations: %.0f', oscillations), 'Dominant: ' || ['rise', 'fall', 'flat', 'oscillation'][CAST(event_dominant_pattern AS INTEGER) + 1]) AS report FROM event_sums""",
+    "d37_event_report": f"{_U},{_EVENTS} SELECT series_id, {_report('events', _DOMINANT)} AS report FROM event_sums",
     "d38_feature_table": f"""{_U},{_basic('series_user')},{_SPECTRUM},{_SLOPES},{_PEAKS},{_RESIDUALS},{_QUALITY},{_EVENTS}
-      SELECT series_id, {_ALL_BASIC}, {_r(*_SLOPE_COLUMNS)}, peak_count, {_r('peak_spacing_cv')}, {_r(*_RESIDUAL_COLUMNS)}, {_r(*_QUALITY_COLUMNS)}, event_segment_count, rises, falls, flats, oscillations, event_dominant_pattern
+      SELECT series_id, {_ALL_BASIC}, {_r(*_SLOPE_COLUMNS)}, peak_count, {_r('peak_max_width', 'peak_spacing_cv')}, {_r(*_RESIDUAL_COLUMNS)}, {_r(*_QUALITY_COLUMNS)}, event_segment_count, rises, falls, flats, oscillations, event_dominant_pattern
       FROM basic JOIN spectrum USING (series_id) JOIN slopes USING (series_id) JOIN peaks USING (series_id) JOIN residuals USING (series_id) JOIN quality USING (series_id) JOIN event_sums USING (series_id)""",
     "i1_i3_top_residuals": f"""{_U},{_RESIDUALS} SELECT * FROM (SELECT series_id, pos, size, row_number() OVER (PARTITION BY series_id ORDER BY size DESC, pos) AS rank
       FROM (SELECT series_id, pos, round(abs(residual), 6) + 0.0 AS size FROM resid)) WHERE rank <= 5""",

@@ -63,8 +63,9 @@ def a06_write_generations(spark, sf_dir):
 def a07_append_io_log(spark, sf_dir):
     c = b.table(spark, sf_dir, "conversations")
     path = scratch_path(spark, "io-log")
-    for role in ("user", "assistant", "nobody"):
-        sinks.append_io_log(c.filter(F.col("role") == role), path)
+    user = F.coalesce(F.col("role") == "user", F.lit(False))
+    for some in (user, ~user, F.lit(False)):
+        sinks.append_io_log(c.filter(some), path)
     return spark.read.schema("conv_id bigint, turn bigint, role string, text string").json(path)
 
 
@@ -96,9 +97,9 @@ def b12_sanitize(spark, sf_dir):
 
 
 def b13_render_prompt(spark, sf_dir):
-    text = rows.truncate_history(b.series_text(spark, sf_dir, "full"))
     k = F.col("series_id").cast("int") % 3
-    state = text.select("series_id", F.lit(168).alias("lookback"), F.lit(24).alias("horizon"), F.col("text").alias("history"), F.when(k == 0, F.array(F.lit("flat"), F.lit("calm"))).otherwise(F.array().cast("array<string>")).alias("analysis"), F.when(k == 1, "1.000").alias("prediction"))
+    analysis = F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("flat"), F.lit("calm")))
+    state = b.series_text(spark, sf_dir, "full").select("series_id", F.lit(168).alias("lookback"), F.lit(24).alias("horizon"), F.col("text").alias("history"), analysis.alias("analysis"), F.when(k == 2, "1.000").alias("prediction"))
     return rows.render_prompt(state)
 
 
@@ -137,6 +138,12 @@ def e06_make_patches(spark, sf_dir):
 
 
 def e07_median_quantile(spark, sf_dir):
+    """Quantiles of each hour of the day over the days of a context; the middle one is the forecast."""
+    day = b.contexts(spark, sf_dir).groupBy("series_id", (F.col("pos") % 24).alias("step")).agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("quantiles"))
+    return fo.median_quantile(day).select("series_id", "step", r("yhat"))
+
+
+def e07_sample_median(spark, sf_dir):
     paths = b.contexts(spark, sf_dir).select("series_id", (F.floor(F.col("pos") / 24)).cast("int").alias("sample"), (F.col("pos") % 24).alias("step"), "value")
     return fo.sample_median(paths).select("series_id", "step", r("yhat"))
 
@@ -242,7 +249,7 @@ QUERIES = {
     for f in (
         a01_read_rollouts, a02_parse_series_text, a03_build_series_full, a03_build_series_partial, a03_build_series_none, a03_build_series_anchor, a04_parse_answer_values, a05_format_forecast_text, a06_write_generations,
         a07_append_io_log, b01_extract_answer, b02_resolve_value_column, b03_truncate_history, b11_validate_series_request, b12_sanitize, b13_render_prompt, b14_turn_info, c01_align_forecast, c02_detect_input_copy, c03_match_extrema,
-        e01_infer_frequency, e02_last_timestamp, e03_extend_timestamps, e04_make_windows, e05_instance_normalize, e06_make_patches, e07_median_quantile, e08_fit_length, e09_forecast_naive, e09_forecast_seasonal_naive,
+        e01_infer_frequency, e02_last_timestamp, e03_extend_timestamps, e04_make_windows, e05_instance_normalize, e06_make_patches, e07_median_quantile, e07_sample_median, e08_fit_length, e09_forecast_naive, e09_forecast_seasonal_naive,
         e10_stationarity_order, e11_forecast_arima, e12_forecast_with_model, f01_normalize_pair, f02_errors, f03_f04_format_and_length, f05_mse_score, f06_decompose, f07_season_trend_score, f08_find_extrema, f09_extrema_score,
         f10_total_score, f11_final_reward, j02_custom_reward,
     )
@@ -308,7 +315,14 @@ _STAMP = "'%Y-%m-%d %H:%M:%S'"
 _LINES = f"string_agg(strftime(ts, {_STAMP}) || ' ' || printf('%.2f', value), chr(10) ORDER BY pos)"
 _CUT = f"""
 lt AS (SELECT series_id, strftime(ts, {_STAMP}) || ' ' || printf('%.2f', value) AS line, pos, count(*) OVER (PARTITION BY series_id) AS n FROM series_user),
-tx AS (SELECT series_id, CASE WHEN any_value(n) <= 10 THEN string_agg(line, chr(10) ORDER BY pos) ELSE string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos < 5) || chr(10) || '... (' || (any_value(n) - 10) || ' rows omitted) ...' || chr(10) || string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos >= n - 5) END AS text FROM lt GROUP BY 1)"""
+tx AS (SELECT series_id, CASE WHEN any_value(n) <= 10 THEN string_agg(line, chr(10) ORDER BY pos) ELSE string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos < 5) || chr(10) || '... (' || (any_value(n) - 10) || ' rows omitted) ...' || chr(10) || string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos >= n - 5) END AS text, string_agg(line, chr(10) ORDER BY pos) AS full_text FROM lt GROUP BY 1)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_ACTIONS = "[" + ", ".join(map(_quoted, rows.ACTIONS)) + "]"
 
 
 def _ext(name: str, pick: str) -> str:
@@ -325,14 +339,17 @@ ORACLE_SQL = {
     "a04_parse_answer_values": f"{_T},{_VALUES} SELECT series_id, pos, value FROM av",
     "a05_format_forecast_text": f"{_W} SELECT series_id, string_agg(strftime(ts, {_STAMP}) || ' ' || printf('%.3f', yhat), chr(10) ORDER BY step) AS text FROM fc GROUP BY 1",
     "a06_write_generations": f"{_T} SELECT series_id AS input, answer_text AS output, truth_text AS gts, CAST(length(answer_text) AS DOUBLE) AS score, CAST(split_part(series_id, '#', 2) AS INTEGER) % 5 AS step FROM answers JOIN truths USING (series_id)",
-    "a07_append_io_log": "SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')",
+    "a07_append_io_log": "SELECT conv_id, turn, role, text FROM conversations",
     "b01_extract_answer": f"{_T} SELECT series_id, {_BODY} AS lenient, CASE WHEN regexp_matches(answer_text, '(?s)<answer>.*?</answer>') THEN {_BODY} END AS strict FROM answers",
     "b02_resolve_value_column": f"{_W} SELECT series_id, CAST(s AS INTEGER) AS step, value FROM ctx, (SELECT unnest(range(24)) AS s) WHERE pos = 167",
     "b03_truncate_history": f"{_U},{_CUT} SELECT series_id, text FROM tx",
     "b11_validate_series_request": f"{_U} SELECT series_id, CAST(CASE WHEN CAST(series_id AS INTEGER) % 3 = 0 THEN least(5, n) WHEN CAST(series_id AS INTEGER) % 3 = 1 THEN 1 ELSE n END AS INTEGER) AS n, CASE CAST(series_id AS INTEGER) % 3 WHEN 0 THEN CASE WHEN n > 5 THEN 'length mismatch' END WHEN 1 THEN 'too few points' END AS reason FROM (SELECT series_id, count(*) AS n FROM series_user GROUP BY 1)",
     "b12_sanitize": f"{_U} SELECT series_id, pos, CASE WHEN pos % 5 < 3 THEN 0 ELSE value END AS value FROM series_user",
-    "b13_render_prompt": f"{_U},{_CUT} SELECT series_id, concat_ws(chr(10), 'Lookback: 168, horizon: 24', '## History', text, '## Analysis', CASE WHEN CAST(series_id AS INTEGER) % 3 = 0 THEN 'flat' || chr(10) || 'calm' ELSE 'No analysis yet.' END, CASE WHEN CAST(series_id AS INTEGER) % 3 = 1 THEN '## Prediction' || chr(10) || '1.000' END) AS prompt FROM tx",
-    "b14_turn_info": f"{_U} SELECT DISTINCT series_id, CAST(CAST(series_id AS INTEGER) % 3 + 1 AS INTEGER) AS turn, ['Call feature tools on the history.', 'Call the prediction tool.', 'Review the prediction and give the final answer.'][CAST(series_id AS INTEGER) % 3 + 1] AS action FROM series_user",
+    "b13_render_prompt": f"""{_U},{_CUT} SELECT series_id, concat_ws(chr(10), '**[Turn ' || (k + 1) || '] Action: ' || {_ACTIONS}[k + 1] || '**', '### Lookback Window: 168 rows', '### Forecast Horizon: 24 rows',
+      CASE k WHEN 2 THEN '### Historical Data (truncated)' ELSE '### Historical Data' END, CASE k WHEN 2 THEN text ELSE full_text END, '', '### Analysis History', CASE k WHEN 0 THEN {_quoted(rows.NO_ANALYSIS)} ELSE 'flat' || chr(10) || 'calm' END,
+      '', '### Model Predictions', CASE k WHEN 2 THEN 'Model Predictions (24 steps):' || chr(10) || '1.000' ELSE {_quoted(rows.NO_PREDICTION)} END, '', CASE k WHEN 2 THEN {_quoted(rows.INSTRUCTIONS)} ELSE {_quoted(rows.STATE_CHECK)} END) AS prompt
+      FROM (SELECT *, CAST(series_id AS INTEGER) % 3 AS k FROM tx)""",
+    "b14_turn_info": f"{_U} SELECT DISTINCT series_id, CAST(CAST(series_id AS INTEGER) % 3 + 1 AS INTEGER) AS turn, {_ACTIONS}[CAST(series_id AS INTEGER) % 3 + 1] AS action FROM series_user",
     "c01_align_forecast": f"{_T},{_VALUES} SELECT series_id, pos, pred, truth, n_pred, n_truth FROM aligned",
     "c02_detect_input_copy": f"{_T} SELECT series_id, CAST(CASE WHEN kind = 4 THEN 1 ELSE 0 END AS DOUBLE) AS share, kind = 4 AS is_copy FROM ax",
     "c03_match_extrema": f"{_X} SELECT series_id, CAST(hits AS INTEGER) AS hits, CAST(n_truth AS INTEGER) AS n_truth FROM gx",
@@ -344,6 +361,7 @@ ORACLE_SQL = {
     "e06_make_patches": f"""{_U}, pc AS (SELECT series_id, count(*) AS n FROM series_user GROUP BY 1), pn AS (SELECT series_id, n, unnest(range((n + 8 - 16) // 8 + 1)) AS patch_no FROM pc WHERE n + 8 >= 16)
       SELECT pn.series_id, CAST(patch_no AS INTEGER) AS patch_no, 16 AS n, round(sum(value), 6) + 0.0 AS total, arg_min(value, o) AS first_value FROM pn, (SELECT unnest(range(16)) AS o) o JOIN series_user s ON s.series_id = pn.series_id AND s.pos = least(patch_no * 8 + o, n - 1) GROUP BY 1, 2""",
     "e07_median_quantile": f"{_W} SELECT series_id, CAST(pos % 24 AS INTEGER) AS step, round(median(value), 6) + 0.0 AS yhat FROM ctx GROUP BY 1, 2",
+    "e07_sample_median": f"{_W} SELECT series_id, CAST(pos % 24 AS INTEGER) AS step, round(median(value), 6) + 0.0 AS yhat FROM ctx GROUP BY 1, 2",
     "e08_fit_length": f"{_W} SELECT series_id, CAST(s AS INTEGER) AS step, value AS yhat FROM ctx, (SELECT unnest(range(18)) AS s) WHERE pos = 167",
     "e09_forecast_naive": f"{_W} SELECT series_id, 'naive' AS model, CAST(s AS INTEGER) AS step, ts + to_hours(s + 1) AS ts, value AS yhat FROM ctx, (SELECT unnest(range(24)) AS s) WHERE pos = 167",
     "e09_forecast_seasonal_naive": f"{_W} SELECT series_id, 'seasonal_naive' AS model, CAST(pos - 144 + 24 * k AS INTEGER) AS step, ts + to_hours(24 * (k + 1)) AS ts, value AS yhat FROM ctx, (SELECT unnest(range(2)) AS k) WHERE pos >= 144",

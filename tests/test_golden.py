@@ -1,5 +1,6 @@
 """Small cases whose results were worked out by hand or with numpy from the definitions."""
 
+import itertools
 import math
 
 import numpy as np
@@ -234,7 +235,7 @@ def brute_breaks(x, penalty=5.0, least=2, jump=5):
     n = len(x)
     d = [[(a - b) ** 2 for b in x] for a in x]
     middle = np.median([d[i][j] for i in range(n) for j in range(i)])
-    k = np.array([[math.exp(-min(max(v / (middle or 1.0), 1e-2), 1e2)) if v else 1.0 for v in r] for r in d])
+    k = np.array([[math.exp(-min(max(d[i][j] / (middle or 1.0), 1e-2), 1e2)) if i != j else 1.0 for j in range(n)] for i in range(n)])
     best = {0: (0.0, [])}
     for e in [*range(jump, n, jump), n]:
         best[e] = min((best[a][0] + e - a - k[a:e, a:e].sum() / (e - a) + penalty, [*best[a][1], e]) for a in best if e - a >= least)
@@ -248,7 +249,7 @@ def test_full_dynamics_report(spark, monkeypatch):
     rng = np.random.default_rng(4)
     named = {"steps": np.repeat([0.0, 9.0, 4.0], 20) + rng.normal(0, 0.3, 60), "waves": np.sin(np.arange(48) / 2), "flat": np.ones(12)}
     monkeypatch.setattr(fq, "series_user", lambda spark, sf_dir: series(spark, **named))
-    got = {r["series_id"]: dict(line.split(": ") for line in r["report"].split("\n")[1:]) for r in fq.d20_dynamics_report_all(spark, "").collect()}
+    got = {r["series_id"]: dict(line.strip().split(": ") for line in r["report"].split("\n")[1:]) for r in fq.d20_dynamics_report_all(spark, "").collect()}
     for name, x in named.items():
         breaks = brute_breaks(x.tolist())
         means = [x[a:b].mean() for a, b in zip([0, *breaks], breaks, strict=False)]
@@ -262,10 +263,10 @@ def test_full_dynamics_report(spark, monkeypatch):
                 a = max((i for i in range(p) if z[i] <= level), default=0)
                 b = min((i for i in range(p, len(z)) if z[i] <= level), default=len(z) - 1)
                 widths.append((b - (level - z[b]) / (z[b - 1] - z[b])) - (a + (level - z[a]) / (z[a + 1] - z[a])))
-        assert float(got[name]["Change points"]) == min(len(breaks) - 1, 5)
-        assert float(got[name]["Change score"]) == pytest.approx(max(np.abs(np.diff(means)), default=0), abs=1e-4)
-        assert float(got[name]["Max peak width"]) == pytest.approx(max(widths), abs=1e-4)
-    assert float(got["steps"]["Change points"]) == 2 and float(got["waves"]["Max peak width"]) > 1
+        assert float(got[name]["Changepoint Count"]) == min(len(breaks) - 1, 5)
+        assert float(got[name]["Changepoint Score"]) == pytest.approx(max(np.abs(np.diff(means)), default=0), abs=1e-4)
+        assert float(got[name]["Peak Max Width"]) == pytest.approx(max(widths), abs=1e-4)
+    assert float(got["steps"]["Changepoint Count"]) == 2 and float(got["waves"]["Peak Max Width"]) > 1
 
 
 def test_change_points_of_long_series_need_little_memory(spark, monkeypatch):
@@ -287,3 +288,156 @@ def test_change_points_of_long_series_need_little_memory(spark, monkeypatch):
             assert fx.median_squared_distance(y) == np.median(((y[:, None] - y[None, :]) ** 2)[np.triu_indices(n, 1)])
     monkeypatch.setattr(fx, "pelt_rbf", None)
     assert "changepoint_count" not in fx.peaks_and_changes(series(spark, x=X), changes=False).columns
+
+
+def test_report_texts(spark):
+    """Every line of the five reports, with titles, indents and decimals."""
+    values = {
+        "median": 1.0, "mad": 0.5, "acf1": -0.25, "acf_seasonal": 0.03125, "peak_freq": 0.0, "spec_entropy": 2.34567, "cusum_max": 12.0, "qkurt": -0.00001,
+        "changepoint_count": 2.0, "changepoint_score": 3.14159, "slope_max": 1.5, "slope_second_diff_max": 0.09375, "monotone_duration": 0.4, "peak_count": 3.0, "peak_max_width": 7.25, "peak_spacing_cv": 0.1,
+        "residual_mean": -1e-17, "residual_max": 2.0, "residual_exceed_ratio": 0.05, "residual_acf1": 0.3, "residual_concentration": 0.25,
+        "quality_quantization_score": 0.2, "quality_saturation_ratio": 0.1, "quality_constant_channel_ratio": 0.0, "quality_dropout_ratio": 1.0,
+        "event_segment_count": 5.0, "event_dominant_pattern": 3.0,
+    }
+    df = spark.createDataFrame([("s", *values.values(), [1.0, 0.0, 1.0, 3.0])], "series_id string, " + ", ".join(f"{c} double" for c in values) + ", event_counts array<double>")
+    assert fx.report(df, "basic").first()["report"] == """Basic Statistics:
+  Median: 1.0000
+  MAD: 0.5000
+  ACF(1): -0.2500
+  ACF(seasonal): 0.0312
+  Peak Frequency: 0.0000
+  Spectral Entropy: 2.3457
+  CUSUM Max: 12.0000
+  Quantile Kurtosis: 0.0000"""
+    assert fx.report(df, "dynamics").first()["report"] == """Within-Channel Dynamics:
+  Changepoint Count: 2.0
+  Changepoint Score: 3.1416
+  Max Slope: 1.5000
+  Max Second Diff: 0.0938
+  Monotone Duration: 0.4000
+  Peak Count: 3.0
+  Peak Max Width: 7.2500
+  Peak Spacing CV: 0.1000"""
+    assert fx.report(df, "residuals").first()["report"] == """Forecast Residuals:
+  Residual Mean: 0.0000
+  Residual Max: 2.0000
+  Exceed Ratio: 0.0500
+  ACF(1): 0.3000
+  Concentration: 0.2500"""
+    assert fx.report(df, "quality").first()["report"] == """Data Quality:
+  Quantization Score: 0.2000
+  Saturation Ratio: 0.1000
+  Constant Channel Ratio: 0.0000
+  Dropout Ratio: 1.0000"""
+    assert fx.report(df, "events").first()["report"] == """Event Summary:
+  Segment Count: 5.0
+  Rise Events: 1.0
+  Fall Events: 0.0
+  Flat Events: 1.0
+  Oscillation Events: 3.0
+  Dominant Pattern: oscillation"""
+
+
+def test_prompts(spark):
+    lines = "\n".join(f"2024-01-01 {h:02d}:00:00 {h}.5" for h in range(12))
+    state = spark.createDataFrame(
+        [("a", 12, 3, lines, [], None), ("b", 12, 3, lines, ["one", "two"], None), ("c", 12, 3, lines, ["one"], "9.000"), ("d", 12, 3, "1.0", ["one"], "9.000"), ("e", 12, 3, "1.0", [], "9.000"), ("f", 12, 3, "1.0", ["one"], "")],
+        "series_id string, lookback int, horizon int, history string, analysis array<string>, prediction string",
+    )
+    got = dict(map(tuple, rows.render_prompt(state).collect()))
+    head = "### Lookback Window: 12 rows\n### Forecast Horizon: 3 rows\n### Historical Data"
+    first = f"**[Turn 1] Action: Call feature extraction tools (e.g., extract_basic_statistics). Do NOT call predict_time_series yet.**\n{head}"
+    assert got["a"] == f"""{first}
+{lines}
+
+### Analysis History
+No previous analysis performed.
+
+### Model Predictions
+No predictions available yet. Call predict_time_series to generate forecasts.
+
+**Check your current state and act accordingly:**
+- If "Analysis History" is empty → Call feature extraction tools. Do NOT call predict_time_series yet.
+- If "Analysis History" has features but "Model Predictions" is empty → Call predict_time_series with model_name.
+"""
+    assert got["b"].startswith(f"**[Turn 2] Action: Call predict_time_series with your chosen model (e.g., 'chronos2').**\n{head}\n") and "\n### Analysis History\none\ntwo\n\n###" in got["b"]
+    cut = lines.split("\n")
+    assert got["c"] == f"""**[Turn 3] Action: Output your final answer in <think>...</think><answer>...</answer> format using the model predictions. Do NOT output any text outside these tags.**
+{head} (truncated)
+{chr(10).join(cut[:5])}
+... (2 rows omitted) ...
+{chr(10).join(cut[-5:])}
+
+### Analysis History
+one
+
+### Model Predictions
+Model Predictions (3 steps):
+9.000
+
+**Instructions**:
+1. Reflect on whether the model predictions are reasonable given the historical patterns.
+2. Based on this reflection, refine the predictions.
+3. Output the final refined prediction.
+4. Output ONLY <think>...</think> and <answer>...</answer>. Do not include anything else.
+
+<think>
+[Reflection on the consistency between historical patterns and model predictions]
+</think>
+
+<answer>
+[Final prediction after reflection and refinement]
+</answer>"""
+    assert "(truncated)\n1.0\n\n###" in got["d"] and got["e"].startswith(first + " (truncated)")
+    assert got["f"].startswith("**[Turn 3]") and "No predictions available yet." in got["f"]
+
+
+def test_unit_root_test_by_normal_equations():
+    """The lags of least AIC and the p-value, worked out with plain loops."""
+    rng = np.random.default_rng(8)
+    for kind in range(24):
+        n = int(rng.integers(12, 120))
+        e = rng.normal(size=n)
+        x = np.cumsum(e) if kind % 3 == 0 else e if kind % 3 == 1 else np.array([*itertools.accumulate(e, lambda a, b: 0.9 * a + b)])
+        most, d = min(10, n // 3), np.diff(x)
+
+        def fitted(lags, start, x=x, d=d):
+            rows_ = [[1.0, x[t], *(d[t - k] for k in range(1, lags + 1))] for t in range(start, len(d))]
+            a, y = np.array(rows_), d[start:]
+            inverse = np.linalg.inv(a.T @ a)
+            beta = inverse @ a.T @ y
+            rss = ((y - a @ beta) ** 2).sum()
+            return len(y) * math.log(rss / len(y)) + 2 * len(beta), beta[1] / math.sqrt(inverse[1, 1] * rss / (len(y) - len(beta)))
+
+        if most > n // 2 - 2:
+            assert fo.stationarity(x) == 1
+            continue
+        lags = min(range(most + 1), key=lambda k: fitted(k, most)[0])
+        t = fitted(lags, lags)[1]
+        assert fo.stationarity(x) == int(t > -2.8616)
+    assert [fo.stationarity(np.array(v, float)) for v in ([1.0] * 50, [1.0, 2.0, 3.0], [1.0, float("nan")] * 20)] == [1, 1, 1]
+
+
+def test_arima_on_simulated_series(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    e = rng.normal(size=n)
+    ar = np.array([*itertools.accumulate(e, lambda a, b: 0.7 * a + b)]) + 10
+    ma = e + 0.6 * np.concatenate([[0], e[:-1]]) - 4
+    walk = np.cumsum(e)
+    (order, forecast), h = fo.arima_fit(ar), np.arange(1, 31)
+    assert order[1] == 0 and np.allclose(forecast(30), 10 + (ar[-1] - 10) * 0.7**h, atol=0.5)
+    assert abs(forecast(200)[-1] - 10) < 0.3  # back to the mean
+    (order, forecast) = fo.arima_fit(ma)
+    assert order[1] == 0 and np.allclose(forecast(30)[6:], -4, atol=0.3)
+    (order, forecast) = fo.arima_fit(walk)
+    assert order[1] == 1 and np.ptp(forecast(500)[20:]) < 0.2 and abs(forecast(500)[-1] - walk[-1]) < 3  # no drift
+    assert fo.CANDIDATES == ((1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (0, 1), (1, 0), (5, 0), (0, 5))
+    few = {fo.arima_fit(rng.normal(size=11).cumsum())[0] for _ in range(20)}  # too few points for the candidates
+    assert (1, 1, 1) in few <= {(1, 1, 1), None}
+    assert fo.arima_fit(np.array([1.0, 2.0]))[0] is None and fo.arima_values(np.array([1.0, 2.0]), 3).tolist() == [2, 2, 2]
+    got = fo.forecast_arima(series(spark, a=ar[:200], b=np.array([3.0]), c=np.array([1.0, float("nan"), 2.0])), 4).orderBy("series_id", "step").collect()
+    assert [(r["series_id"], r["step"]) for r in got] == [(s, k) for s in "abc" for k in range(4)]
+    assert {r["order"] for r in got if r["series_id"] != "a"} == {"naive"} and [r["yhat"] for r in got if r["series_id"] == "b"] == [3.0] * 4
+    want = fo.arima_values(ar[:200], 4)
+    assert np.allclose([r["yhat"] for r in got if r["series_id"] == "a"], want) and all(r["ts"].hour == (200 + k) % 24 for k, r in enumerate(got[:4]))
