@@ -21,13 +21,14 @@ def series_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series per event type: hourly sums over the 720 hours from 2024-01-01, empty hours 0."""
-    events = table(spark, sf_dir, "events")
-    sums = events.groupBy(F.col("event_type").alias("series_id"), F.timestamp_diff("HOUR", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("hour", "ts").cast("timestamp_ntz")).cast("int").alias("pos")).agg(F.sum("value").alias("value"))
-    calendar = events.select(F.col("event_type").alias("series_id")).distinct().select("series_id", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("pos"))
-    out = calendar.join(sums, ["series_id", "pos"], "left")
-    stamp = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, pos, 0, 0)").cast("timestamp_ntz")
-    return out.select("series_id", "pos", stamp.alias("ts"), F.round(F.coalesce("value", F.lit(0.0)), 2).alias("value"))
+    """A series per event type: hourly sums from the first to the last hour of all events, empty hours 0."""
+    hour = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("hour", "ts").cast("timestamp_ntz")).cast("int")
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), hour.alias("h"), "value")
+    low, high = events.agg(F.min("h"), F.max("h")).first()  # two numbers
+    sums = events.groupBy("series_id", "h").agg(F.sum("value").alias("value")).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "value"))).alias("sums"))
+    out = sums.select("series_id", "sums", F.explode(F.sequence(F.lit(low or 0), F.lit(high or 0))).alias("h"))
+    stamp = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_interval(0, 0, 0, 0, h, 0, 0)").cast("timestamp_ntz")
+    return out.select("series_id", (F.col("h") - (low or 0)).alias("pos"), stamp.alias("ts"), F.round(F.coalesce(F.try_element_at("sums", F.col("h")), F.lit(0.0)), 2).alias("value"))
 
 
 def series_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,10 @@ def val_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "series_user": "series_user AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, ts, value FROM events)",
-    "series_hour": """hs AS (SELECT event_type AS series_id, date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS pos, sum(value) AS v FROM events GROUP BY 1, 2),
-series_hour AS (SELECT t.series_id, CAST(p.pos AS INTEGER) AS pos, TIMESTAMP '2024-01-01' + to_hours(p.pos) AS ts, round(coalesce(hs.v, 0.0), 2) AS value
-  FROM (SELECT DISTINCT event_type AS series_id FROM events) t CROSS JOIN (SELECT unnest(range(720)) AS pos) p LEFT JOIN hs ON hs.series_id = t.series_id AND hs.pos = p.pos)""",
+    "series_hour": """hs AS (SELECT event_type AS series_id, date_diff('hour', TIMESTAMP '1970-01-01', date_trunc('hour', ts)) AS h, sum(value) AS v FROM events GROUP BY 1, 2),
+hb AS (SELECT min(h) AS low, max(h) AS high FROM hs),
+series_hour AS (SELECT t.series_id, CAST(p.h - low AS INTEGER) AS pos, TIMESTAMP '1970-01-01' + to_hours(CAST(p.h AS INTEGER)) AS ts, round(coalesce(hs.v, 0.0), 2) AS value
+  FROM (SELECT DISTINCT event_type AS series_id FROM events) t CROSS JOIN (SELECT low, unnest(range(low, high + 1)) AS h FROM hb) p LEFT JOIN hs ON hs.series_id = t.series_id AND hs.h = p.h)""",
     "series_day": """series_day AS (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INTEGER) AS pos, ts, value
   FROM (SELECT l_returnflag AS series_id, l_shipdate AS ts, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value FROM lineitem GROUP BY 1, 2))""",
     "steps": r"""sw AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS step_index,
@@ -109,12 +111,21 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows_as_series(windows_hour(spark, sf_dir), "context")
 
 
+def _window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, kind, ctx, tgt): the points of a window's two parts as arrays; kind: window number mod 5."""
+    point = F.struct("pos", "ts", "value")
+    part = lambda name: F.array_sort(F.filter(F.collect_list(F.when(F.col("part") == name, point)), lambda x: x.isNotNull()))
+    w = windows_hour(spark, sf_dir).groupBy("series_id", "window").agg(part("context").alias("ctx"), part("target").alias("tgt"))
+    return w.select(F.concat_ws("#", "series_id", "window").alias("series_id"), (F.col("window") % 5).alias("kind"), "ctx", "tgt")
+
+
+def _stamped(ts, value):
+    return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.format_string("%.3f", value))
+
+
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, truth_text): stamped lines of the targets."""
-    from chronoloom.operators.forecasts import windows_as_series
-    from chronoloom.sources.sinks import format_forecast_text
-
-    return format_forecast_text(windows_as_series(windows_hour(spark, sf_dir), "target"), "value").withColumnRenamed("text", "truth_text")
+    return _window_rows(spark, sf_dir).select("series_id", F.array_join(F.transform("tgt", lambda p: _stamped(p["ts"], p["value"])), "\n").alias("truth_text"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,18 +133,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     0: tagged; 1: without tags; 2: tagged, 12 lines; 3: tagged table rows; 4: tagged copy of the context's end.
     """
-    from chronoloom.operators.forecasts import forecast_seasonal_naive
-
-    ctx = contexts(spark, sf_dir)
-    stamped = lambda v: F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.format_string("%.3f", v))
-    kind = F.split("series_id", "#")[1].cast("int") % 5
-    made = forecast_seasonal_naive(ctx, 24).withColumn("kind", kind).filter("kind <> 4 and not (kind = 2 and step >= 12)")
-    line = F.when(F.col("kind") == 3, F.format_string("| %d | %.3f |", "step", "yhat")).otherwise(stamped(F.col("yhat")))
-    tail = ctx.withColumn("kind", kind).filter("kind = 4 and pos >= 144")
-    rows = made.select("series_id", "kind", F.col("step").alias("k"), line.alias("line")).unionByName(tail.select("series_id", "kind", (F.col("pos") - 144).alias("k"), stamped(F.col("value")).alias("line")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda p: p["line"]), "\n")
-    joined = rows.groupBy("series_id", "kind").agg(text.alias("t"))
-    return joined.select("series_id", F.when(F.col("kind") == 1, F.col("t")).otherwise(F.concat(F.lit("Done.\n<answer>\n"), "t", F.lit("\n</answer>"))).alias("answer_text"))
+    day = F.slice("ctx", -24, 24)
+    line = lambda p, i: F.when(F.col("kind") == 3, F.format_string("| %d | %.3f |", i, p["value"])).when(F.col("kind") == 4, _stamped(p["ts"], p["value"])).otherwise(_stamped(p["ts"] + F.expr("interval 1 day"), p["value"]))
+    text = F.array_join(F.slice(F.transform(day, line), F.lit(1), F.when(F.col("kind") == 2, 12).otherwise(24)), "\n")
+    tagged = F.concat(F.lit("Done.\n<answer>\n"), text, F.lit("\n</answer>"))
+    return _window_rows(spark, sf_dir).select("series_id", F.when(F.col("kind") == 1, text).otherwise(tagged).alias("answer_text"))
 
 
 def agent_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +153,7 @@ def agent_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL |= {
-    "windows": """ws AS (SELECT h.series_id, w.w AS window_no, h.pos - w.w * 24 AS offs, ts, value FROM series_hour h JOIN (SELECT unnest(range(23)) AS w) w ON h.pos BETWEEN w.w * 24 AND w.w * 24 + 191),
+    "windows": """ws AS (SELECT h.series_id, w.w AS window_no, h.pos - w.w * 24 AS offs, ts, value FROM series_hour h JOIN (SELECT unnest(range((max(pos) + 1 - 192) // 24 + 1)) AS w FROM series_hour) w ON h.pos BETWEEN w.w * 24 AND w.w * 24 + 191),
 ctx AS (SELECT series_id || '#' || window_no AS series_id, CAST(offs AS INTEGER) AS pos, ts, value FROM ws WHERE offs < 168),
 tgt AS (SELECT series_id || '#' || window_no AS series_id, CAST(offs - 168 AS INTEGER) AS pos, ts, value FROM ws WHERE offs >= 168),
 fc AS (SELECT series_id, CAST(pos - 144 AS INTEGER) AS step, ts + INTERVAL 24 HOUR AS ts, value AS yhat FROM ctx WHERE pos >= 144)""",

@@ -240,8 +240,8 @@ def f11_final_reward(spark, sf_dir):
 
 
 def j02_custom_reward(spark, sf_dir):
-    both = b.answers(spark, sf_dir).join(b.truths(spark, sf_dir), "series_id").withColumn("data_source", F.split("series_id", "#")[0])
-    return sc.custom_reward(both, lambda source, solution, truth: len(solution) - len(truth) + len(source)).select("series_id", "reward")
+    both = b.answers(spark, sf_dir).join(b.truths(spark, sf_dir), "series_id").withColumn("data_source", F.split("series_id", "#")[0]).withColumn("extra", F.split("series_id", "#")[1])
+    return sc.custom_reward(both, lambda source, solution, truth, extra: len(solution) - len(truth) + len(source) + int(extra), extra_col="extra").select("series_id", "reward")
 
 
 QUERIES = {
@@ -377,5 +377,5 @@ ORACLE_SQL = {
     "f10_total_score": f"""{_X},{_S},{_TOTAL} SELECT series_id, format_score, round(length_score, 4) + 0.0 AS length_score, round(mse_score, 4) + 0.0 AS mse_score, round(extrema_score, 4) + 0.0 AS extrema_score, round(season_trend_score, 4) + 0.0 AS season_trend_score,
       round(CASE WHEN format_score < 0 THEN format_score ELSE length_score + mse_score + extrema_score + season_trend_score END, 4) + 0.0 AS total_score FROM tot""",
     "f11_final_reward": f"{_X},{_S},{_TOTAL} SELECT series_id, round(CASE WHEN series_id LIKE 'error#%' THEN 0 ELSE length_score + mse_score + extrema_score + season_trend_score END, 4) + 0.0 AS reward FROM tot",
-    "j02_custom_reward": f"{_T} SELECT series_id, CAST(length(answer_text) - length(truth_text) + length(split_part(series_id, '#', 1)) AS DOUBLE) AS reward FROM answers JOIN truths USING (series_id)",
+    "j02_custom_reward": f"{_T} SELECT series_id, CAST(length(answer_text) - length(truth_text) + length(split_part(series_id, '#', 1)) + CAST(split_part(series_id, '#', 2) AS INTEGER) AS DOUBLE) AS reward FROM answers JOIN truths USING (series_id)",
 }

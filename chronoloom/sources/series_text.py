@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A line with a time stamp in front, and one that is a number as programs write them.
+#: A line with a time stamp in front, and one that is a number as programs write them (fixed values).
 STAMPED = r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+(-?\d+\.?\d*)$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity|nan)$"
 
@@ -44,15 +44,24 @@ def parsed_times(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("ts", F.try_to_timestamp("ts_str", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
 
 
+def _gaps(df: DataFrame) -> DataFrame:
+    """Adds gap: seconds since the known time before, null unless positive."""
+    known = F.last("ts", ignorenulls=True).over(Window.partitionBy("series_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.timestamp_diff("SECOND", known, F.col("ts"))
+    return df.withColumn("gap", F.when(F.col("ts").isNotNull() & (gap > 0), gap))
+
+
+def _most_common(df: DataFrame) -> DataFrame:
+    """Adds to rows with a gap: how many of the series have it (times), and where the first of them is (seen)."""
+    same = Window.partitionBy("series_id", "gap")
+    return df.withColumn("times", F.count("gap").over(same)).withColumn("seen", F.min("pos").over(same))
+
+
 def frequencies(df: DataFrame) -> DataFrame:
     """(series_id, gap): the most common positive gap between consecutive known times, as seconds;
     of equally common ones that seen first. Series with fewer than two times have none."""
-    known = df.filter("ts is not null")
-    w = Window.partitionBy("series_id").orderBy("pos")
-    gaps = known.select("series_id", "pos", F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")).alias("gap")).filter("gap > 0")
-    counted = gaps.groupBy("series_id", "gap").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    best = Window.partitionBy("series_id").orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("series_id", "gap")
+    counted = _gaps(df).filter("gap is not null").groupBy("series_id", "gap").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return counted.groupBy("series_id").agg(F.max_by("gap", F.struct("n", (-F.col("first")).alias("f"))).alias("gap"))
 
 
 def _plus_seconds(ts: Column, seconds: Column) -> Column:
@@ -69,8 +78,9 @@ def build_series(parsed: DataFrame, default_seconds: int = 3600, base_ts: str =
     w = Window.partitionBy("series_id")
     x = x.withColumn("n", F.count("*").over(w)).withColumn("known", F.count("ts").over(w))
     x = x.withColumn("anchor", F.min(F.when(F.col("ts").isNotNull(), F.struct("pos", "ts"))).over(w))
-    x = x.join(frequencies(x), "series_id", "left")
-    step = F.coalesce("gap", F.lit(default_seconds))
+    x = _most_common(_gaps(x))
+    x = x.withColumn("common", F.max(F.when(F.col("gap").isNotNull(), F.struct("times", (-F.col("seen")).alias("f"), "gap"))).over(w))
+    step = F.coalesce("common.gap", F.lit(default_seconds))
     made = _plus_seconds(F.col("anchor.ts"), step * (F.col("pos") - F.col("anchor.pos")))
     base = _plus_seconds(F.lit(base_ts).cast("timestamp_ntz"), F.lit(default_seconds) * F.col("pos"))
     ts = F.when(F.col("known") == F.col("n"), F.col("ts")).when(F.col("known") == 0, base).otherwise(made)
@@ -82,16 +92,22 @@ def answer_body(text: Column) -> Column:
     return strip(F.when(text.rlike("(?s)<answer>.*?</answer>"), F.regexp_extract(text, "(?s)<answer>(.*?)</answer>", 1)).otherwise(text))
 
 
-def parse_answer_values(df: DataFrame, id_col: str = "series_id", text_col: str = "text") -> DataFrame:
-    """(series_id, pos, value): per line a number after a time stamp, in a table row, or at its end."""
-    lines = df.select(F.col(id_col).alias("series_id"), F.posexplode(F.split(answer_body(F.col(text_col)), "\n")).alias("line_no", "line")).withColumn("line", strip(F.col("line")))
-    found = [F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in ANSWER_PATTERNS]
-    kept = lines.select("series_id", "line_no", F.coalesce(*found).try_cast("double").alias("value")).filter("value is not null")
-    return kept.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("line_no")) - 1).alias("pos"), "value")
+#: Numbers after a time stamp, in a table row, or at the end of a line, tried in this order (fixed values).
+ANSWER_PATTERNS = (r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\s+(-?\d+\.?\d*)", r"\|\s*\d+\s*\|\s*(-?\d+\.?\d*)\s*\|", r"(-?\d+\.?\d*)$")
 
 
-#: Tried in this order.
-ANSWER_PATTERNS = (r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\s+(-?\d+\.?\d*)", r"\|\s*\d+\s*\|\s*(-?\d+\.?\d*)\s*\|", r"(-?\d+\.?\d*)\s*$")
+def answer_values(text: Column) -> Column:
+    """The values of an answer's lines, in order, as one array; lines without a number have none."""
+
+    def value(line: Column) -> Column:
+        return F.coalesce(*(F.nullif(F.regexp_extract(strip(line), p, 1), F.lit("")) for p in ANSWER_PATTERNS)).try_cast("double")
+
+    return F.filter(F.transform(F.split(answer_body(text), "\n"), value), lambda v: v.isNotNull())
+
+
+def parse_answer_values(df: DataFrame, id_col: str = "series_id", text_col: str = "text") -> DataFrame:
+    """(series_id, pos, value): per line a number after a time stamp, in a table row, or at its end."""
+    return df.select(F.col(id_col).alias("series_id"), F.posexplode(answer_values(F.col(text_col))).alias("pos", "value"))
 
 
 def last_timestamp(parsed: DataFrame) -> DataFrame:
