@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,60 +43,105 @@ def _ranked(samples: DataFrame) -> DataFrame:
     return x.withColumn("i", F.row_number().over(Window.partitionBy(*KEYS).orderBy("sample_no")) - 1).withColumn("total", F.count("*").over(Window.partitionBy(*KEYS)).cast("int"))
 
 
-def draw_table(sizes: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """(total, n, boot, draw, i): resampling draws for every (total, n) of ``sizes``.
+#: Numbers drawn at a time.
+BLOCK = 2_000_000
 
-    The generator starts anew for each pair, so draws depend on the two numbers only. They are made
-    where they are used, a few resamples at a time.
+#: From blocks of draws (resamples x n, NaN: missing) to a number per resample. Users add their own.
+Reducer = Callable[[np.ndarray], np.ndarray]
+REDUCERS: dict[str, Reducer] = {"best": lambda x: np.fmax.reduce(x, axis=1), "worst": lambda x: np.fmin.reduce(x, axis=1)}
+
+
+def _resampled(groups: DataFrame, reduce: Callable[[pd.Series, np.ndarray], dict[str, np.ndarray]], names: list[str], width: Callable[[pd.Series], int], n_boot: int, seed: int) -> DataFrame:
+    """(keys, metric, value): mean and deviation over resamples of what ``reduce`` makes of (group, draws).
+
+    A group's samples are one row's arrays (num, and what else the reduction needs); (group, size)
+    pairs are dealt over tasks, and draws are made and reduced in blocks where they are. The
+    generator starts anew for each pair, so draws depend on the group's count and n alone.
     """
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for total, n in zip(pdf["total"].tolist(), pdf["n"].tolist(), strict=True):
-                rng = np.random.RandomState(seed)
-                block = max(1, 200_000 // n)
+            rows = []
+            for _, g in pdf.iterrows():
+                rng, total, n = np.random.RandomState(seed), len(g["num"]), int(g["n"])
+                found: dict[str, list[np.ndarray]] = {name: [] for name in names}
+                block = max(1, BLOCK // (n + width(g)))
                 for low in range(0, n_boot, block):
-                    boots = range(low, min(n_boot, low + block))
-                    picks = np.concatenate([rng.randint(0, total, size=n) for _ in boots])
-                    yield pd.DataFrame({"total": total, "n": n, "boot": np.repeat(np.array(boots), n), "draw": np.tile(np.arange(n), len(boots)), "i": picks})
+                    draws = rng.randint(0, total, size=min(block, n_boot - low) * n).reshape(-1, n)
+                    for name, values in reduce(g, draws).items():
+                        found[name].append(values)
+                for name in names:
+                    x = np.concatenate(found[name])
+                    x = x[~np.isnan(x)]
+                    if len(x):
+                        rows += [(*(g[k] for k in KEYS), f"{name}@{n}/mean", x.mean()), (*(g[k] for k in KEYS), f"{name}@{n}/std", x.std())]
+            yield pd.DataFrame(rows, columns=[*KEYS, "metric", "value"])
 
-    return sizes.repartition("total", "n").mapInPandas(draw, "total int, n int, boot int, draw int, i int")
+    sized = groups.withColumn("n", F.explode(bootstrap_sizes(F.size("num"))))
+    return sized.repartition(*KEYS, "n").mapInPandas(run, "data_source string, uid string, var string, metric string, value double")
 
 
-def _draws(samples: DataFrame, n_boot: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    ranked = _ranked(samples)
-    sizes = ranked.select("total").distinct().select("total", F.explode(bootstrap_sizes(F.col("total"))).alias("n"))
-    return ranked, draw_table(sizes, n_boot, seed)
+def _gathered(ranked: DataFrame, *columns: str) -> DataFrame:
+    """A row per group with its samples' columns as arrays, in order of sample_no."""
+    rows = F.array_sort(F.collect_list(F.struct("i", *columns)))
+    return ranked.groupBy(*KEYS).agg(rows.alias("__r")).select(*KEYS, *(F.col(f"__r.{c}").alias(c) for c in columns))
+
+
+def bootstrap(samples: DataFrame, reducers: dict[str, Reducer] | None = None, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys, metric, value): mean and deviation of each reducer over resamples of n draws with replacement.
+
+    NaN samples are drawn as missing ones, and resamples without a number are left out.
+    """
+    chosen = reducers or REDUCERS
+    ranked = _ranked(samples).withColumn("num", F.coalesce("num", F.lit(float("nan"))))
+
+    def reduce(g: pd.Series, draws: np.ndarray) -> dict[str, np.ndarray]:
+        x = np.asarray(g["num"], float)[draws]
+        return {name: np.asarray(f(x), float) for name, f in chosen.items()}
+
+    return _resampled(_gathered(ranked, "num"), reduce, list(chosen), lambda g: 0, n_boot, seed)
 
 
 def bootstrap_best_worst(samples: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, metric, value): mean and deviation of the best and the worst of n draws with replacement."""
-    ranked, draws = _draws(samples, n_boot, seed)
-    each = ranked.join(draws, ["total", "i"]).groupBy(*KEYS, "n", "boot").agg(F.max("num").alias("best"), F.min("num").alias("worst"))
-    g = each.groupBy(*KEYS, "n").agg(F.avg("best").alias("bm"), F.stddev_pop("best").alias("bs"), F.avg("worst").alias("wm"), F.stddev_pop("worst").alias("ws"))
-    names = {"concat('best@', n, '/mean')": F.col("bm"), "concat('best@', n, '/std')": F.col("bs"), "concat('worst@', n, '/mean')": F.col("wm"), "concat('worst@', n, '/std')": F.col("ws")}
-    return long_metrics(g, KEYS, names)
+    return bootstrap(samples, REDUCERS, n_boot, seed)
 
 
 def exact_best_worst(samples: DataFrame) -> DataFrame:
-    """(keys, n, best, worst): the expectations that the bootstrap estimates, in closed form."""
+    """(keys, n, best, worst): the expectations that the bootstrap estimates, in closed form: over the
+    resamples that hold a number at all, so NaN samples only make others rarer."""
     x = _ranked(samples)
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("num", "sample_no"))).withColumn("n", F.explode(bootstrap_sizes(F.col("total"))))
-    up = F.pow(F.col("k") / F.col("total"), F.col("n")) - F.pow((F.col("k") - 1) / F.col("total"), F.col("n"))
-    down = F.pow((F.col("total") - F.col("k") + 1) / F.col("total"), F.col("n")) - F.pow((F.col("total") - F.col("k")) / F.col("total"), F.col("n"))
-    return x.groupBy(*KEYS, "n").agg(F.sum(F.col("num") * up).alias("best"), F.sum(F.col("num") * down).alias("worst"))
+    live = x.filter("num is not null")
+    live = live.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("num", "sample_no"))).withColumn("odd", F.col("total") - F.count("*").over(Window.partitionBy(*KEYS)))
+    live = live.withColumn("n", F.explode(bootstrap_sizes(F.col("total"))))
+    at_most = lambda c: F.pow(c / F.col("total"), F.col("n"))
+    some = 1 - at_most(F.col("odd"))
+    up = (at_most(F.col("odd") + F.col("k")) - at_most(F.col("odd") + F.col("k") - 1)) / some
+    down = (at_most(F.col("total") - F.col("k") + 1) - at_most(F.col("total") - F.col("k"))) / some
+    return live.groupBy(*KEYS, "n").agg(F.sum(F.col("num") * up).alias("best"), F.sum(F.col("num") * down).alias("worst"))
 
 
 def bootstrap_majority(samples: DataFrame, pred_var: str = "pred", n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, metric, value): per resample the value of the most frequent prediction (of equally frequent
     ones, that drawn first) where it was drawn first; mean and deviation over resamples."""
     preds = samples.filter(F.col("var") == pred_var).select("data_source", "uid", "sample_no", F.col("str").alias("pred")).filter("pred is not null")
-    ranked, draws = _draws(samples, n_boot, seed)
-    x = ranked.join(preds, ["data_source", "uid", "sample_no"]).join(draws, ["total", "i"])
-    votes = x.groupBy(*KEYS, "n", "boot", "pred").agg(F.count("*").alias("c"), F.min("draw").alias("first"), F.min_by("num", "draw").alias("num"))
-    best = votes.groupBy(*KEYS, "n", "boot").agg(F.max(F.struct("c", (-F.col("first")).alias("f"), "num")).alias("b"))
-    g = best.groupBy(*KEYS, "n").agg(F.avg("b.num").alias("m"), F.stddev_pop("b.num").alias("s"))
-    return long_metrics(g, KEYS, {"concat('maj@', n, '/mean')": F.col("m"), "concat('maj@', n, '/std')": F.col("s")})
+    ranked = _ranked(samples).join(preds, ["data_source", "uid", "sample_no"], "left").withColumn("num", F.coalesce("num", F.lit(float("nan"))))
+    groups = _gathered(ranked, "num", "pred").filter(F.exists("pred", lambda p: p.isNotNull()))
+    groups = groups.withColumn("kinds", F.array_compact(F.array_distinct("pred"))).withColumn("code", F.transform("pred", lambda p: F.coalesce(F.array_position("kinds", p), F.lit(0)) - 1))
+
+    def reduce(g: pd.Series, draws: np.ndarray) -> dict[str, np.ndarray]:
+        code, (b, n), kinds = np.asarray(g["code"], np.int64)[draws], draws.shape, len(g["kinds"])
+        row = np.repeat(np.arange(b), n)
+        at, voted = row * kinds + code.ravel(), code.ravel() >= 0
+        votes = np.bincount(at[voted], minlength=b * kinds).reshape(b, kinds)
+        first = np.full(b * kinds, n)
+        np.minimum.at(first, at[voted], np.tile(np.arange(n), b)[voted])
+        best = (votes * (n + 1) - first.reshape(b, kinds)).argmax(1)
+        where = first.reshape(b, kinds)[np.arange(b), best]
+        values = np.asarray(g["num"], float)[draws[np.arange(b), np.minimum(where, n - 1)]]
+        return {"maj": np.where(where < n, values, np.nan)}
+
+    return _resampled(groups.select(*KEYS, "num", "code", "kinds"), reduce, ["maj"], lambda g: len(g["kinds"]), n_boot, seed)
 
 
 def rollup_by_source(stats: DataFrame) -> DataFrame:
@@ -130,15 +175,16 @@ def _three(c: Column, name: str) -> list[Column]:
     return [F.avg(c).alias(f"{name}/mean"), F.max(c).alias(f"{name}/max"), F.min(c).alias(f"{name}/min")]
 
 
-def data_metrics(steps: DataFrame) -> DataFrame:
+def data_metrics(steps: DataFrame, max_response_len: int, max_prompt_len: int) -> DataFrame:
     """(metric, value) over all steps. Columns used where present: score, reward_score, advantage, returns,
     value (per step, weighted by response tokens), num_turns, tool_calls.
 
-    One pass with partial aggregation; token statistics weight a step by its response tokens.
+    One pass with partial aggregation; token statistics weight a step by its response tokens. Clip
+    ratios are the shares of rows as long as is allowed. It is an error if no row has a response.
     """
     x = steps.withColumn("__r", response_length()).withColumn("__p", F.size("prompt_ids"))
     live = F.col("__r") > 0
-    most_r, most_p = x.agg(F.max("__r"), F.max("__p")).first()
+    full = (F.col("__r") == max_response_len).cast("double")
     out: list[Column] = []
     for c, name in (("score", "critic/score"), ("reward_score", "critic/rewards")):
         if c in steps.columns:
@@ -147,9 +193,11 @@ def data_metrics(steps: DataFrame) -> DataFrame:
         if c in steps.columns:
             v = F.when(live, F.col(c))
             out += [(F.sum(v * F.col("__r")) / F.sum(F.when(v.isNotNull(), F.col("__r")))).alias(f"{name}/mean"), F.max(v).alias(f"{name}/max"), F.min(v).alias(f"{name}/min")]
-    out += [*_three(F.col("__r"), "response_length"), F.avg((F.col("__r") == (most_r or 0)).cast("double")).alias("response_length/clip_ratio")]
-    out += [*_three(F.when(live, F.col("__r")), "response_length_non_aborted"), F.avg((~live).cast("double")).alias("response/aborted_ratio")]
-    out += [*_three(F.col("__p"), "prompt_length"), F.avg((F.col("__p") == (most_p or 0)).cast("double")).alias("prompt_length/clip_ratio")]
+    out += [*_three(F.col("__r"), "response_length"), F.avg(full).alias("response_length/clip_ratio")]
+    out += [*_three(F.when(live, F.col("__r")), "response_length_non_aborted"), F.avg(F.when(live, full)).alias("response_length_non_aborted/clip_ratio")]
+    none = F.when(F.coalesce(F.max(live.cast("int")), F.lit(0)) == 0, F.raise_error(F.lit("all rows were aborted")).cast("double"))
+    out += [none.otherwise(F.avg((~live).cast("double"))).alias("response/aborted_ratio")]
+    out += [*_three(F.col("__p"), "prompt_length"), F.avg((F.col("__p") == max_prompt_len).cast("double")).alias("prompt_length/clip_ratio")]
     if "num_turns" in steps.columns:
         out += _three(F.col("num_turns"), "num_turns")
     if "tool_calls" in steps.columns:
@@ -194,6 +242,6 @@ def shared_stages(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("stage").intersect(b.select("stage"))
 
 
-def sample_generations(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n rows by a seeded hash of the input, whatever the order of rows."""
-    return df.orderBy(F.xxhash64("input", F.lit(seed)), "input").limit(n)
+def sample_generations(df: DataFrame, n: int, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """n rows by a seeded hash of the input (of equal inputs by ``keys``), whatever the order of rows."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}#"), F.coalesce("input", F.lit("")))), "input", *keys).limit(n)

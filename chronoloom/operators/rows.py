@@ -79,7 +79,7 @@ def tool_argument(arguments: Column, name: str = "model_name") -> Column:
     return F.get_json_object(arguments, f"$.{name}")
 
 
-def truncate_responses(df: DataFrame, max_len: int, columns: tuple[str, ...] = ("response_ids", "response_mask")) -> DataFrame:
+def truncate_responses(df: DataFrame, max_len: int, columns: tuple[str, ...] = ("response_ids", "response_mask", "response_logprobs")) -> DataFrame:
     return df.withColumns({c: F.slice(c, 1, max_len) for c in columns if c in df.columns})
 
 

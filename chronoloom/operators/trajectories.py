@@ -14,21 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.rows import response_length
+from chronoloom.sources.storage import stash
 
 FEATURE_TOOLS = ("extract_basic_statistics", "extract_within_channel_dynamics", "extract_forecast_residuals", "extract_data_quality", "extract_event_summary")
 PREDICT_TOOL = "predict_time_series"
 
 
-def rollout_index(df: DataFrame, index_col: str = "index", order_col: str = "row_no", shard_col: str | None = None) -> DataFrame:
+def rollout_index(df: DataFrame, index_col: str = "index", order_col: str = "row_no", shard_col: str = "shard") -> DataFrame:
     """Adds rollout_n: the place within a run of equal neighbouring ``index_col`` values, by an explicit order.
 
-    Runs end at shard borders where rows come in shards (``shard_col``), which also spreads the work.
+    Rows come in shards, as from several readers; runs end at their borders, so no task sees all rows.
     """
-    keys = [shard_col] if shard_col else []
-    w = Window.partitionBy(*keys).orderBy(order_col)
+    w = Window.partitionBy(shard_col).orderBy(order_col)
     x = df.withColumn("__new", F.coalesce((F.lag(index_col).over(w) != F.col(index_col)).cast("int"), F.lit(1)))
     x = x.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.withColumn("rollout_n", F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(order_col)) - 1).drop("__new", "__run")
+    return x.withColumn("rollout_n", F.row_number().over(Window.partitionBy(shard_col, "__run").orderBy(order_col)) - 1).drop("__new", "__run")
 
 
 def repeat_prompts(df: DataFrame, n: int) -> DataFrame:
@@ -55,11 +55,13 @@ def concat_batches(*batches: DataFrame) -> DataFrame:
 def distinct_trajectories(steps: DataFrame) -> DataFrame:
     """(trajectory_id, dense_id): numbers from 0 in order of the ids.
 
-    Counts per range partition come first, so no task numbers all trajectories.
+    The ids are dealt by range and written with their places once, so that counts and places are
+    of the same ranges; counts per range come first, so no task numbers all trajectories.
     """
     ids = steps.select("trajectory_id").distinct().repartitionByRange("trajectory_id").sortWithinPartitions("trajectory_id")
-    ids = ids.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ids = stash(ids.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "trajectories")
     sizes = ids.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("__low"))
+    # a row per range: as many as shuffle partitions, which also bounds what is broadcast
     starts = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ids.join(F.broadcast(starts), "__p").select("trajectory_id", (F.col("__before") + F.col("__i") - F.col("__low")).cast("int").alias("dense_id"))
 
@@ -79,13 +81,15 @@ def step_score(steps: DataFrame) -> Column:
 
 def grpo_advantage(steps: DataFrame, norm_by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     """Adds score and advantage: scores against their group's mean (and deviation), where each
-    trajectory counts once, with its first step. A group of one has mean 0 and deviation 1."""
+    trajectory counts once, with its first step. A group of one has mean 0 and deviation 1.
+    Rows without uid are a group of their own."""
     x = steps.withColumn("score", step_score(steps))
     firsts = x.groupBy("uid", "trajectory_id").agg(F.min_by("score", "step_index").alias("s"))
     group = firsts.groupBy("uid").agg(F.count("*").alias("n"), F.avg("s").alias("m"), F.stddev_samp("s").alias("d"))
-    group = group.select("uid", F.when(F.col("n") > 1, F.col("m")).otherwise(0.0).alias("__mean"), F.when(F.col("n") > 1, F.col("d")).otherwise(1.0).alias("__std"))
+    group = group.select(F.col("uid").alias("__uid"), F.when(F.col("n") > 1, F.col("m")).otherwise(0.0).alias("__mean"), F.when(F.col("n") > 1, F.col("d")).otherwise(1.0).alias("__std"))
     centred = F.col("score") - F.col("__mean")
-    return x.join(group, "uid").withColumn("advantage", centred / (F.col("__std") + eps) if norm_by_std else centred).drop("__mean", "__std")
+    joined = x.join(group, F.col("uid").eqNullSafe(F.col("__uid")))
+    return joined.withColumn("advantage", centred / (F.col("__std") + eps) if norm_by_std else centred).drop("__uid", "__mean", "__std")
 
 
 def broadcast_over_tokens(steps: DataFrame, column: str = "advantage") -> DataFrame:
@@ -96,30 +100,36 @@ def broadcast_over_tokens(steps: DataFrame, column: str = "advantage") -> DataFr
 def gae_advantage(steps: DataFrame, gamma: float = 1.0, lam: float = 1.0, whiten: bool = True) -> DataFrame:
     """Adds advantage and returns by generalised estimation over the steps of each trajectory.
 
-    Missing step numbers count as zero reward and value up to the largest step number of all.
+    Missing step numbers count as zero reward and value; the recursion goes over the steps there
+    are and takes gaps at once. Of repeated rows of a step the largest (score, value) holds, and
+    all get its advantage; rows without trajectory_id are a trajectory of their own.
     Whitening uses mean and variance over response tokens (Bessel-corrected, 1e-8 within the root);
     with fewer than two tokens in all there is none.
     """
-    last = steps.agg(F.max("step_index")).first()[0]
     x = steps.withColumn("__score", step_score(steps)).withColumn("__v", F.coalesce("value", F.lit(0.0)))
-    per = x.groupBy("trajectory_id").agg(F.map_from_entries(F.collect_list(F.struct("step_index", F.struct(F.col("__score").alias("r"), F.col("__v").alias("v"))))).alias("m"))
-
-    def back(acc: Column, t: Column) -> Column:
-        r, v = F.coalesce(F.try_element_at("m", t)["r"], F.lit(0.0)), F.coalesce(F.try_element_at("m", t)["v"], F.lit(0.0))
-        a = r + gamma * acc["next"] - v + gamma * lam * acc["a"]
-        return F.struct(v.alias("next"), a.alias("a"), F.concat(acc["out"], F.array(F.struct(t.alias("t"), a.alias("a")))).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("a"), F.array().cast("array<struct<t:int,a:double>>").alias("out"))
-    times = F.sequence(F.lit(int(last or 0)), F.lit(0), F.lit(-1))
-    rows = per.select("trajectory_id", F.explode(F.aggregate(times, start, back, lambda acc: acc["out"])).alias("o")).select("trajectory_id", F.col("o.t").alias("step_index"), F.col("o.a").alias("advantage"))
-    out = x.join(rows, ["trajectory_id", "step_index"]).withColumn("returns", F.col("advantage") + F.col("__v"))
+    each = x.groupBy("trajectory_id", "step_index").agg(F.max(F.struct(F.col("__score").alias("r"), F.col("__v").alias("v"))).alias("x"))
+    per = each.groupBy("trajectory_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("step_index").cast("int").alias("t"), "x.r", "x.v")))).alias("steps"))
+    decay = float(gamma * lam)
+
+    def back(acc: Column, s: Column) -> Column:
+        ahead = gamma * acc["v"] + decay * acc["a"]  # of the number just before the next step there is
+        gap = acc["t"] - s["t"]
+        ahead = F.when(acc["t"].isNull(), 0.0).when(gap > 1, ahead * F.pow(F.lit(decay), gap - 1)).otherwise(ahead)
+        a = s["r"] - s["v"] + ahead
+        return F.struct(s["t"].alias("t"), s["v"].alias("v"), a.alias("a"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), a.alias("a")))).alias("out"))
+
+    start = F.struct(F.lit(None).cast("int").alias("t"), F.lit(0.0).alias("v"), F.lit(0.0).alias("a"), F.array().cast("array<struct<t:int,a:double>>").alias("out"))
+    rows = per.select(F.col("trajectory_id").alias("__id"), F.explode(F.aggregate("steps", start, back, lambda acc: acc["out"])).alias("o")).select("__id", F.col("o.t").alias("__t"), F.col("o.a").alias("advantage"))
+    same = F.col("trajectory_id").eqNullSafe(F.col("__id")) & (F.col("step_index") == F.col("__t"))
+    out = x.join(rows, same).withColumn("returns", F.col("advantage") + F.col("__v"))
     if whiten:
-        n = response_length()
-        total, mean = out.agg(F.sum(n), F.sum(n * F.col("advantage")) / F.sum(n)).first()
+        n, a = response_length(), F.col("advantage")
+        total, first, square = out.agg(F.sum(n), F.sum(n * a), F.sum(n * a * a)).first()
         if total and total > 1:
-            var = out.agg(F.sum(n * (F.col("advantage") - mean) ** 2) / (total - 1)).first()[0]
-            out = out.withColumn("advantage", (F.col("advantage") - mean) / math.sqrt(var + 1e-8))
-    return out.drop("__score", "__v")
+            mean = first / total
+            var = max(square - total * mean * mean, 0.0) / (total - 1)
+            out = out.withColumn("advantage", (a - mean) / math.sqrt(var + 1e-8))
+    return out.drop("__score", "__v", "__id", "__t")
 
 
 def compute_advantage(steps: DataFrame, estimator: str = "grpo", **options) -> DataFrame:
@@ -137,7 +147,8 @@ def compute_advantage(steps: DataFrame, estimator: str = "grpo", **options) -> D
 
 def pad_tokens(steps: DataFrame, prompt_len: int, response_len: int, pad_id: int = 0) -> DataFrame:
     """Adds input_ids, attention_mask, response_mask (padded) and position_ids of fixed widths:
-    prompts padded in front, responses behind, both cut to their width (prompts in front)."""
+    prompts padded in front, responses behind, both cut to their width (prompts in front).
+    response_logprobs, where there are any, are cut and padded with 0.0 like the mask."""
     p = F.when(F.size("prompt_ids") > prompt_len, F.slice("prompt_ids", -prompt_len, prompt_len)).otherwise(F.col("prompt_ids"))
     x = steps.withColumn("__p", p).withColumn("__r", F.slice("response_ids", 1, response_len)).withColumn("__m", F.slice("response_mask", 1, response_len))
     before, behind = F.lit(prompt_len) - F.size("__p"), F.lit(response_len) - F.size("__r")
@@ -146,6 +157,9 @@ def pad_tokens(steps: DataFrame, prompt_len: int, response_len: int, pad_id: int
     x = x.withColumn("input_ids", F.concat(F.array_repeat(F.lit(pad_id), before), "__p", "__r", F.array_repeat(F.lit(pad_id), behind)))
     x = x.withColumn("attention_mask", F.concat(zeros(before), ones("__p"), ones("__r"), zeros(behind)))
     x = x.withColumn("response_mask", F.concat("__m", F.array_repeat(F.lit(0), F.lit(response_len) - F.size("__m"))))
+    if "response_logprobs" in steps.columns:
+        kept = F.slice(F.coalesce(F.col("response_logprobs").cast("array<double>"), F.array().cast("array<double>")), 1, response_len)
+        x = x.withColumn("response_logprobs", F.concat(kept, F.array_repeat(F.lit(0.0), F.lit(response_len) - F.size(kept))))
     # attended tokens are one block: 0 before it, counting within, the last count behind
     place = F.transform("attention_mask", lambda _, i: F.greatest(F.lit(0), F.least(i - before, F.size("__p") + F.size("__r") - 1)))
     return x.withColumn("position_ids", place).drop("__p", "__r", "__m")

@@ -46,8 +46,9 @@ def b10_truncate_responses(spark, sf_dir):
 
 def c04_attach_rollouts(spark, sf_dir):
     s = b.steps(spark, sf_dir)
-    prompts = tr.repeat_prompts(s.filter("step_index = 0").groupBy("uid").agg(F.count("*").alias("n_trajectories")), 3)
-    rollouts = s.filter("step_index < 3").groupBy("uid", F.col("step_index").alias("rollout_n")).agg(F.sum(F.size("response_ids")).alias("tokens"))
+    most = s.agg(F.max("step_index")).first()[0]  # one number: how many steps the longest trajectory has
+    prompts = tr.repeat_prompts(s.filter("step_index = 0").groupBy("uid").agg(F.count("*").alias("n_trajectories")), (-1 if most is None else most) + 1)
+    rollouts = s.groupBy("uid", F.col("step_index").alias("rollout_n")).agg(F.sum(F.size("response_ids")).alias("tokens"))
     return tr.attach_rollouts(prompts, rollouts).select("uid", "rollout_n", "n_trajectories", "tokens")
 
 
@@ -170,8 +171,12 @@ def _scored(spark, sf_dir):
     return tr.gae_advantage(s, 0.99, 0.9, whiten=False).withColumn("score", F.col("reward_score") * 2)
 
 
+#: Allowed lengths of responses and prompts.
+MAX_RESPONSE, MAX_PROMPT = 48, 8
+
+
 def h08_data_metrics(spark, sf_dir):
-    return ev.data_metrics(_scored(spark, sf_dir)).select("metric", r("value"))
+    return ev.data_metrics(_scored(spark, sf_dir), MAX_RESPONSE, MAX_PROMPT).select("metric", r("value"))
 
 
 def h09_explained_variance(spark, sf_dir):
@@ -203,7 +208,17 @@ def h13_reduce_metrics(spark, sf_dir):
 
 def h14_sample_generations(spark, sf_dir):
     s = b.steps(spark, sf_dir).select(F.col("response_text").alias("input"), *KEYS)
-    return ev.sample_generations(s, 10)
+    return ev.sample_generations(s, 10, keys=KEYS)
+
+
+def j03_bootstrap_reducers(spark, sf_dir):
+    """Reducers of one's own over resamples, beside the exact expectations: within five standard errors."""
+    samples = b.val_samples(spark, sf_dir)
+    own = {"best": lambda x: x.max(axis=1), "worst": lambda x: x.min(axis=1)}
+    name = F.split("metric", "[@/]")
+    boot = ev.bootstrap(samples, own, 1000).select(*ev.KEYS, name[1].cast("int").alias("n"), F.concat_ws("_", name[0], name[2]).alias("what"), "value").groupBy(*ev.KEYS, "n").pivot("what", ["best_mean", "best_std", "worst_mean", "worst_std"]).agg(F.first("value"))
+    near = lambda c: (F.abs(F.col(c) - F.col(f"{c}_mean")) <= 5 * F.col(f"{c}_std") / 1000**0.5 + 5e-3).alias(f"{c}_agrees")
+    return ev.exact_best_worst(samples).join(boot, [*ev.KEYS, "n"]).select(*ev.KEYS, "n", near("best"), near("worst"))
 
 
 def i6_shared_stages(spark, sf_dir):
@@ -217,7 +232,7 @@ QUERIES = {
         b04_last_step, b05_b06_valid_and_live_rows, b07_normalize_model_name, b08_cap_tool_calls, b09_tool_argument, b10_truncate_responses, c04_attach_rollouts, g01_rollout_index, g02_repeat, g03_grpo_advantage,
         g03_grpo_advantage_centred, g04_gae_advantage, g05_compute_advantage, g06_token_rewards, g07_pad_tokens, g08_flatten_trajectories, g09_audit_workflow, g10_step_rewards, g11_tool_gate, g12_episode_end,
         g13_trajectory_timing, g14_critic_value, i4_distinct_trajectories, i5_concat_batches, h01_validation_stats, h02_bootstrap_sizes, h03_bootstrap_best_worst, h04_exact_best_worst, h05_bootstrap_majority,
-        h06_rollup_by_source, h07_label_metrics, h08_data_metrics, h09_explained_variance, h10_response_info, h11_timing_metrics, h12_throughput, h13_reduce_metrics, h14_sample_generations, i6_shared_stages,
+        h06_rollup_by_source, h07_label_metrics, h08_data_metrics, h09_explained_variance, h10_response_info, h11_timing_metrics, h12_throughput, h13_reduce_metrics, h14_sample_generations, i6_shared_stages, j03_bootstrap_reducers,
     )
 }
 
@@ -264,12 +279,16 @@ def _token_three(c: str, name: str) -> str:
     return f"SELECT '{name}/mean' AS metric, sum({c} * n_tokens) / sum(n_tokens) AS value FROM gae UNION ALL SELECT '{name}/max', max({c}) FILTER (WHERE n_tokens > 0) FROM gae UNION ALL SELECT '{name}/min', min({c}) FILTER (WHERE n_tokens > 0) FROM gae"
 
 
+_EXACT = f"""{_V}, c AS (SELECT data_source, uid, var, num, row_number() OVER (PARTITION BY data_source, uid, var ORDER BY num, sample_no) AS k, count(*) OVER (PARTITION BY data_source, uid, var) AS tot FROM val_samples WHERE num IS NOT NULL),
+      s AS (SELECT *, unnest(list_append(list_filter(list_transform(range(1, 31), lambda i: CAST(2 ** i AS BIGINT)), lambda p: p < tot), tot)) AS n FROM c WHERE tot > 1)"""
+
 _METRICS = " UNION ALL ".join(
     [
         _three("reward_score * 2", "critic/score", "n_tokens > 0"), _three("reward_score", "critic/rewards", "n_tokens > 0"), _token_three("adv", "critic/advantages"), _token_three("returns", "critic/returns"), _token_three("value", "critic/values"),
-        _three("n_tokens", "response_length"), "SELECT 'response_length/clip_ratio', avg(CASE WHEN n_tokens = (SELECT max(n_tokens) FROM gae) THEN 1.0 ELSE 0.0 END) FROM gae", _three("n_tokens", "response_length_non_aborted", "n_tokens > 0"),
+        _three("n_tokens", "response_length"), f"SELECT 'response_length/clip_ratio', avg(CASE WHEN n_tokens = {MAX_RESPONSE} THEN 1.0 ELSE 0.0 END) FROM gae", _three("n_tokens", "response_length_non_aborted", "n_tokens > 0"),
+        f"SELECT 'response_length_non_aborted/clip_ratio', avg(CASE WHEN n_tokens = {MAX_RESPONSE} THEN 1.0 ELSE 0.0 END) FILTER (WHERE n_tokens > 0) FROM gae",
         "SELECT 'response/aborted_ratio', avg(CASE WHEN n_tokens = 0 THEN 1.0 ELSE 0.0 END) FROM gae", _three("len(prompt_ids)", "prompt_length"),
-        "SELECT 'prompt_length/clip_ratio', avg(CASE WHEN len(prompt_ids) = (SELECT max(len(prompt_ids)) FROM gae) THEN 1.0 ELSE 0.0 END) FROM gae",
+        f"SELECT 'prompt_length/clip_ratio', avg(CASE WHEN len(prompt_ids) = {MAX_PROMPT} THEN 1.0 ELSE 0.0 END) FROM gae",
     ]
 )
 
@@ -285,7 +304,7 @@ ORACLE_SQL = {
     "b09_tool_argument": f"{_A} SELECT trajectory_id, step_index, CAST(i - 1 AS INTEGER) AS call_no, CASE WHEN c = 'P' THEN ' ARIMA ' END AS model_name FROM (SELECT trajectory_id, step_index, unnest(calls) AS c, generate_subscripts(calls, 1) AS i FROM agent_steps)",
     "b10_truncate_responses": f"{_S} SELECT trajectory_id, step_index, CAST(least(16, n_tokens) AS INTEGER) AS n, CAST(coalesce(list_sum(response_ids[1:16]), 0) AS BIGINT) AS total FROM steps",
     "c04_attach_rollouts": f"""{_S} SELECT uid, step_index AS rollout_n, n_trajectories, tokens FROM (SELECT uid, count(*) AS n_trajectories FROM steps WHERE step_index = 0 GROUP BY 1)
-      JOIN (SELECT uid, step_index, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM steps WHERE step_index < 3 GROUP BY 1, 2) USING (uid)""",
+      JOIN (SELECT uid, step_index, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM steps GROUP BY 1, 2) USING (uid)""",
     "g01_rollout_index": """WITH x AS (SELECT conv_id * 100 + turn AS row_no, conv_id // 4 AS shard, (conv_id * 100 + turn) % 100 // 3 AS index FROM conversations),
       y AS (SELECT *, sum(CASE WHEN index = l THEN 0 ELSE 1 END) OVER (PARTITION BY shard ORDER BY row_no) AS run FROM (SELECT *, lag(index) OVER (PARTITION BY shard ORDER BY row_no) AS l FROM x))
       SELECT row_no, CAST(index AS BIGINT) AS index, CAST(row_number() OVER (PARTITION BY shard, run ORDER BY row_no) - 1 AS INTEGER) AS rollout_n FROM y""",
@@ -316,8 +335,7 @@ ORACLE_SQL = {
     "h01_validation_stats": f"{_V},{_VS} SELECT data_source, uid, var, metric, round(value, 6) + 0.0 AS value FROM vm",
     "h02_bootstrap_sizes": f"""{_V}, c AS (SELECT data_source, uid, count(*) AS n FROM val_samples WHERE var = 'acc' GROUP BY 1, 2)
       SELECT data_source, uid, CASE WHEN n > 1 THEN array_to_string(list_append(list_filter(list_transform(range(1, 31), lambda k: CAST(2 ** k AS BIGINT)), lambda p: p < n), n), ',') ELSE '' END AS sizes FROM c""",
-    "h04_exact_best_worst": f"""{_V}, c AS (SELECT data_source, uid, var, num, row_number() OVER (PARTITION BY data_source, uid, var ORDER BY num, sample_no) AS k, count(*) OVER (PARTITION BY data_source, uid, var) AS tot FROM val_samples WHERE num IS NOT NULL),
-      s AS (SELECT *, unnest(list_append(list_filter(list_transform(range(1, 31), lambda i: CAST(2 ** i AS BIGINT)), lambda p: p < tot), tot)) AS n FROM c WHERE tot > 1)
+    "h04_exact_best_worst": f"""{_EXACT}
       SELECT data_source, uid, var, CAST(n AS INTEGER) AS n, round(sum(num * ((k / tot) ** n - ((k - 1) / tot) ** n)), 6) + 0.0 AS best, round(sum(num * (((tot - k + 1) / tot) ** n - ((tot - k) / tot) ** n)), 6) + 0.0 AS worst FROM s GROUP BY 1, 2, 3, 4""",
     "h06_rollup_by_source": f"{_V},{_VS} SELECT data_source, var, metric, round(value, 6) + 0.0 AS value FROM vr",
     "h07_label_metrics": f"""{_V},{_VS}, x AS (SELECT *, CAST(regexp_extract(metric, '@(\\d+)', 1) AS INTEGER) AS n, max(CAST(regexp_extract(metric, '@(\\d+)', 1) AS INTEGER)) OVER (PARTITION BY data_source, var) AS most FROM vr),
@@ -333,5 +351,7 @@ ORACLE_SQL = {
     "h12_throughput": f"""{_S}, tk AS (SELECT CAST(sum(n_tokens + len(prompt_ids)) AS DOUBLE) AS t FROM steps) SELECT 'perf/total_num_tokens' AS metric, t AS value FROM tk
       UNION ALL SELECT 'perf/time_per_step', CAST(12.5 AS DOUBLE) FROM tk UNION ALL SELECT 'perf/throughput', round(t / 50, 6) FROM tk""",
     "h13_reduce_metrics": f"{_S} SELECT role AS metric, round(avg(reward_score), 6) + 0.0 AS value FROM steps GROUP BY 1",
+    "h14_sample_generations": f"{_S} SELECT response_text AS input, trajectory_id, step_index FROM steps ORDER BY md5('42#' || coalesce(response_text, '')), input, trajectory_id, step_index LIMIT 10",
+    "j03_bootstrap_reducers": f"{_EXACT} SELECT data_source, uid, var, CAST(n AS INTEGER) AS n, true AS best_agrees, true AS worst_agrees FROM s GROUP BY 1, 2, 3, 4",
     "i6_shared_stages": f"{_S} SELECT DISTINCT role AS stage FROM steps WHERE role <> 'user'",
 }

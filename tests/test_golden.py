@@ -441,3 +441,91 @@ def test_arima_on_simulated_series(spark):
     assert {r["order"] for r in got if r["series_id"] != "a"} == {"naive"} and [r["yhat"] for r in got if r["series_id"] == "b"] == [3.0] * 4
     want = fo.arima_values(ar[:200], 4)
     assert np.allclose([r["yhat"] for r in got if r["series_id"] == "a"], want) and all(r["ts"].hour == (200 + k) % 24 for k, r in enumerate(got[:4]))
+
+
+def test_rows_without_ids_stay_and_steps_may_repeat(spark):
+    rows_ = [("u", "a", 0, 1.0), ("u", "b", 0, 3.0), (None, "c", 0, 5.0), (None, "d", 0, 7.0)]
+    s = spark.createDataFrame(rows_, "uid string, trajectory_id string, step_index int, reward_score double")
+    got = {r["trajectory_id"]: r["advantage"] for r in tr.grpo_advantage(s, norm_by_std=False).collect()}
+    assert got == {"a": -1, "b": 1, "c": -1, "d": 1}
+    # step 2 is missing, step 3 is there twice, one trajectory has no id
+    rows_ = [("a", 0, 1.0, 0.5), ("a", 1, 0.0, 0.4), ("a", 3, 2.0, 0.3), ("a", 3, 1.0, 9.0), (None, 0, 1.0, 0.25)]
+    s = spark.createDataFrame(rows_, "trajectory_id string, step_index int, reward_score double, value double").withColumn("response_mask", F.array(F.lit(1)))
+    got = sorted((str(r["trajectory_id"]), r["step_index"], round(r["advantage"], 9)) for r in tr.gae_advantage(s, 0.9, 0.8, whiten=False).collect())
+    three = 2.0 - 0.3
+    two = 0.0 + 0.9 * 0.3 - 0 + 0.72 * three
+    one = 0.0 + 0.9 * 0 - 0.4 + 0.72 * two
+    zero = 1.0 + 0.9 * 0.4 - 0.5 + 0.72 * one
+    assert got == [("None", 0, 0.75), ("a", 0, round(zero, 9)), ("a", 1, round(one, 9)), ("a", 3, round(three, 9)), ("a", 3, round(three, 9))]
+    white = [r["advantage"] for r in tr.gae_advantage(s, 0.9, 0.8).collect()]
+    assert abs(sum(white)) < 1e-9 and np.var(white, ddof=1) == pytest.approx(1)
+
+
+def test_a_nan_is_felt_in_its_windows_alone(spark):
+    x = np.sin(np.arange(60.0))
+    x[20] = np.nan
+    got = {r["pos"]: r["trend"] for r in sc.decompose(series(spark, s=x), "value").collect()}
+    assert {k for k, v in got.items() if math.isnan(v)} == set(range(8, 33))
+    padded = np.concatenate([np.repeat(x[0], 12), x, np.repeat(x[-1], 12)])
+    assert all(got[i] == pytest.approx(padded[i : i + 25].mean()) for i in got if not 8 <= i <= 32)
+
+
+def test_samples_that_are_missing(spark):
+    """The exact expectations over resamples that hold a number, by all 4 ** n resamples; and reducers of one's own."""
+    values = [1.0, float("nan"), 2.0, 4.0]
+    s = spark.createDataFrame([("d", "u", "v", i, v, None) for i, v in enumerate(values)] + [("d", "u", "pred", i, None, p) for i, p in enumerate("aabb")], "data_source string, uid string, var string, sample_no int, num double, str string")
+    got = {r["n"]: (r["best"], r["worst"]) for r in ev.exact_best_worst(s).collect()}
+    for n in (2, 4):
+        draws = [[v for v in d if not math.isnan(v)] for d in itertools.product(values, repeat=n)]
+        draws = [d for d in draws if d]
+        assert got[n] == pytest.approx((np.mean([max(d) for d in draws]), np.mean([min(d) for d in draws])))
+    rng, boots = np.random.RandomState(42), []
+    for _ in range(50):
+        boots.append(np.array(values)[rng.choice(4, 2)])
+    boot = {r["metric"]: r["value"] for r in ev.bootstrap(s, {"sum": lambda x: x.sum(1), "best": ev.REDUCERS["best"]}, 50).collect()}
+    sums, best = [b.sum() for b in boots], [np.fmax(*b) for b in boots]
+    assert boot["sum@2/mean"] == pytest.approx(np.nanmean(sums)) and boot["sum@2/std"] == pytest.approx(np.nanstd(sums))
+    assert boot["best@2/mean"] == pytest.approx(np.nanmean(best)) and set(boot) == {f"{k}@{n}/{m}" for k in ("sum", "best") for n in (2, 4) for m in ("mean", "std")}
+
+
+def test_clip_ratios_and_aborted_rows(spark):
+    mask = lambda n: [1] * n
+    s = spark.createDataFrame([("a", mask(4), [1, 2]), ("b", mask(2), [1]), ("c", [], [1, 2, 3])], "trajectory_id string, response_mask array<int>, prompt_ids array<int>")
+    got = {r["metric"]: r["value"] for r in ev.data_metrics(s, 4, 2).collect()}
+    assert (got["response_length/clip_ratio"], got["response_length_non_aborted/clip_ratio"], got["prompt_length/clip_ratio"]) == (pytest.approx(1 / 3), 0.5, pytest.approx(1 / 3))
+    assert ev.data_metrics(s, 5, 9).filter("metric like '%clip_ratio' and value <> 0").count() == 0
+    with pytest.raises(Exception, match="all rows were aborted"):
+        ev.data_metrics(s.filter("trajectory_id = 'c'"), 4, 2).collect()
+
+
+def test_log_probs_are_cut_and_padded(spark):
+    s = spark.createDataFrame([([1], [7, 8, 9], [1, 1, 1], [-0.5, -0.25, -1.0]), ([1], [7], [1], None)], "prompt_ids array<int>, response_ids array<int>, response_mask array<int>, response_logprobs array<double>")
+    assert [r["response_logprobs"] for r in tr.pad_tokens(s, 2, 2).collect()] == [[-0.5, -0.25], [0.0, 0.0]]
+    assert [len(r["response_logprobs"] or []) for r in tr.pad_tokens(rows.truncate_responses(s, 1), 2, 4).collect()] == [4, 4]
+    assert rows.truncate_responses(s, 1).first()["response_logprobs"] == [-0.5]
+
+
+def test_dense_ids_over_many_ranges(spark):
+    ids = [f"t{(i * 7919) % 1000:04d}" for i in range(1000)]
+    s = spark.createDataFrame([(i,) for i in ids + ids[:50]], "trajectory_id string").repartition(7)
+    numbered = tr.distinct_trajectories(s)
+    assert sorted(map(tuple, numbered.collect())) == [(t, i) for i, t in enumerate(sorted(set(ids)))] == sorted(map(tuple, numbered.collect()))
+
+
+def test_scratch_folders(spark, tmp_path):
+    from chronoloom.sources import storage
+
+    class Cluster:
+        """A session on a cluster without a shared folder."""
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: "")
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster)
+    assert storage.scratch_path(spark, "x") != storage.scratch_path(spark, "x")
