@@ -1,9 +1,10 @@
 """Features of many series at once.
 
 A series frame has the columns series_id, pos (0, 1, ...), ts and value. Every function
-returns one row per series unless it says otherwise. All windows of a family share one
-hash distribution on series_id, so a family costs one shuffle; only what is inherently
-sequential (spectra, peaks, change points) runs as a grouped map with numpy.
+returns one row per series unless it says otherwise. All windows and aggregates share one
+hash distribution on series_id, so families cost one shuffle together; what is inherently
+sequential (spectra, peaks, change points) runs with numpy on one array per series, in Arrow
+batches of a bounded size.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by() -> WindowSpec:
@@ -41,22 +43,31 @@ def _with_lags(series: DataFrame, *lags: int) -> DataFrame:
 # -- basic statistics ---------------------------------------------------------------
 
 
-def spectrum(series: DataFrame) -> DataFrame:
-    """peak_freq and spec_entropy of the power at bins 0 .. n // 2 - 1, the mean included."""
+def _array() -> Column:
+    """The values of a series in order, as an aggregate."""
+    return F.array_sort(F.collect_list(F.struct("pos", "value")))["value"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["value"].to_numpy(float)
-        n = len(x)
-        power = np.abs(np.fft.fft(x)[: n // 2]) ** 2
-        peak = entropy = 0.0
-        if len(power) and np.isfinite(power).all():
-            peak = float(np.argmax(power)) / n
-            total = power.sum()
-            share = power[power > 0] / total if total > 0 else np.zeros(0)
-            entropy = float(-(share * np.log2(share)).sum()) if len(share) > 1 else 0.0
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "peak_freq": [peak], "spec_entropy": [entropy]})
 
-    return series.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, "series_id string, peak_freq double, spec_entropy double")
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.DoubleType()) for c in names])
+
+
+def _spectrum(x: np.ndarray) -> tuple[float, float]:
+    n = len(x)
+    power = np.abs(np.fft.fft(x)[: n // 2]) ** 2
+    peak = entropy = 0.0
+    if len(power) and np.isfinite(power).all():
+        peak = float(np.argmax(power)) / n
+        total = power.sum()
+        share = power[power > 0] / total if total > 0 else np.zeros(0)
+        entropy = float(-(share * np.log2(share)).sum()) if len(share) > 1 else 0.0
+    return peak, entropy
+
+
+@F.pandas_udf(_doubles("peak_freq", "spec_entropy"))
+def spectrum(values: pd.Series) -> pd.DataFrame:
+    """Of arrays of values: peak_freq and spec_entropy of the power at bins 0 .. n // 2 - 1, the mean included."""
+    return pd.DataFrame([_spectrum(np.asarray(v, float)) for v in values], columns=["peak_freq", "spec_entropy"])
 
 
 def basic_statistics(series: DataFrame, seasonal_period: int = 24, with_spectrum: bool = True) -> DataFrame:
@@ -72,15 +83,18 @@ def basic_statistics(series: DataFrame, seasonal_period: int = 24, with_spectrum
     agg = x.groupBy("series_id").agg(
         F.max("n").alias("n"), F.max(F.isnan("value").cast("int")).alias("bad"), F.first("med").alias("median"),
         F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"), F.sum(d * d).alias("ss"), lagged(1).alias("s1"), lagged(s).alias("ss_season"),
-        F.max(F.abs("run")).alias("cusum_max"), q.alias("q"),
+        F.max(F.abs("run")).alias("cusum_max"), q.alias("q"), *([_array().alias("x")] if with_spectrum else []),
     )
     values = {
         "median": F.col("median"), "mad": F.col("mad"), "acf1": ratio(F.col("s1"), F.col("ss")),
         "acf_seasonal": F.when(F.col("n") > s, ratio(F.col("ss_season"), F.col("ss"))), "cusum_max": F.col("cusum_max"),
         "qkurt": ratio(F.col("q")[3] - F.col("q")[0], F.col("q")[2] - F.col("q")[1]),
     }
-    out = agg.select("series_id", *(F.when(F.col("bad") == 1, 0.0).otherwise(finite(c)).alias(k) for k, c in values.items()), F.lit(0.0).alias("mean_abs_corr"), F.lit(1.0).alias("pca_var_ratio1"))
-    return out.join(spectrum(series), "series_id") if with_spectrum else out
+    out = agg.select(
+        "series_id", *(F.when(F.col("bad") == 1, 0.0).otherwise(finite(c)).alias(k) for k, c in values.items()), F.lit(0.0).alias("mean_abs_corr"), F.lit(1.0).alias("pca_var_ratio1"),
+        *([spectrum("x").alias("f")] if with_spectrum else []),
+    )
+    return out.select("*", "f.*").drop("f") if with_spectrum else out
 
 
 # -- dynamics -----------------------------------------------------------------------
@@ -210,6 +224,27 @@ def pelt_rbf(x: np.ndarray, penalty: float, least: int = 2, jump: int = 5) -> li
 
 
 CHANGES = ("changepoint_count", "changepoint_score")
+PEAKS = ("peak_count", "peak_max_width", "peak_spacing_cv")
+
+
+def _peaks_and_changes(x: np.ndarray, penalty: float, most: int, prominence: float, changes: bool) -> dict[str, float]:
+    out = dict.fromkeys((*(CHANGES if changes else ()), *PEAKS), 0.0)
+    if changes and len(x) >= 10 and np.isfinite(x).all():
+        breaks = pelt_rbf(x, penalty)
+        out["changepoint_count"] = float(min(len(breaks) - 1, most))
+        if len(breaks) > 1:
+            means = [s.mean() for s in np.split(x, breaks[:-1]) if len(s)]
+            out["changepoint_score"] = float(np.abs(np.diff(means)).max()) if len(means) > 1 else 0.0
+    if len(x) >= 3 and np.isfinite(x).all():
+        z = (x - x.mean()) / (x.std() + 1e-8)
+        peaks, proms = peaks_of(z, prominence)
+        out["peak_count"] = float(len(peaks))
+        if len(peaks):
+            out["peak_max_width"] = float(half_widths(z, peaks, proms).max())
+        if len(peaks) > 1:
+            gaps = np.diff(peaks)
+            out["peak_spacing_cv"] = float(gaps.std() / (gaps.mean() + 1e-8))
+    return out
 
 
 def peaks_and_changes(series: DataFrame, penalty: float = 5.0, most: int = 5, prominence: float = 1.0, changes: bool = True) -> DataFrame:
@@ -218,34 +253,17 @@ def peaks_and_changes(series: DataFrame, penalty: float = 5.0, most: int = 5, pr
     Sequential in each series, parallel over series, in memory for the points of a series. The
     segmentation takes time for all pairs of points where few starts can be ruled out.
     """
-    names = (*(CHANGES if changes else ()), "peak_count", "peak_max_width", "peak_spacing_cv")
+    names = (*(CHANGES if changes else ()), *PEAKS)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["value"].to_numpy(float)
-        out = dict.fromkeys(names, 0.0)
-        if changes and len(x) >= 10 and np.isfinite(x).all():
-            breaks = pelt_rbf(x, penalty)
-            out["changepoint_count"] = float(min(len(breaks) - 1, most))
-            if len(breaks) > 1:
-                means = [s.mean() for s in np.split(x, breaks[:-1]) if len(s)]
-                out["changepoint_score"] = float(np.abs(np.diff(means)).max()) if len(means) > 1 else 0.0
-        if len(x) >= 3 and np.isfinite(x).all():
-            z = (x - x.mean()) / (x.std() + 1e-8)
-            peaks, proms = peaks_of(z, prominence)
-            out["peak_count"] = float(len(peaks))
-            if len(peaks):
-                out["peak_max_width"] = float(half_widths(z, peaks, proms).max())
-            if len(peaks) > 1:
-                gaps = np.diff(peaks)
-                out["peak_spacing_cv"] = float(gaps.std() / (gaps.mean() + 1e-8))
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1]} | {k: [v] for k, v in out.items()})
-
-    schema = f"series_id string, {', '.join(f'{c} double' for c in names)}"
-    return series.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, schema)
+    @F.pandas_udf(_doubles(*names))
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_peaks_and_changes(np.asarray(v, float), penalty, most, prominence, changes) for v in values], columns=list(names))
+
+    return series.groupBy("series_id").agg(_array().alias("x")).select("series_id", run("x").alias("f")).select("series_id", "f.*")
 
 
 def channel_dynamics(series: DataFrame, penalty: float = 5.0, most: int = 5, prominence: float = 1.0, changes: bool = True) -> DataFrame:
-    return slopes_and_runs(series).join(peaks_and_changes(series, penalty, most, prominence, changes), "series_id")
+    return slopes_and_runs(series).join(peaks_and_changes(series, penalty, most, prominence, changes).hint("shuffle_merge"), "series_id")
 
 
 # -- residuals ----------------------------------------------------------------------
@@ -411,9 +429,14 @@ FAMILIES = {"basic": basic_statistics, "dynamics": channel_dynamics, "residuals"
 
 
 def feature_table(series: DataFrame, families: tuple[str, ...] | list[str] = tuple(FAMILIES), changes: bool = True) -> DataFrame:
-    """All chosen families side by side, for series of two points or more; change points only with ``changes``."""
-    kept = series.withColumn("__n", F.count("*").over(by())).filter("__n >= 2").drop("__n")
-    out = kept.select("series_id").distinct()
+    """All chosen families side by side, for series of two points or more; change points only with ``changes``.
+
+    The families use the same columns of the same rows, so their shuffle is one that is reused, and
+    their rows meet where they are.
+    """
+    kept = series.select("series_id", "pos", "value").withColumn("__n", F.count("*").over(by())).filter("__n >= 2").drop("__n")
+    out = None
     for family in families:
-        out = out.join(FAMILIES[family](kept, **({} if changes or family != "dynamics" else {"changes": False})), "series_id")
-    return out
+        one = FAMILIES[family](kept, **({} if changes or family != "dynamics" else {"changes": False}))
+        out = one if out is None else out.join(one.hint("shuffle_merge"), "series_id")
+    return kept.select("series_id").distinct() if out is None else out
