@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.sources.storage import shared_dir, stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is taken.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+__all__ = ["documents", "fold", "hinted", "rows_of", "schema_plus", "shared_dir", "small_batches", "stash"]
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, so that batches of long texts fit in a Python worker, and Parquet
+    row groups of 32 MB, which a writer holds in memory beside the workers.
 
-    It cuts lineage, is computed once however often it is used, and survives lost executors.
+    Plans are lazy, so these are settings of the session that stay; all text operators set the same.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that batches of long texts fit in a Python worker; and Parquet
-    row groups of 32 MB, which a writer holds in memory beside the workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("parquet.block.size", str(32 << 20))
 
 

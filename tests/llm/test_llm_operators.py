@@ -217,6 +217,38 @@ def test_near_duplicates_in_a_family(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_near_duplicates_of_a_template(spark, monkeypatch, most):
+    """Texts of one template, similar to all others but linked with few, by pairs and in blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL", most)
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(90):
+        own = [f"o{rng.randrange(40)}" for _ in range(rng.randint(8, 30))]
+        at = rng.randrange(120)
+        w = base[:at] + own + base[at:]
+        rows.append((2 * i, " ".join(w), None, None, None))
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = "changed"
+            rows.append((2 * i + 1, " ".join(w), None, None, None))
+    rows += [(500, rows[4][1], None, None, None), (4, rows[9][1], None, None, None)]
+    want = brute_near(rows, 4)
+    assert 20 < len({c for _, _, c, _ in want}) < len(want)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("comp", F.lit("x")).withColumn("bucket", F.lit(1))
+    assert sorted(map(tuple, near_dedup.near_duplicates(df, size=4).collect()), key=str) == want
+
+
+def test_rare_shingles_meet_all_that_are_similar(spark, docs):
+    inner = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "text")
+    met = defaultdict(set)
+    for r in near_dedup.rare_shingles(inner, 5, 80).collect():
+        met[r["id"]].add(r["bucket"])
+    rows = [(i, shingle_set(t, 5)) for i, t, *_ in made_up() if i is not None]
+    similar = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    assert similar and all(met[a] & met[b] for a, b in similar)
+    assert sum(map(len, met.values())) < 0.5 * sum(len(x) for _, x in rows)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(7, 7)]
     got = {r["id"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
