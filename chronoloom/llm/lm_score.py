@@ -21,7 +21,9 @@ mark of its own.
 
 Defined cases: null and wordless texts have no tokens, no losses (null) and a score of 0;
 a null id counts towards the background and is returned; repeated rows count each; with no
-target rows the target model is the uniform one.
+target rows the target model is the uniform one; repeated target ids mark once; an empty table
+gives an empty one; a text of any length is one document of a block, in some 60 bytes of
+memory a byte; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -243,6 +245,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
 
 
 def lm_score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The registered query: target text is what labels call good and not toxic; V is the number of distinct words."""
+    """The registered query: target text is what labels call good and not toxic; V is the number of distinct words;
+    losses to six places."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("id"))
-    return cross_entropy_difference(docs, good, vocabulary=None).withColumnRenamed("id", "doc_id")
+    scored = cross_entropy_difference(docs, good, vocabulary=None)
+    return scored.select(F.col("id").alias("doc_id"), "n_tokens", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss", "score")))

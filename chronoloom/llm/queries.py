@@ -72,7 +72,29 @@ QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_decontamina
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_TOKENS = r"[^\x20\x09-\x0D]+"
+
 ORACLE_SQL = {
+    "op1_lm_score": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TOKENS}') AS w,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0) AS good FROM documents
+), t AS (
+  SELECT rid, good, word, coalesce(lag(word) OVER (PARTITION BY rid ORDER BY i), '') AS prev
+  FROM (SELECT rid, good, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d)
+), one AS (SELECT word, count(*) AS b, count(*) FILTER (WHERE good) AS g FROM t GROUP BY 1
+), ahead AS (SELECT prev, count(*) AS b, count(*) FILTER (WHERE good) AS g FROM t GROUP BY 1
+), two AS (SELECT prev, word, count(*) AS b, count(*) FILTER (WHERE good) AS g FROM t GROUP BY 1, 2
+), n AS (SELECT count(*) AS v, sum(b) AS b, sum(g) AS g FROM one
+), l AS (
+  SELECT prev, word, -ln(0.6 * two.b / greatest(ahead.b, 1) + 0.4 * (0.9 * one.b / greatest(n.b, 1) + 0.1 / v)) AS lb,
+    -ln(0.6 * two.g / greatest(ahead.g, 1) + 0.4 * (0.9 * one.g / greatest(n.g, 1) + 0.1 / v)) AS lg
+  FROM two JOIN one USING (word) JOIN ahead USING (prev), n
+), s AS (SELECT rid, count(*) AS n, avg(lg) AS lg, avg(lb) AS lb FROM t JOIN l USING (prev, word) GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, round(lg, 6) + 0.0 AS target_loss, round(lb, 6) + 0.0 AS background_loss, round(coalesce(lg - lb, 0), 6) + 0.0 AS score
+FROM d LEFT JOIN s USING (rid)
+""",
     "op2_near_dedup": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -124,6 +146,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
+""",
+    "op4_sentence_dedup": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), p AS (
+  SELECT rid, doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS k
+  FROM (SELECT rid, doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]+|{_TOKENS}') AS l FROM d)
+), q AS (
+  SELECT *, regexp_matches(tok, '^{_TOKENS}') AS word, lag(tok) OVER w AS gap, lag(tok, 2) OVER w AS before FROM p WINDOW w AS (PARTITION BY rid ORDER BY k)
+), o AS (
+  SELECT *, sum(CASE WHEN word AND (before IS NULL OR right(before, 1) IN ('.', '!', '?') OR contains(gap, chr(10))) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY k) AS sid FROM q
+), u AS (
+  SELECT rid, doc_id, sid, string_agg(tok, '' ORDER BY k) AS body, count(*) FILTER (WHERE word) AS n, string_agg({_LOWER.format("tok")}, ' ' ORDER BY k) FILTER (WHERE word) AS key FROM o GROUP BY 1, 2, 3
+), v AS (
+  SELECT *, sum(n) OVER (PARTITION BY rid ORDER BY sid) AS c FROM u WHERE sid > 0
+), r AS (
+  SELECT a.rid, a.sid AS i, min(b.sid) AS j FROM v a JOIN v b ON a.rid = b.rid AND b.sid BETWEEN a.sid + 1 AND a.sid + 11 AND b.c - a.c + a.n >= 12 GROUP BY 1, 2
+  UNION SELECT b.rid, max(a.sid), b.sid FROM v a JOIN v b ON a.rid = b.rid AND a.sid BETWEEN b.sid - 11 AND b.sid - 1 AND b.c - a.c + a.n >= 12 GROUP BY b.rid, b.sid
+), x AS (
+  SELECT r.rid, r.i, r.j, any_value(v.doc_id) AS doc_id, string_agg(v.key, ' ' ORDER BY v.sid) AS key FROM r JOIN v ON v.rid = r.rid AND v.sid BETWEEN r.i AND r.j GROUP BY 1, 2, 3
+), y AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, key ORDER BY i) > 1 AS again, min(doc_id) OVER (PARTITION BY key) AS first FROM x
+), z AS (
+  SELECT DISTINCT rid, unnest(range(CAST(i AS BIGINT), CAST(j AS BIGINT) + 1)) AS sid FROM y WHERE again OR doc_id > first
+), m AS (
+  SELECT u.rid, count(*) FILTER (WHERE u.sid > 0) AS n, count(z.sid) AS gone, coalesce(sum(u.n) FILTER (WHERE z.sid IS NOT NULL), 0) AS words, string_agg(body, '' ORDER BY u.sid) FILTER (WHERE z.sid IS NULL) AS kept
+  FROM u LEFT JOIN z ON z.rid = u.rid AND z.sid = u.sid GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(words, 0) AS BIGINT) AS words_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN m USING (rid)
 """,
     "op7_line_dedup": f"""
 WITH d AS (

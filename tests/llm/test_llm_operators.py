@@ -528,6 +528,38 @@ def test_classifier_edges(spark, docs):
     assert quality_classifier.quality_classifier_digest(empty(spark), labels).count() == 0
 
 
+def test_classifier_query_by_brute_force(spark):
+    """One solve over all fitted rows, means by trying every block, no partitions and no bins of rows."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r for r in quality_classifier.quality_classifier_digest(docs.withColumn("x", F.lit("mine")), labels).collect()}
+    batch = pa.RecordBatch.from_pandas(docs.toPandas())
+    ids, x = batch["doc_id"].to_pylist(), quality_classifier.statistics(batch)[1].astype(np.float32).astype(float)
+    place = {i: k for k, i in enumerate(ids)}
+    rest = {i: zlib.crc32(str(i).encode()) % 5 for i in ids}
+    known = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] is not None and r["doc_id"] in place}
+    fit = [i for i in known if rest[i] in (1, 2, 3)]
+    calibrate = [i for i in known if rest[i] == 4]
+    rows = x[[place[i] for i in fit]]
+    features = quality_classifier.RandomFeatures(rows.mean(0), np.maximum(rows.std(0), 1e-6))
+    z, y = features(rows), np.array([known[i] for i in fit])
+    weights = np.linalg.solve(z.T @ z + quality_classifier.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y)
+    level = {i: math.floor(min(max(float(v), 0), 1) * quality_classifier.BINS + 1e-9) for i, v in zip(ids, features(x) @ weights, strict=True)}
+    steps = sorted({level[i] for i in calibrate})
+    sums = np.cumsum([0.0] + [sum(known[i] for i in calibrate if level[i] == s) for s in steps])
+    counts = np.cumsum([0] + [sum(level[i] == s for i in calibrate) for s in steps])
+    mean = lambda a, b: (sums[b] - sums[a]) / (counts[b] - counts[a])
+    share = [max(min(mean(a, b) for b in range(k + 1, len(steps) + 1)) for a in range(k + 1)) for k in range(len(steps))]  # max-min formula of isotonic means
+    far = 0
+    for i in ids:
+        k = np.searchsorted(steps, level[i], side="right") - 1
+        want = share[max(k, 0)]
+        far += abs(got[i]["score"] - want) > 1e-6
+        assert got[i]["held_out"] == (rest[i] == 0) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+    assert far <= 0.005 * len(ids)  # values on the border of two of the 2,000 levels
+
+
 def test_isotonic_is_monotone():
     steps, means = quality_classifier.isotonic(np.arange(6.0), np.array([0.0, 3, 1, 2, 0, 5]), np.full(6, 5.0))
     assert (np.diff(means) > 0).all() and means[0] == 0 and means[-1] == 1 and len(steps) == len(means)
