@@ -61,16 +61,40 @@ def _powers_of(base: int, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of byte ranges of ``data``."""
+    """Hashes of byte ranges of ``data``: of each, the sum of ``table[byte] * P**place``, mixed.
+
+    Prefix sums give them; as these take many times the bytes, longer data goes through part by
+    part, each ending where a range does, and a range longer than a part is summed over parts of it.
+    """
 
     def __init__(self, data: np.ndarray, table: np.ndarray):
-        n = len(data)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * _powers_of(_P, n), out=self._sums[1:])
-        self._inverse = _powers_of(_P_INV, n + 1)
+        self._data, self._table = data, table
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
+        """``start`` and ``end`` ascending, ranges apart from each other."""
+        return mix(self._raw(start, end))
+
+    def _raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out, i, n = np.zeros(len(start), np.uint64), 0, len(start)
+        while i < n:
+            low = int(start[i])
+            j = int(np.searchsorted(end, low + SLICE_BYTES, side="right"))
+            if j > i:
+                out[i:j] = self._sums(low, int(end[j - 1]), start[i:j], end[i:j])
+            else:
+                j, total = i + 1, 0
+                for at in range(low, int(end[i]), SLICE_BYTES):
+                    to = min(int(end[i]), at + SLICE_BYTES)
+                    total += int(self._sums(at, to, np.array([at]), np.array([to]))[0]) * pow(_P, at - low, 1 << 64)
+                out[i] = total % (1 << 64)
+            i = j
+        return out
+
+    def _sums(self, low: int, high: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        data = self._data[low:high]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self._table[data] * _powers_of(_P, len(data)), out=sums[1:])
+        return (sums[end - low] - sums[start - low]) * _powers_of(_P_INV, len(data) + 1)[start - low]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,19 +158,19 @@ def line_ranges(data: np.ndarray, offsets: np.ndarray, at: int = 0x0A) -> tuple[
     return start, end, first
 
 
-def strip_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges without blanks at both ends; empty ones become (start, start)."""
-    solid = np.flatnonzero(~SPACE_BYTES[data])
-    low, high = np.searchsorted(solid, start), np.searchsorted(solid, end)
+def strip_ranges(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges, which lie between line breaks, without blanks at both ends; empty ones become (start, start)."""
+    first, last, _ = word_ranges(data, offsets, NOT_SPACE)
+    low, high = np.searchsorted(first, start), np.searchsorted(first, end)
     full = low < high
     s, e = start.copy(), start.copy()
-    s[full], e[full] = solid[low[full]], solid[high[full] - 1] + 1
+    s[full], e[full] = first[low[full]], last[high[full] - 1]
     return s, e
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
     """Prefix counts (n + 1) of code points, taken at their first bytes."""
-    out = np.zeros(len(data) + 1, np.int64)
+    out = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
 

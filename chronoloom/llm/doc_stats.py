@@ -27,6 +27,9 @@ FEATURES = (
 
 
 def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of numbers, or counts of what is true, between the bounds."""
+    if values.dtype == bool:
+        return np.diff(np.searchsorted(np.flatnonzero(values), bounds))
     sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]

@@ -122,7 +122,7 @@ class CuckooFilter:
 def _line_keys(data: np.ndarray, offsets: np.ndarray, min_chars: int):
     """Line ranges, and of the lines long enough: index and both key hashes."""
     start, end, first = bw.line_ranges(data, offsets)
-    s, e = bw.strip_ranges(data, start, end)
+    s, e = bw.strip_ranges(data, offsets, start, end)
     points = bw.code_points(data)
     long = np.flatnonzero(points[e] - points[s] >= min_chars)
     if not len(long):

@@ -42,11 +42,10 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
     start, end, first = bw.word_ranges(data, offsets, bw.NOT_SPACE)
     if not len(start):
         return start, end, first, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
-    lines = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data == 0x0A, out=lines[1:])
+    lines = np.searchsorted(np.flatnonzero(data == 0x0A), start)  # line breaks before each word
     opens = np.zeros(len(start), bool)
     opens[first[:-1][first[:-1] < len(start)]] = True
-    opens[1:] |= _END[data[end[:-1] - 1]] | (lines[start[1:]] > lines[start[:-1]])
+    opens[1:] |= _END[data[end[:-1] - 1]] | (lines[1:] > lines[:-1])
     at = np.flatnonzero(opens)
     return start, end, first, np.append(at, len(start)), np.searchsorted(at, first)
 
