@@ -966,9 +966,24 @@ def test_pipeline_stages_take_odd_documents(spark, docs, tmp_path):
     sf = str(tmp_path)
     labels_of(docs).coalesce(1).write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame(items_of(made_up()), "item_id bigint, text string").coalesce(1).write.parquet(f"{sf}/benchmark.parquet")
-    for table in (docs, empty(spark)):
+    clashing = docs.withColumns({c: F.lit(i) for i, c in enumerate(("id", "comp", "bucket", "score", "row", "drop", "hit", "items", "k1", "n_lines", "n_dropped", "n_words", "__kept", "ids_sha256"))})
+    for table in (docs, empty(spark), clashing):
         for name, stage in cp.STAGES:
             out = stage(spark, table, sf)
             if name != "bpe":
                 assert out.columns == table.columns and out.schema["n_chars"].dataType.simpleString() == "bigint"
             assert out.count() <= table.count()
+
+
+def test_clashing_columns_do_not_matter(spark, docs):
+    """Operators that take two columns give the same rows, whatever else a table holds."""
+    more = docs.withColumns({c: F.lit(c) for c in ("id", "good", "x", "score", "bands", "block", "quality", "held_out")})
+    labels = labels_of(docs)
+    for run in (
+        lambda d: lm_score.lm_score_digest(d, labels),
+        lambda d: quality_classifier.quality_classifier_digest(d, labels),
+        lambda d: quality_rules.quality_rules_digest(d, labels),
+        lambda d: language_id.language_digest(d, queries.pieces()),
+        near_dedup.near_dedup_digest,
+    ):
+        assert sorted(map(tuple, run(more).collect()), key=str) == sorted(map(tuple, run(docs).collect()), key=str)
