@@ -2,6 +2,13 @@
 
 Every stage but the last returns the columns of ``documents``. Where a stage changes
 texts, ``n_chars`` follows.
+
+Defined cases, of each stage: an empty table gives an empty one; further columns are carried
+through, whatever their names (the last stage returns its digests alone); texts of any length
+are taken whole; repeated rows are rows each. Null and empty texts are rejected by the quality
+rules, and where a stage meets them alone they stay; ids that are null have no labels, hold and
+lose no lines, and are no one's copies. Ties are told by doc_id: a shared line stays in its largest,
+a group of copies in its smallest.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -54,3 +55,10 @@ def test_entry_has_rows(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("name", "most", "scans"), [("f10_total_score", 6, 2), ("f11_final_reward", 6, 2), ("d01_d10_basic_statistics", 1, 1), ("d38_feature_table", 12, 8), ("g04_gae_advantage", 4, 2), ("a03_build_series_partial", 1, 1)])
+def test_plans_stay_small(spark, sf_dir, name, most, scans):
+    """Exchanges and scans before any is reused."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?:Broadcast|Shuffle)?Exchange ", plan)) <= most and plan.count("FileScan") <= scans
