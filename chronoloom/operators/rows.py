@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Forecasters that agents may name (fixed values).
 MODELS = ("chronos2", "arima", "patchtst", "itransformer")
 
 

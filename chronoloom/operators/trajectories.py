@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.rows import response_length
 from chronoloom.sources.storage import stash
 
+#: Tools that agents may call (fixed values).
 FEATURE_TOOLS = ("extract_basic_statistics", "extract_within_channel_dynamics", "extract_forecast_residuals", "extract_data_quality", "extract_event_summary")
 PREDICT_TOOL = "predict_time_series"
 
