@@ -44,6 +44,8 @@ UNIGRAM_BITS = 18
 L1, L2 = 0.9, 0.6
 #: Words after which a block ends, with its document: some 200 MB in a task.
 BLOCK_TOKENS = 1 << 21
+#: Words of a block whose losses are worked out at a time.
+SLICE_TOKENS = 1 << 18
 #: Shards are ``1 << LEAST_BITS`` at least and as many as there are blocks.
 LEAST_BITS = 10
 _WORD = bw.byte_table(61, True)
@@ -108,7 +110,7 @@ class Block:
     def __init__(self, row: dict):
         self.ids, self.no_id = unpack(row["ids"], np.int64), unpack(row["no_id"], bool)
         self.lengths, self.words = unpack(row["lengths"], np.int64), unpack_sorted(row["words"])
-        self.word = unpack(row["tokens"], np.uint32).astype(np.int64)
+        self.word = unpack(row["tokens"], np.uint32).view(np.int32)
         self.good = np.repeat(unpack(row["good"], bool), self.lengths)
         first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
         self.ahead = np.empty_like(self.word)
@@ -117,7 +119,8 @@ class Block:
 
     def read_pairs(self) -> None:
         keys = bw.mix(self.words[self.word] + self.words[self.ahead] * np.uint64(0x9E3779B97F4A7C15))
-        self.pairs, self.pair = np.unique(keys, return_inverse=True)
+        self.pairs, pair = np.unique(keys, return_inverse=True)
+        self.pair = pair.astype(np.int32)
 
     def asked(self, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
         """Sorted keys and the counts of this block: words, and words as the one before, or bigrams; background, then target."""
@@ -193,13 +196,18 @@ def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals:
         one_ahead, two = (np.concatenate([unpack(b, np.int64).reshape(n, -1) for b in answers[kind]] or [np.zeros((n, 0), np.int64)], axis=1) for kind, n in ((1, 4), (2, 2)))
         if one_ahead.shape[1] != len(block.words) or two.shape[1] != len(block.pairs):
             raise ValueError("a block has not got the counts it asked for")
-        sums = np.zeros((2, len(block.word) + 1))
+        n = block.lengths
+        last, mean = np.cumsum(n), []
         for k in (0, 1):
             unigram = L1 * one_ahead[k] / max(totals[k], 1) + (1 - L1) / vocabulary
-            bigram = two[k][block.pair] / np.maximum(one_ahead[2 + k], 1)[block.ahead]
-            np.cumsum(-np.log(L2 * bigram + (1 - L2) * unigram[block.word]), out=sums[k, 1:])
-        n, last = block.lengths, np.cumsum(block.lengths)
-        mean = (sums[:, last] - sums[:, last - n]) / np.maximum(n, 1)
+            sums = np.zeros(len(block.word) + 1)
+            for low in range(0, len(block.word), SLICE_TOKENS):
+                some = slice(low, low + SLICE_TOKENS)
+                bigram = two[k][block.pair[some]] / np.maximum(one_ahead[2 + k], 1)[block.ahead[some]]
+                losses = -np.log(L2 * bigram + (1 - L2) * unigram[block.word[some]])
+                np.cumsum(losses, out=sums[low + 1 : low + 1 + len(losses)])
+                sums[low + 1 : low + 1 + len(losses)] += sums[low]
+            mean.append((sums[last] - sums[last - n]) / np.maximum(n, 1))
         none = n == 0
         return pa.RecordBatch.from_arrays(
             [pa.array(block.ids, mask=block.no_id), pa.array(n), pa.array(mean[1], mask=none), pa.array(mean[0], mask=none), pa.array(np.where(none, 0.0, mean[1] - mean[0]))],
