@@ -5,13 +5,16 @@ from __future__ import annotations
 from chronoloom.llm.bpe import bpe_digest
 from chronoloom.llm.common import documents
 from chronoloom.llm.decontaminate import contamination_digest
+from chronoloom.llm.importance import resample_digest
 from chronoloom.llm.language_id import language_digest
 from chronoloom.llm.line_dedup import line_dedup_digest
 from chronoloom.llm.lm_score import lm_score_digest
 from chronoloom.llm.near_dedup import near_dedup_digest
+from chronoloom.llm.prefix_trie import prefix_trie_digest
 from chronoloom.llm.quality_classifier import quality_classifier_digest
 from chronoloom.llm.quality_rules import quality_rules_digest
 from chronoloom.llm.sentence_dedup import sentence_dedup_digest
+from chronoloom.llm.vector_search import vector_search_digest
 from chronoloom.llm.warc_revisits import ORACLE_SQL as _WARC_SQL
 from chronoloom.llm.warc_revisits import op8_warc_revisits
 
@@ -67,12 +70,29 @@ def op10_language_id(spark, sf_dir):
     return language_digest(documents(spark, sf_dir), pieces())
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_decontaminate, op4_sentence_dedup, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op8_warc_revisits, op9_bpe, op10_language_id)}
+def op11_importance_resampling(spark, sf_dir):
+    return resample_digest(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie_digest(documents(spark, sf_dir, "conversations"))
+
+
+def op13_vector_search(spark, sf_dir):
+    return vector_search_digest(documents(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_near_dedup, op3_decontaminate, op4_sentence_dedup, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op8_warc_revisits, op9_bpe, op10_language_id, op11_importance_resampling, op12_prefix_trie, op13_vector_search)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 _TOKENS = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: CRC-32 of the text {0} byte by byte; ``crc`` is a relation of one row with the table ``tab``.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i))"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(range(1, strlen({0}) * 2, 2), lambda p: CAST('0x' || substr(hex(encode({0})), p, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
 
 ORACLE_SQL = {
     "op1_lm_score": rf"""
@@ -194,4 +214,62 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM m GROUP BY rid
 """,
     "op8_warc_revisits": _WARC_SQL,
+    "op11_importance_resampling": rf"""
+WITH {_CRC_TABLE}, d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents
+), b AS (
+  SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM benchmark
+), f AS (
+  SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d
+  UNION ALL SELECT NULL, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) FROM b
+), k AS (
+  SELECT f, {_CRC.format("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), crc
+), n AS (
+  SELECT bucket, count(rid) AS s, count(*) - count(rid) AS t FROM f JOIN k USING (f) GROUP BY 1
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM n
+), v AS (
+  SELECT rid, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN k USING (f) JOIN g USING (bucket) WHERE rid IS NOT NULL GROUP BY 1
+), s AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN v USING (rid)
+), r AS (
+  SELECT *, n_words >= 20 AS able, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM s
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM r
+""",
+    "op12_prefix_trie": rf"""
+WITH {_CRC_TABLE}, c AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '{_TOKENS}')) AS n FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h, t FROM (SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS t FROM c GROUP BY 1), crc
+), p AS (
+  SELECT o.conv_id, list_concat(coalesce(b.t[1:o.h], []), o.t[o.h + 1:]) AS t FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20
+), x AS (
+  SELECT conv_id, len(t) AS n, t, unnest(range(0, len(t) + 1)) AS d FROM p
+), y AS (
+  SELECT conv_id, d, n = d AS ends, CASE WHEN d = 0 THEN 0 ELSE t[d].n END AS words, list_transform(t[1:d], lambda e: e.k) AS path FROM x
+), n AS (
+  SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends FROM y GROUP BY path
+), k AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)
+), a AS (
+  SELECT path[1:lvl] AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS lvl FROM m) GROUP BY 1
+)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN a USING (path) LEFT JOIN m u ON u.path = m.path[1:m.depth - 1] AND m.depth > 0
+""",
+    "op13_vector_search": """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+""",
 }
