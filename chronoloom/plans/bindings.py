@@ -20,6 +20,14 @@ def series_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("series_id", (F.row_number().over(w) - 1).alias("pos"), "ts", "value")
 
 
+def series_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series per event type, of which there are few: its events in order of time, numbered over ranges."""
+    from chronoloom.operators.ranges import numbered
+
+    named = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
+    return numbered(named, ["series_id"], ["ts", "event_id"], "pos").select("series_id", "pos", "ts", "value")
+
+
 def series_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series per event type: hourly sums from the first to the last hour of all events, empty hours 0."""
     hour = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("hour", "ts").cast("timestamp_ntz")).cast("int")
@@ -77,6 +85,7 @@ def val_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "series_user": "series_user AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, ts, value FROM events)",
+    "series_type": "series_type AS (SELECT event_type AS series_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, ts, value FROM events)",
     "series_hour": """hs AS (SELECT event_type AS series_id, date_diff('hour', TIMESTAMP '1970-01-01', date_trunc('hour', ts)) AS h, sum(value) AS v FROM events GROUP BY 1, 2),
 hb AS (SELECT min(h) AS low, max(h) AS high FROM hs),
 series_hour AS (SELECT t.series_id, CAST(p.h - low AS INTEGER) AS pos, TIMESTAMP '1970-01-01' + to_hours(CAST(p.h AS INTEGER)) AS ts, round(coalesce(hs.v, 0.0), 2) AS value

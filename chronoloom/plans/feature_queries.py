@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import features as fx
-from chronoloom.plans.bindings import series_day, series_user, with_sql
+from chronoloom.functions import long_series as lx
+from chronoloom.plans.bindings import series_day, series_type, series_user, with_sql
 
 
 def r(c: str | Column, digits: int = 6) -> Column:
@@ -28,6 +29,39 @@ def d01_basic_statistics_daily(spark, sf_dir):
     return rounded(fx.basic_statistics(series_day(spark, sf_dir), with_spectrum=False), "series_id", median=2, mad=2, cusum_max=2)
 
 
+def d01_d08_long_basic_statistics(spark, sf_dir):
+    """Of few, long series: slices, and ranks in a global order."""
+    return rounded(lx.basic_statistics(series_type(spark, sf_dir)), "series_id", cusum_max=4)
+
+
+def d14_d16_long_slopes_and_runs(spark, sf_dir):
+    return rounded(lx.slopes_and_runs(series_type(spark, sf_dir), rows=512), "series_id")
+
+
+def d17_d19_long_peaks(spark, sf_dir):
+    return rounded(fx.peaks_and_changes(series_type(spark, sf_dir), changes=False), "series_id")
+
+
+def d21_long_ar_residuals(spark, sf_dir):
+    return lx.ar_residuals(series_type(spark, sf_dir)).select("series_id", "pos", r("residual"))
+
+
+def d22_d26_long_residual_diagnostics(spark, sf_dir):
+    return rounded(lx.residual_diagnostics(series_type(spark, sf_dir)), "series_id")
+
+
+def d28_d31_long_data_quality(spark, sf_dir):
+    return rounded(lx.data_quality(series_type(spark, sf_dir)), "series_id")
+
+
+def d33_long_event_segments(spark, sf_dir):
+    return lx.event_segments(series_type(spark, sf_dir))
+
+
+def d34_d36_long_event_summary(spark, sf_dir):
+    return _flat_events(lx.event_summary(series_type(spark, sf_dir)))
+
+
 def d11_basic_statistics_report(spark, sf_dir):
     return fx.report(fx.basic_statistics(series_user(spark, sf_dir)), "basic")
 
@@ -115,6 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         d01_d10_basic_statistics, d01_basic_statistics_daily, d11_basic_statistics_report, d12_d13_d18_changes_and_widths, d14_d16_slopes_and_runs, d17_d19_peaks, d20_dynamics_report, d20_dynamics_report_all, d21_ar_residuals,
+        d01_d08_long_basic_statistics, d14_d16_long_slopes_and_runs, d17_d19_long_peaks, d21_long_ar_residuals, d22_d26_long_residual_diagnostics, d28_d31_long_data_quality, d33_long_event_segments, d34_d36_long_event_summary,
         d22_d26_residual_diagnostics, d27_residual_report, d28_d31_data_quality, d32_quality_report, d33_event_segments, d34_d36_event_summary, d37_event_report, d38_feature_table, d38_feature_table_all, i1_i3_top_residuals,
     )
 }
@@ -248,3 +283,11 @@ ORACLE_SQL = {
     "i1_i3_top_residuals": f"""{_U},{_RESIDUALS} SELECT * FROM (SELECT series_id, pos, size, row_number() OVER (PARTITION BY series_id ORDER BY size DESC, pos) AS rank
       FROM (SELECT series_id, pos, round(abs(residual), 6) + 0.0 AS size FROM resid)) WHERE rank <= 5""",
 }
+
+#: The same SQL over few, long series.
+_LONG = {
+    "d14_d16_long_slopes_and_runs": "d14_d16_slopes_and_runs", "d17_d19_long_peaks": "d17_d19_peaks", "d21_long_ar_residuals": "d21_ar_residuals", "d22_d26_long_residual_diagnostics": "d22_d26_residual_diagnostics",
+    "d28_d31_long_data_quality": "d28_d31_data_quality", "d33_long_event_segments": "d33_event_segments", "d34_d36_long_event_summary": "d34_d36_event_summary",
+}
+ORACLE_SQL |= {name: ORACLE_SQL[of].replace(_U, with_sql("series_type")).replace("series_user", "series_type") for name, of in _LONG.items()}
+ORACLE_SQL["d01_d08_long_basic_statistics"] = f"{with_sql('series_type')},{_basic('series_type')} SELECT series_id, {_r('median', 'mad', 'acf1', 'acf_seasonal', 'qkurt')}, {_r('cusum_max', digits=4)} FROM basic"
