@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.functions.decimals import fixed_text
 from chronoloom.functions.segmentation import half_widths, median_squared_distance, peaks_of, pelt_rbf  # noqa: F401
 
 
@@ -310,16 +311,14 @@ PATTERNS, DOMINANT = ("rise", "fall", "flat", "oscillation"), "Dominant Pattern"
 
 
 def shown(c: Column, fmt: str) -> Column:
-    """A number as text: ties that a double holds exactly go to the even digit, and what rounds to zero has no sign."""
-    digits = int(fmt[2])
-    tie = c * 32 == F.floor(c * 32)
-    value = F.when(F.abs(c) * 10**digits < 0.5, 0.0).when(tie, F.bround(c, digits)).otherwise(c)
-    return F.format_string(fmt, value)
+    """A number as text, rounded as its exact value demands; what rounds to zero has no sign."""
+    return fixed_text(c, int(fmt[2]), signed_zero=False)
 
 
-def report(features: DataFrame, family: str) -> DataFrame:
-    """(series_id, report): a title and one line per feature, as agents read them."""
+def report(features: DataFrame, family: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """(series_id, report): a title and one line per feature, as agents read them; lines of features ``without`` are left out."""
     title, labels = REPORTS[family]
+    labels = {c: v for c, v in labels.items() if c not in without}
     lines = [F.lit(title), *(F.concat(F.lit(f"  {label}: "), shown(_feature(c), fmt)) for c, (label, fmt) in labels.items())]
     if family == "events":
         lines.append(F.concat(F.lit(f"  {DOMINANT}: "), F.get(F.array(*map(F.lit, PATTERNS)), F.col("event_dominant_pattern").cast("int"))))

@@ -2,30 +2,40 @@
 
 Steps: (uid, data_source, trajectory_id, step_index, prompt_ids, response_ids, response_mask,
 reward_score, value, ...). Group statistics are two-level aggregates joined back, so a group
-or trajectory of any size is pre-aggregated before it is shuffled; only recursions over the
-steps of one trajectory gather that trajectory.
+or trajectory of any size is pre-aggregated before it is shuffled; recursions over the steps of a
+trajectory go slice by slice.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.ranges import numbered_runs
 from chronoloom.operators.rows import response_length
 from chronoloom.sources.storage import stash
 
 #: Tools that agents may call (fixed values).
 FEATURE_TOOLS = ("extract_basic_statistics", "extract_within_channel_dynamics", "extract_forecast_residuals", "extract_data_quality", "extract_event_summary")
 PREDICT_TOOL = "predict_time_series"
+#: What an audit of an answer says (fixed values).
+NO_FEATURES = "No feature extraction tools were called. You must analyze the data first."
+NO_PREDICTION = "predict_time_series was not called. You must get model predictions first."
+COPIED = "Answer appears to copy input data. Predictions must be for FUTURE timestamps."
+COMPLETE = "Workflow completed correctly"
 
 
-def rollout_index(df: DataFrame, index_col: str = "index", order_col: str = "row_no", shard_col: str = "shard") -> DataFrame:
+def rollout_index(df: DataFrame, index_col: str = "index", order_col: str = "row_no", shard_col: str | None = "shard") -> DataFrame:
     """Adds rollout_n: the place within a run of equal neighbouring ``index_col`` values, by an explicit order.
 
-    Rows come in shards, as from several readers; runs end at their borders, so no task sees all rows.
+    Rows may come in shards, as from several readers; then runs end at their borders. Without shards
+    (``shard_col`` None) the order is one over all rows, dealt by ranges, and runs go on across them.
     """
+    if shard_col is None:
+        return numbered_runs(df, index_col, order_col, "rollout_n")
     w = Window.partitionBy(shard_col).orderBy(order_col)
     x = df.withColumn("__new", F.coalesce((F.lag(index_col).over(w) != F.col(index_col)).cast("int"), F.lit(1)))
     x = x.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -98,39 +108,90 @@ def broadcast_over_tokens(steps: DataFrame, column: str = "advantage") -> DataFr
     return steps.withColumn(f"token_{column}", F.transform("response_mask", lambda m: m * F.col(column)))
 
 
+#: Step numbers of a slice of a trajectory.
+SLICE_STEPS = 4096
+
+
+def _ahead(gamma: float, decay: float, gap: int, value: float, advantage: float) -> float:
+    """What a step takes from the next one there is; missing numbers between count as zero reward and value."""
+    ahead = gamma * value + decay * advantage
+    return ahead * decay ** (gap - 1) if gap > 1 else ahead
+
+
+def _slice_maps(gamma: float, decay: float):
+    """Of the steps of a slice (arrays t, r, v): the advantage of each if nothing came after the slice, and by what
+    share it takes what comes after. Together they are an affine map of that, and maps of neighbours compose."""
+
+    @F.pandas_udf("own array<double>, share array<double>")
+    def run(t: pd.Series, r: pd.Series, v: pd.Series) -> pd.DataFrame:
+        out = []
+        for ts, rs, vs in zip(t, r, v, strict=True):
+            ts, rs, vs = list(ts), list(rs), list(vs)
+            own, share = [0.0] * len(ts), [1.0] * len(ts)
+            for i in range(len(ts) - 1, -1, -1):
+                own[i] = rs[i] - vs[i]
+                if i + 1 < len(ts):
+                    gap = int(ts[i + 1] - ts[i])
+                    own[i] += _ahead(gamma, decay, gap, vs[i + 1], own[i + 1])
+                    share[i] = _ahead(0.0, decay, gap, 0.0, share[i + 1])
+            out.append((own, share))
+        return pd.DataFrame(out, columns=["own", "share"])
+
+    return run
+
+
+def _slice_inputs(gamma: float, decay: float):
+    """Of the slices of a trajectory in order: what comes into each from those after it."""
+
+    @F.pandas_udf("array<double>")
+    def run(first: pd.Series, last: pd.Series, value: pd.Series, own: pd.Series, share: pd.Series) -> pd.Series:
+        out = []
+        for low, high, v, a, p in zip(first, last, value, own, share, strict=True):
+            x = [0.0] * len(low)
+            for j in range(len(x) - 2, -1, -1):
+                x[j] = _ahead(gamma, decay, int(low[j + 1] - high[j]), float(v[j + 1]), float(a[j + 1] + p[j + 1] * x[j + 1]))
+            out.append(x)
+        return pd.Series(out)
+
+    return run
+
+
 def gae_advantage(steps: DataFrame, gamma: float = 1.0, lam: float = 1.0, whiten: bool = True) -> DataFrame:
     """Adds advantage and returns by generalised estimation over the steps of each trajectory.
 
     Missing step numbers count as zero reward and value; the recursion goes over the steps there
     are and takes gaps at once. Of repeated rows of a step the largest (score, value) holds, and
-    all get its advantage; rows without trajectory_id are a trajectory of their own.
-    Whitening uses mean and variance over response tokens (Bessel-corrected, 1e-8 within the root);
-    with fewer than two tokens in all there is none.
+    all get its advantage; rows without trajectory_id are a trajectory of their own, rows without
+    step_index a step that stands alone. Whitening uses mean and variance over response tokens
+    (Bessel-corrected, 1e-8 within the root); with fewer than two tokens in all there is none.
+
+    A trajectory is cut into slices of ``SLICE_STEPS`` step numbers. Each is an affine map of what comes after
+    it, so a scan over a row a slice gives every slice its input.
     """
+    decay, keys = float(gamma * lam), ("trajectory_id", "__slice")
     x = steps.withColumn("__score", step_score(steps)).withColumn("__v", F.coalesce("value", F.lit(0.0)))
-    each = x.groupBy("trajectory_id", "step_index").agg(F.max(F.struct(F.col("__score").alias("r"), F.col("__v").alias("v"))).alias("x"))
-    per = each.groupBy("trajectory_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("step_index").cast("int").alias("t"), "x.r", "x.v")))).alias("steps"))
-    decay = float(gamma * lam)
-
-    def back(acc: Column, s: Column) -> Column:
-        ahead = gamma * acc["v"] + decay * acc["a"]  # of the number just before the next step there is
-        gap = acc["t"] - s["t"]
-        ahead = F.when(acc["t"].isNull(), 0.0).when(gap > 1, ahead * F.pow(F.lit(decay), gap - 1)).otherwise(ahead)
-        a = s["r"] - s["v"] + ahead
-        return F.struct(s["t"].alias("t"), s["v"].alias("v"), a.alias("a"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), a.alias("a")))).alias("out"))
-
-    start = F.struct(F.lit(None).cast("int").alias("t"), F.lit(0.0).alias("v"), F.lit(0.0).alias("a"), F.array().cast("array<struct<t:int,a:double>>").alias("out"))
-    rows = per.select(F.col("trajectory_id").alias("__id"), F.explode(F.aggregate("steps", start, back, lambda acc: acc["out"])).alias("o")).select("__id", F.col("o.t").alias("__t"), F.col("o.a").alias("advantage"))
-    same = F.col("trajectory_id").eqNullSafe(F.col("__id")) & (F.col("step_index") == F.col("__t"))
-    out = x.join(rows, same).withColumn("returns", F.col("advantage") + F.col("__v"))
+    step = F.col("step_index").cast("bigint")
+    each = x.groupBy("trajectory_id", step.alias("t")).agg(F.max(F.struct(F.col("__score").alias("r"), F.col("__v").alias("v"))).alias("x"), F.sum(response_length()).alias("tokens"))
+    parts = each.groupBy("trajectory_id", F.floor(F.col("t") / SLICE_STEPS).alias("__slice")).agg(F.sort_array(F.collect_list(F.struct("t", "x.r", "x.v", "tokens"))).alias("s"))
+    parts = stash(parts.select(*keys, "s", _slice_maps(float(gamma), decay)("s.t", "s.r", "s.v").alias("m")), "slices")
+    facts = F.struct("__slice", F.get("s.t", F.lit(0)).alias("low"), F.get("s.t", F.size("s") - 1).alias("high"), F.get("s.v", F.lit(0)).alias("v"), F.get("m.own", F.lit(0)).alias("own"), F.get("m.share", F.lit(0)).alias("share"))
+    whole = parts.filter("__slice is not null").groupBy("trajectory_id").agg(F.sort_array(F.collect_list(facts)).alias("f"))
+    whole = whole.filter(F.size("f") > 1).select("trajectory_id", F.arrays_zip(F.col("f.__slice").alias("__slice"), _slice_inputs(float(gamma), decay)("f.low", "f.high", "f.v", "f.own", "f.share").alias("x")).alias("i"))
+    inputs = whole.select("trajectory_id", F.explode("i").alias("i")).select("trajectory_id", "i.__slice", F.col("i.x").alias("__input"))
+    same = lambda a, b: a.eqNullSafe(b)
+    inputs = inputs.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    joined = parts.join(inputs, same(F.col("trajectory_id"), F.col("__of_trajectory_id")) & (F.col("__slice") == F.col("__of___slice")), "left")
+    rows = joined.select("trajectory_id", F.coalesce("__input", F.lit(0.0)).alias("__input"), F.explode(F.arrays_zip(F.col("s.t").alias("t"), F.col("s.tokens").alias("n"), F.col("m.own").alias("own"), F.col("m.share").alias("share"))).alias("s"))
+    rows = stash(rows.select(F.col("trajectory_id").alias("__id"), F.col("s.t").alias("__t"), F.col("s.n").alias("__n"), (F.col("s.own") + F.col("s.share") * F.col("__input")).alias("advantage")), "advantages")
+    out = x.join(rows, same(F.col("trajectory_id"), F.col("__id")) & same(step, F.col("__t"))).withColumn("returns", F.col("advantage") + F.col("__v"))
     if whiten:
-        n, a = response_length(), F.col("advantage")
-        total, first, square = out.agg(F.sum(n), F.sum(n * a), F.sum(n * a * a)).first()
+        n, a = F.col("__n"), F.col("advantage")
+        total, first = rows.agg(F.sum(n), F.sum(n * a)).first()
         if total and total > 1:
-            mean = first / total
-            var = max(square - total * mean * mean, 0.0) / (total - 1)
+            mean = first / total  # squares about it: sums of plain squares would cancel
+            var = rows.agg(F.sum(n * (a - mean) * (a - mean))).first()[0] / (total - 1)
             out = out.withColumn("advantage", (a - mean) / math.sqrt(var + 1e-8))
-    return out.drop("__score", "__v", "__id", "__t")
+    return out.drop("__score", "__v", "__id", "__t", "__n")
 
 
 def compute_advantage(steps: DataFrame, estimator: str = "grpo", **options) -> DataFrame:
@@ -209,10 +270,10 @@ def audit_workflow(steps: DataFrame) -> DataFrame:
     x = x.withColumn("__made", made).withColumn("__p", _before(F.col("__made")))
     x = x.withColumn("has_answer", strict_answer(F.col("response_text")).isNotNull())
     copy = F.coalesce("is_copy", F.lit(False)) if "is_copy" in steps.columns else F.lit(False)
-    message = F.when(~F.col("__f"), "no feature tool was used").when(~F.col("__p"), "no prediction was made").when(copy, "the answer copies the input").otherwise("valid")
+    message = F.when(~F.col("__f"), NO_FEATURES).when(~F.col("__p"), NO_PREDICTION).when(copy, COPIED).otherwise(COMPLETE)
     x = x.withColumn("message", F.when(F.col("has_answer"), message))
-    penalty = F.when(F.col("message") == "the answer copies the input", -1.0).when(F.col("message") == "valid", 0.0).when(F.col("message").isNotNull(), -0.5)
-    return x.withColumn("valid", F.col("message") == "valid").withColumn("penalty", penalty).drop("__names", "__f", "__made", "__p")
+    penalty = F.when(F.col("message") == COPIED, -1.0).when(F.col("message") == COMPLETE, 0.0).when(F.col("message").isNotNull(), -0.5)
+    return x.withColumn("valid", F.col("message") == COMPLETE).withColumn("penalty", penalty).drop("__names", "__f", "__made", "__p")
 
 
 def _feature_first() -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.decimals import fixed_text
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,7 +53,7 @@ def series_text(spark: SparkSession, sf_dir: str, case: str = "partial") -> Data
     full: all have stamps; partial: not where pos % 7 = 3; none: none has; anchor: only pos 2 has.
     """
     drop = {"full": F.lit(False), "partial": F.col("pos") % 7 == 3, "none": F.lit(True), "anchor": F.col("pos") != 2}[case]
-    value = F.format_string("%.2f", "value")
+    value = fixed_text(F.col("value"), 2)
     line = F.when(drop, value).otherwise(F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), value))
     lines = series_user(spark, sf_dir).select("series_id", F.struct("pos", line.alias("line")).alias("p"))
     return lines.groupBy("series_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["line"]), "\n").alias("text"))
@@ -129,7 +131,7 @@ def _window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stamped(ts, value):
-    return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.format_string("%.3f", value))
+    return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), fixed_text(value, 3))
 
 
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +145,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     0: tagged; 1: without tags; 2: tagged, 12 lines; 3: tagged table rows; 4: tagged copy of the context's end.
     """
     day = F.slice("ctx", -24, 24)
-    line = lambda p, i: F.when(F.col("kind") == 3, F.format_string("| %d | %.3f |", i, p["value"])).when(F.col("kind") == 4, _stamped(p["ts"], p["value"])).otherwise(_stamped(p["ts"] + F.expr("interval 1 day"), p["value"]))
+    line = lambda p, i: F.when(F.col("kind") == 3, F.concat(F.format_string("| %d | ", i), fixed_text(p["value"], 3), F.lit(" |"))).when(F.col("kind") == 4, _stamped(p["ts"], p["value"])).otherwise(_stamped(p["ts"] + F.expr("interval 1 day"), p["value"]))
     text = F.array_join(F.slice(F.transform(day, line), F.lit(1), F.when(F.col("kind") == 2, 12).otherwise(24)), "\n")
     tagged = F.concat(F.lit("Done.\n<answer>\n"), text, F.lit("\n</answer>"))
     return _window_rows(spark, sf_dir).select("series_id", F.when(F.col("kind") == 1, text).otherwise(tagged).alias("answer_text"))

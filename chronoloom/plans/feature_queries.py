@@ -80,9 +80,8 @@ def d12_d13_d18_changes_and_widths(spark, sf_dir):
 
 
 def d20_dynamics_report(spark, sf_dir):
-    """The lines of what SQL can follow; the change points, which it can't, are set to 0."""
-    found = fx.channel_dynamics(series_user(spark, sf_dir), changes=False)
-    return fx.report(found.withColumns({c: F.lit(0.0) for c in fx.CHANGES}), "dynamics")
+    """The lines of what SQL can follow, without the two of change points, which it can't."""
+    return fx.report(fx.channel_dynamics(series_user(spark, sf_dir), changes=False), "dynamics", without=fx.CHANGES)
 
 
 def d20_dynamics_report_all(spark, sf_dir):
@@ -251,9 +250,10 @@ def _r(*columns: str, digits: int = 6) -> str:
 _ALL_BASIC = f"{_r(*_BASIC_COLUMNS)}, CAST(0 AS DOUBLE) AS mean_abs_corr, CAST(1 AS DOUBLE) AS pca_var_ratio1, {_r('peak_freq')}, {_r('spec_entropy', digits=4)}"
 
 
-def _report(family: str, *more: str, zero: tuple[str, ...] = ()) -> str:
+def _report(family: str, *more: str, without: tuple[str, ...] = ()) -> str:
     title, labels = fx.REPORTS[family]
-    number = lambda c, digits: "CAST(0 AS DOUBLE)" if c in zero else f"CASE WHEN abs({c}) * 1e{digits} < 0.5 THEN 0 ELSE {c} END"
+    labels = {c: v for c, v in labels.items() if c not in without}
+    number = lambda c, digits: f"CASE WHEN abs({c}) * 1e{digits} < 0.5 THEN 0 ELSE {c} END"
     rows = [f"'  {label}: ' || printf('{fmt}', {number(c, fmt[2])})" for c, (label, fmt) in labels.items()]
     return f"concat_ws(chr(10), '{title}', {', '.join([*rows, *more])})"
 
@@ -268,7 +268,7 @@ ORACLE_SQL = {
     "d11_basic_statistics_report": f"{_U},{_basic('series_user')},{_SPECTRUM} SELECT series_id, {_report('basic')} AS report FROM basic JOIN spectrum USING (series_id)",
     "d14_d16_slopes_and_runs": f"{_U},{_SLOPES} SELECT series_id, {_r(*_SLOPE_COLUMNS)} FROM slopes",
     "d17_d19_peaks": f"{_U},{_PEAKS} SELECT series_id, peak_count, {_r('peak_max_width', 'peak_spacing_cv')} FROM peaks",
-    "d20_dynamics_report": f"{_U},{_SLOPES},{_PEAKS} SELECT series_id, {_report('dynamics', zero=('changepoint_count', 'changepoint_score'))} AS report FROM slopes JOIN peaks USING (series_id)",
+    "d20_dynamics_report": f"{_U},{_SLOPES},{_PEAKS} SELECT series_id, {_report('dynamics', without=fx.CHANGES)} AS report FROM slopes JOIN peaks USING (series_id)",
     "d21_ar_residuals": f"{_U},{_RESIDUALS} SELECT series_id, pos, {_r('residual')} FROM resid",
     "d22_d26_residual_diagnostics": f"{_U},{_RESIDUALS} SELECT series_id, {_r(*_RESIDUAL_COLUMNS)} FROM residuals",
     "d27_residual_report": f"{_U},{_RESIDUALS} SELECT series_id, {_report('residuals')} AS report FROM residuals",

@@ -58,6 +58,12 @@ def g01_rollout_index(spark, sf_dir):
     return tr.rollout_index(doubled, "index", "row_no", "shard").select("row_no", "index", "rollout_n")
 
 
+def g01_rollout_index_by_order(spark, sf_dir):
+    """One order over all rows, without shards."""
+    rows = b.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("row_no"), F.floor(F.col("conv_id") / 3).alias("index"))
+    return tr.rollout_index(rows, "index", "row_no", None).select("row_no", "index", "rollout_n")
+
+
 def g02_repeat(spark, sf_dir):
     n = b.steps(spark, sf_dir).groupBy("trajectory_id").agg(F.count("*").cast("int").alias("num_steps"))
     return tr.repeat_by_steps(tr.repeat_prompts(n, 2)).select("trajectory_id", "rollout_n", "step_index")
@@ -229,7 +235,7 @@ def i6_shared_stages(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        b04_last_step, b05_b06_valid_and_live_rows, b07_normalize_model_name, b08_cap_tool_calls, b09_tool_argument, b10_truncate_responses, c04_attach_rollouts, g01_rollout_index, g02_repeat, g03_grpo_advantage,
+        b04_last_step, b05_b06_valid_and_live_rows, b07_normalize_model_name, b08_cap_tool_calls, b09_tool_argument, b10_truncate_responses, c04_attach_rollouts, g01_rollout_index, g01_rollout_index_by_order, g02_repeat, g03_grpo_advantage,
         g03_grpo_advantage_centred, g04_gae_advantage, g05_compute_advantage, g06_token_rewards, g07_pad_tokens, g08_flatten_trajectories, g09_audit_workflow, g10_step_rewards, g11_tool_gate, g12_episode_end,
         g13_trajectory_timing, g14_critic_value, i4_distinct_trajectories, i5_concat_batches, h01_validation_stats, h02_bootstrap_sizes, h03_bootstrap_best_worst, h04_exact_best_worst, h05_bootstrap_majority,
         h06_rollup_by_source, h07_label_metrics, h08_data_metrics, h09_explained_variance, h10_response_info, h11_timing_metrics, h12_throughput, h13_reduce_metrics, h14_sample_generations, i6_shared_stages, j03_bootstrap_reducers,
@@ -258,12 +264,12 @@ gae AS (SELECT s.*, adv, adv + value AS returns FROM steps s JOIN ga USING (traj
 gw AS (SELECT sum(n_tokens * adv) / sum(n_tokens) AS m, sum(n_tokens) AS n FROM gae),
 gv AS (SELECT any_value(m) AS m, sum(n_tokens * (adv - m) ** 2) / (any_value(n) - 1) AS v FROM gae, gw)"""
 
-_AUDIT = r"""
+_AUDIT = rf"""
 ab AS (SELECT *, coalesce(max(CASE WHEN list_contains(calls, 'F') THEN 1 ELSE 0 END) OVER w, 0) AS f FROM agent_steps WINDOW w AS (PARTITION BY trajectory_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 am AS (SELECT *, CASE WHEN (list_contains(calls, 'P') OR list_contains(calls, 'X')) AND (f = 1 OR calls[1] = 'F') THEN 1 ELSE 0 END AS made FROM ab),
 ap AS (SELECT *, coalesce(max(made) OVER (PARTITION BY trajectory_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
     step_index % 3 = 2 AND CAST(trajectory_id AS BIGINT) % 7 <> 0 AND trim(response_text) <> '' AS has_answer FROM am),
-audit AS (SELECT *, CASE WHEN NOT has_answer THEN NULL WHEN f = 0 THEN 'no feature tool was used' WHEN p = 0 THEN 'no prediction was made' WHEN is_copy THEN 'the answer copies the input' ELSE 'valid' END AS message FROM ap)"""
+audit AS (SELECT *, CASE WHEN NOT has_answer THEN NULL WHEN f = 0 THEN '{tr.NO_FEATURES}' WHEN p = 0 THEN '{tr.NO_PREDICTION}' WHEN is_copy THEN '{tr.COPIED}' ELSE '{tr.COMPLETE}' END AS message FROM ap)"""
 
 _VS = """
 vs AS (SELECT data_source, uid, var, count(*) AS n, avg(num) AS m, stddev_pop(num) AS s FROM val_samples WHERE num IS NOT NULL GROUP BY 1, 2, 3),
@@ -308,6 +314,7 @@ ORACLE_SQL = {
     "g01_rollout_index": """WITH x AS (SELECT conv_id * 100 + turn AS row_no, conv_id // 4 AS shard, (conv_id * 100 + turn) % 100 // 3 AS index FROM conversations),
       y AS (SELECT *, sum(CASE WHEN index = l THEN 0 ELSE 1 END) OVER (PARTITION BY shard ORDER BY row_no) AS run FROM (SELECT *, lag(index) OVER (PARTITION BY shard ORDER BY row_no) AS l FROM x))
       SELECT row_no, CAST(index AS BIGINT) AS index, CAST(row_number() OVER (PARTITION BY shard, run ORDER BY row_no) - 1 AS INTEGER) AS rollout_n FROM y""",
+    "g01_rollout_index_by_order": "SELECT conv_id * 100000 + turn AS row_no, conv_id // 3 AS index, CAST(row_number() OVER (PARTITION BY conv_id // 3 ORDER BY conv_id, turn) - 1 AS INTEGER) AS rollout_n FROM conversations",
     "g02_repeat": f"{_S} SELECT trajectory_id, CAST(k AS INTEGER) AS rollout_n, CAST(s AS INTEGER) AS step_index FROM (SELECT trajectory_id, unnest(range(count(*))) AS s FROM steps GROUP BY 1), (SELECT unnest(range(2)) AS k)",
     "g03_grpo_advantage": f"{_S},{_grpo('steps')} SELECT trajectory_id, step_index, round(reward_score, 6) + 0.0 AS score, round(advantage, 6) + 0.0 AS advantage FROM grpo",
     "g03_grpo_advantage_centred": f"{_S},{_grpo('steps', False)} SELECT trajectory_id, step_index, round(advantage, 6) + 0.0 AS advantage, CAST(n_tokens AS INTEGER) AS n, round(advantage * n_tokens, 6) + 0.0 AS total FROM grpo",
@@ -320,12 +327,12 @@ ORACLE_SQL = {
       array_to_string({_PAD.format(n=20, e='CASE WHEN i < nr THEN 1 ELSE 0 END')}, ',') AS response_mask,
       array_to_string({_PAD.format(n=32, e='greatest(0, least(i - 12 + np, np + nr - 1))')}, ',') AS position_ids FROM p""",
     "g08_flatten_trajectories": f"{_S} SELECT trajectory_id, step_index, role, CASE WHEN CAST(trajectory_id AS INTEGER) % 2 = 1 THEN reward_score END AS reward_score FROM steps",
-    "g09_audit_workflow": f"{_A},{_AUDIT} SELECT trajectory_id, step_index, has_answer, message, CAST(CASE message WHEN 'valid' THEN 0 WHEN 'the answer copies the input' THEN -1 WHEN 'no feature tool was used' THEN -0.5 WHEN 'no prediction was made' THEN -0.5 END AS DOUBLE) AS penalty FROM audit",
-    "g10_step_rewards": f"{_A},{_AUDIT} SELECT trajectory_id, step_index, round(CAST(CASE WHEN message = 'valid' THEN reward_score WHEN message = 'the answer copies the input' THEN -1 WHEN message IS NOT NULL THEN -0.5 WHEN len(calls) > 0 THEN 0.05 ELSE 0 END AS DOUBLE), 6) + 0.0 AS step_reward FROM audit",
+    "g09_audit_workflow": f"{_A},{_AUDIT} SELECT trajectory_id, step_index, has_answer, message, CAST(CASE message WHEN '{tr.COMPLETE}' THEN 0 WHEN '{tr.COPIED}' THEN -1 WHEN '{tr.NO_FEATURES}' THEN -0.5 WHEN '{tr.NO_PREDICTION}' THEN -0.5 END AS DOUBLE) AS penalty FROM audit",
+    "g10_step_rewards": f"{_A},{_AUDIT} SELECT trajectory_id, step_index, round(CAST(CASE WHEN message = '{tr.COMPLETE}' THEN reward_score WHEN message = '{tr.COPIED}' THEN -1 WHEN message IS NOT NULL THEN -0.5 WHEN len(calls) > 0 THEN 0.05 ELSE 0 END AS DOUBLE), 6) + 0.0 AS step_reward FROM audit",
     "g11_tool_gate": f"""{_A}, c AS (SELECT trajectory_id, step_index, CAST(i - 1 AS INTEGER) AS call_no, n FROM (SELECT trajectory_id, step_index, unnest(calls) AS n, generate_subscripts(calls, 1) AS i FROM agent_steps))
       SELECT trajectory_id, step_index, call_no, CASE WHEN n = 'F' THEN 'extract_data_quality' ELSE 'predict_time_series' END AS name,
         n = 'F' OR coalesce(max(CASE WHEN n = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY trajectory_id ORDER BY step_index, call_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS allowed FROM c""",
-    "g12_episode_end": f"{_A},{_AUDIT} SELECT trajectory_id, step_index FROM (SELECT *, min(CASE WHEN message = 'valid' THEN step_index END) OVER (PARTITION BY trajectory_id) AS stop FROM audit) WHERE step_index < 5 AND (stop IS NULL OR step_index <= stop)",
+    "g12_episode_end": f"{_A},{_AUDIT} SELECT trajectory_id, step_index FROM (SELECT *, min(CASE WHEN message = '{tr.COMPLETE}' THEN step_index END) OVER (PARTITION BY trajectory_id) AS stop FROM audit) WHERE step_index < 5 AND (stop IS NULL OR step_index <= stop)",
     "g13_trajectory_timing": f"""{_S}, per AS (SELECT trajectory_id, sum(t_generate) AS g, sum(t_tool) AS t, count(*) AS n, sum(len(prompt_ids)) AS p, sum(n_tokens) AS r FROM steps GROUP BY 1),
       slow AS (SELECT * FROM per ORDER BY round(g + t, 9) DESC, trajectory_id LIMIT 1)
       SELECT metric, round(value, 6) + 0.0 AS value FROM ({_TIMING} UNION ALL SELECT 'slowest/time', g + t FROM slow UNION ALL SELECT 'slowest/prompt_length', CAST(p AS DOUBLE) FROM slow UNION ALL SELECT 'slowest/response_length', CAST(r AS DOUBLE) FROM slow)""",

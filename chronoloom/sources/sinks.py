@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.functions.decimals import fixed_text
 from chronoloom.operators.rows import resolve_value_column
 
 
@@ -17,7 +18,7 @@ def format_forecast_text(df: DataFrame, value_col: str | None = None, last_ts: s
     order = "step" if "step" in df.columns else "pos"
     base = F.lit(last_ts or "2017-01-01 00:00:00").cast("timestamp_ntz")
     ts = F.col("ts") if "ts" in df.columns else (base + F.make_dt_interval(F.lit(0), ((F.col(order) + 1) * freq_hours).cast("int"))).cast("timestamp_ntz")
-    line = F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.format_string("%.3f", F.col(value).cast("double")))
+    line = F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), fixed_text(F.col(value).cast("double"), 3))
     lines = df.select("series_id", F.struct(F.col(order).alias("k"), line.alias("line")).alias("p"))
     return lines.groupBy("series_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["line"]), "\n").alias("text"))
 
