@@ -251,3 +251,51 @@ def test_factor_trades_recall_for_leaves(spark):
         kept.append((~vector_search._out(shard.tree.bounds(q), np.sort(true, 1)[:, 9:10], factor)).mean())
         assert np.allclose(score, np.take_along_axis(true, best, 1))
     assert recall[0] == 1.0 >= recall[1] >= recall[2] and kept[0] > kept[1] > kept[2] and kept[0] < 0.6
+
+
+# -- near duplicates made from a template ------------------------------------------------------
+
+
+def template(n, exchanged, seed=1, length=200):
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(length)], []
+    for i in range(n):
+        words = list(base)
+        for p in rng.sample(range(length), exchanged):
+            words[p] = f"x{rng.randrange(10**7)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def brute_components(rows, size=4, percent=80):
+    sets = [frozenset(" ".join(w[p : p + size]) for p in range(len(w) - size + 1)) for w in (t.split() for _, t in rows)]
+    lead = list(range(len(rows)))
+
+    def top(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((top(i), top(j)))
+                lead[b] = a
+    return {i: rows[top(i)][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize(("n", "exchanged", "block"), [(300, 3, 512), (120, 4, 16)])
+def test_documents_of_a_template(spark, monkeypatch, n, exchanged, block):
+    """Nearest partners join what a template makes; few rows are left to meet by shingles, and no link is lost."""
+    from chronoloom.llm import near_dedup
+
+    dealt, real = [], near_dedup._in_blocks
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda members, percent: (dealt.append(members.count()), real(members, percent))[1])
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SMALL", 8 if block < 512 else 64)
+    rows = template(n, exchanged)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup_digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute_components(rows)
+    if block == 512:
+        assert sum(dealt) <= 20 * n
