@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.ranges import beside, numbered
 from chronoloom.operators.rows import response_length
+from chronoloom.sources.storage import stash
 
 KEYS = ("data_source", "uid", "var")
 
@@ -107,6 +109,28 @@ def bootstrap_best_worst(samples: DataFrame, n_boot: int = 1000, seed: int = 42)
     return bootstrap(samples, REDUCERS, n_boot, seed)
 
 
+def bootstrap_by_ranks(samples: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys, metric, value) as of ``bootstrap_best_worst``, for groups that don't fit in one row.
+
+    The best of n draws from a sorted group is at the place that one uniform number gives, as all n lie at or
+    below a place with the n-th power of its share. So a resample is one number a side and one row that
+    is looked up by its rank; ranks come from a range partitioning. Draws depend on the group's keys and n.
+    """
+    x = _numbers(samples).select(*KEYS, "sample_no", "num")
+    facts = x.groupBy(*KEYS).agg(F.count("*").alias("total"), F.count("num").alias("live"))
+    draws = stash(facts, "groups").withColumn("n", F.explode(bootstrap_sizes(F.col("total")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("side", F.explode(F.array(F.lit("best"), F.lit("worst"))))
+    uniform = (F.pmod(F.xxhash64(*KEYS, "n", "b", "side", F.lit(seed)), F.lit(1 << 53)) + 1) / float(1 << 53)
+    place = F.ceil(F.col("total") * F.pow(uniform, 1 / F.col("n"))) - (F.col("total") - F.col("live"))  # samples without a number lie before all others
+    draws = draws.withColumn("place", place).filter(F.col("place") > 0).select(*KEYS, "n", "side", F.when(F.col("side") == "best", F.col("place") - 1).otherwise(F.col("live") - F.col("place")).cast("int").alias("rank"))
+    times = draws.groupBy(*KEYS, "rank", "n", "side").agg(F.count("*").alias("times"))
+    ranked = numbered(x.filter("num is not null"), list(KEYS), ["num", "sample_no"], "rank")
+    met = beside(ranked, stash(times, "draws"), *KEYS, "rank")
+    mean = stash(met.groupBy(*KEYS, "n", "side").agg((F.sum(F.col("num") * F.col("times")) / F.sum("times")).alias("m")), "means")
+    spread = beside(met, mean, *KEYS, "n", "side").groupBy(*KEYS, "n", "side").agg(F.first("m").alias("mean"), F.sqrt(F.sum(F.col("times") * (F.col("num") - F.col("m")) * (F.col("num") - F.col("m"))) / F.sum("times")).alias("std"))
+    name = lambda part: F.concat("side", F.lit("@"), "n", F.lit(f"/{part}")).alias("metric")
+    return spread.select(*KEYS, name("mean"), F.col("mean").alias("value")).union(spread.select(*KEYS, name("std"), F.col("std").alias("value")))
+
+
 def exact_best_worst(samples: DataFrame) -> DataFrame:
     """(keys, n, best, worst): the expectations that the bootstrap estimates, in closed form: over the
     resamples that hold a number at all, so NaN samples only make others rarer."""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
+import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.arma import fit_orders, inside
 from chronoloom.sources.series_text import _plus_seconds
 
 
@@ -157,12 +162,6 @@ def stationarity(x: np.ndarray) -> int:
     return int(0.5 * math.erfc(-quantile / math.sqrt(2)) >= 0.05)
 
 
-def _inside(coefficients: np.ndarray) -> bool:
-    """Whether 1 - c1 z - c2 z^2 ... has all its roots outside the unit circle."""
-    roots = np.roots(np.concatenate([-coefficients[::-1], [1.0]])) if len(coefficients) else np.zeros(0)
-    return bool((np.abs(roots) > 1 + 1e-6).all())
-
-
 def _long_residuals(x: np.ndarray, constant: bool, k: int) -> np.ndarray:
     """Residuals of a long autoregression; the first ``k`` are 0."""
     e = np.zeros(len(x))
@@ -171,12 +170,11 @@ def _long_residuals(x: np.ndarray, constant: bool, k: int) -> np.ndarray:
     return e
 
 
-def arma_fit(x: np.ndarray, p: int, q: int, constant: bool = True, least: int = 5) -> tuple[float, Callable[[int], np.ndarray]]:
-    """AIC and forecaster of ARMA(p, q), with a mean if ``constant``: long autoregression first, then least
-    squares on lagged values and lagged residuals.
+def start_values(x: np.ndarray, p: int, q: int, constant: bool = True, least: int = 5) -> np.ndarray:
+    """Mean if ``constant``, then coefficients of ARMA(p, q): long autoregression first, then least squares on
+    lagged values and lagged residuals; drawn to zero until they are stationary and invertible.
 
-    All orders up to ``least`` are fitted on the same points, so their AIC can be compared. An
-    estimate that is not stationary and invertible is an error, as too few points are.
+    Too few points are an error; orders up to ``least`` need as many.
     """
     n = len(x)
     most = max(p, q, least)
@@ -187,45 +185,44 @@ def arma_fit(x: np.ndarray, p: int, q: int, constant: bool = True, least: int =
         raise ValueError("too few points")
     e = _long_residuals(x, constant, k)
     design = np.column_stack([np.ones((m, c)), *(x[start - j : n - j] for j in range(1, p + 1)), *(e[start - j : n - j] for j in range(1, q + 1))])
-    beta, r = _least_squares(design, x[start:])
-    mean, ar, ma = beta[0] if constant else 0.0, beta[c : c + p], beta[c + p :]
-    if not (np.isfinite(beta).all() and _inside(ar) and _inside(-ma)):
-        raise ValueError("not stationary and invertible")
-    aic = m * np.log(max(float(r @ r) / m, 1e-12)) + 2 * (p + q + c + 1)
-
-    def forecast(h: int) -> np.ndarray:
-        xs, es = x.tolist(), [0.0] * p
-        for t in range(p, n):  # the residuals that the estimate itself leaves
-            es.append(xs[t] - mean - sum(ar[j] * xs[t - 1 - j] for j in range(p)) - sum(ma[j] * es[t - 1 - j] for j in range(min(q, t))))
-        for _ in range(h):
-            xs.append(float(mean + sum(ar[j] * xs[-1 - j] for j in range(p)) + sum(ma[j] * es[-1 - j] for j in range(q))))
-            es.append(0.0)
-        return np.array(xs[n:])
+    beta = _least_squares(design, x[start:])[0]
+    if not np.isfinite(beta).all():
+        raise ValueError("no estimate")
+    ar, ma = beta[c : c + p], beta[c + p :]
+    for part, sign in ((ar, 1), (ma, -1)):
+        while not inside(sign * part):
+            part *= 0.9 ** np.arange(1, len(part) + 1)
+    return np.concatenate([[x.mean()] * c, ar, ma])
 
-    return aic, forecast
 
-
-def arima_fit(x: np.ndarray, candidates=CANDIDATES) -> tuple[tuple[int, int, int] | None, Callable[[int], np.ndarray]]:
-    """The order (p, d, q) of the least AIC (of equal ones the first) and its forecaster of x.
+def arima_search(x: np.ndarray, candidates=CANDIDATES) -> tuple[tuple[int, int, int] | None, float | None, Callable[[int], np.ndarray]]:
+    """The order (p, d, q) of the least AIC by exact likelihood (of equal ones the first), that AIC, and a forecaster of x.
 
     A constant is part of models with d = 0 alone, so differenced series don't drift. Where no
     candidate can be fitted, ``FALLBACK`` is tried; where that fails too, the order is None and the
     last value goes on.
     """
-
-    def fitted(p: int, d: int, q: int, least: int = 5):
-        try:
-            aic, forecast = arma_fit(np.diff(x) if d else x, p, q, not d, least)
-        except (ValueError, np.linalg.LinAlgError):
-            return None
-        return (aic, (p, d, q), (lambda h: x[-1] + np.cumsum(forecast(h))) if d else forecast) if np.isfinite(aic) else None
-
     if np.isfinite(x).all():
         d = stationarity(x)
-        found = [f for p, q in candidates if (f := fitted(p, d, q))] or [f for f in [fitted(*FALLBACK, least=1)] if f]
-        if found:
-            return min(found, key=lambda f: f[0])[1:]
-    return None, lambda h: np.full(h, x[-1])
+        for orders, at, least in ((candidates, d, 5), ([(FALLBACK[0], FALLBACK[2])], FALLBACK[1], 1)):
+            y, starts = np.diff(x) if at else x, {}
+            for p, q in orders:
+                with contextlib.suppress(ValueError, np.linalg.LinAlgError):
+                    starts[p, q] = start_values(y, p, q, not at, least)
+            try:
+                found = fit_orders(y, starts, not at) if starts else []
+            except np.linalg.LinAlgError:
+                found = []
+            if found:
+                best = min(found, key=lambda f: f.aic)
+                return (best.p, at, best.q), best.aic, (lambda h: x[-1] + np.cumsum(best.forecast(h))) if at else best.forecast
+    return None, None, lambda h: np.full(h, x[-1])
+
+
+def arima_fit(x: np.ndarray, candidates=CANDIDATES) -> tuple[tuple[int, int, int] | None, Callable[[int], np.ndarray]]:
+    """The order that ``arima_search`` finds, and its forecaster."""
+    order, _, forecast = arima_search(x, candidates)
+    return order, forecast
 
 
 def arima_values(x: np.ndarray, horizon: int) -> np.ndarray:
@@ -252,24 +249,52 @@ def _seasonal(x: np.ndarray, h: int, season: int = 24) -> np.ndarray:
     return np.resize(x[-season:], h) if len(x) >= season else _naive(x, h)
 
 
+@dataclass(frozen=True)
+class ModelFactory:
+    """A model that each Python worker makes once and keeps: ``load`` of the path of its weights there, or of None.
+
+    A file of weights is sent to the executors beside the job, not in the closure of every task.
+    """
+
+    name: str
+    load: Callable[[str | None], Model]
+    weights: str | None = None
+
+    def ship(self, spark: SparkSession) -> None:
+        if self.weights:
+            spark.sparkContext.addFile(self.weights)
+
+    def model(self) -> Model:
+        key = (self.name, self.weights)
+        if key not in _LOADED:
+            _LOADED[key] = self.load(SparkFiles.get(os.path.basename(self.weights)) if self.weights else None)
+        return _LOADED[key]
+
+
+#: Models that this Python worker has made.
+_LOADED: dict[tuple[str, str | None], Model] = {}
+
 #: Models by name: a callable from context values and horizon to values. Users add their own.
-MODELS: dict[str, Model] = {"naive": _naive, "seasonal_naive": _seasonal, "arima": arima_values}
+MODELS: dict[str, Model | ModelFactory] = {"naive": _naive, "seasonal_naive": _seasonal, "arima": arima_values}
 
 
-def forecast_with_model(series: DataFrame, model: str, horizon: int, models: dict[str, Model] | None = None, normalize: bool = False) -> DataFrame:
+def forecast_with_model(series: DataFrame, model: str, horizon: int, models: dict[str, Model | ModelFactory] | None = None, normalize: bool = False) -> DataFrame:
     """(series_id, model, step, ts, yhat). Series go to the model in Arrow batches of arrays; results
-    longer or shorter than the horizon are cut or continued."""
+    longer or shorter than the horizon are cut or continued. A ``ModelFactory`` is loaded once per worker."""
     chosen = (models or MODELS).get(model)
     if chosen is None:
         raise ValueError(f"unknown model {model!r}; known: {sorted(models or MODELS)}")
+    if isinstance(chosen, ModelFactory):
+        chosen.ship(series.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = chosen.model() if isinstance(chosen, ModelFactory) else chosen
         for pdf in batches:
             ids, steps, values = [], [], []
             for name, x in zip(pdf["series_id"], pdf["values"], strict=True):
                 x = np.asarray(x, float)
                 mean, scale = (x.mean(), np.sqrt(x.var() + 1e-5)) if normalize else (0.0, 1.0)
-                y = np.asarray(chosen((x - mean) / scale, horizon), float)[:horizon] * scale + mean
+                y = np.asarray(made((x - mean) / scale, horizon), float)[:horizon] * scale + mean
                 ids += [name] * len(y)
                 steps += range(len(y))
                 values += y.tolist()
@@ -280,17 +305,17 @@ def forecast_with_model(series: DataFrame, model: str, horizon: int, models: dic
 
 
 def forecast_arima(series: DataFrame, horizon: int) -> DataFrame:
-    """(series_id, model, order, step, ts, yhat): ``order`` is the (p, d, q) that was chosen as text,
-    'naive' where none could be fitted."""
+    """(series_id, model, order, aic, step, ts, yhat): ``order`` is the (p, d, q) that was chosen as text, with its
+    AIC; 'naive' and null where none could be fitted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, x in zip(pdf["series_id"], pdf["values"], strict=True):
-                order, forecast = arima_fit(np.asarray(x, float))
+                order, aic, forecast = arima_search(np.asarray(x, float))
                 text = "naive" if order is None else ",".join(map(str, order))
-                rows += [(name, text, step, v) for step, v in enumerate(forecast(horizon).tolist())]
-            yield pd.DataFrame(rows, columns=["series_id", "order", "step", "yhat"])
+                rows += [(name, text, aic, step, v) for step, v in enumerate(forecast(horizon).tolist())]
+            yield pd.DataFrame(rows, columns=["series_id", "order", "aic", "step", "yhat"])
 
-    made = value_arrays(series).filter(F.size("values") > 0).mapInPandas(run, "series_id string, order string, step int, yhat double")
-    return extend_timestamps(series, horizon).join(made, ["series_id", "step"]).select("series_id", F.lit("arima").alias("model"), "order", "step", "ts", "yhat")
+    made = value_arrays(series).filter(F.size("values") > 0).mapInPandas(run, "series_id string, order string, aic double, step int, yhat double")
+    return extend_timestamps(series, horizon).join(made, ["series_id", "step"]).select("series_id", F.lit("arima").alias("model"), "order", "aic", "step", "ts", "yhat")

@@ -170,6 +170,12 @@ def e11_forecast_arima(spark, sf_dir):
     return fo.forecast_arima(b.contexts(spark, sf_dir), 24)
 
 
+def e12_forecast_with_factory(spark, sf_dir):
+    """The same by a model that each worker makes once."""
+    factory = fo.ModelFactory("seasonal", lambda _: fo.MODELS["seasonal_naive"])
+    return fo.forecast_with_model(b.contexts(spark, sf_dir), "seasonal_naive", 48, {"seasonal_naive": factory})
+
+
 def e12_forecast_with_model(spark, sf_dir):
     return fo.forecast_with_model(b.contexts(spark, sf_dir), "seasonal_naive", 48)
 
@@ -250,7 +256,7 @@ QUERIES = {
         a01_read_rollouts, a02_parse_series_text, a03_build_series_full, a03_build_series_partial, a03_build_series_none, a03_build_series_anchor, a04_parse_answer_values, a05_format_forecast_text, a06_write_generations,
         a07_append_io_log, b01_extract_answer, b02_resolve_value_column, b03_truncate_history, b11_validate_series_request, b12_sanitize, b13_render_prompt, b14_turn_info, c01_align_forecast, c02_detect_input_copy, c03_match_extrema,
         e01_infer_frequency, e02_last_timestamp, e03_extend_timestamps, e04_make_windows, e05_instance_normalize, e06_make_patches, e07_median_quantile, e07_sample_median, e08_fit_length, e09_forecast_naive, e09_forecast_seasonal_naive,
-        e10_stationarity_order, e11_forecast_arima, e12_forecast_with_model, f01_normalize_pair, f02_errors, f03_f04_format_and_length, f05_mse_score, f06_decompose, f07_season_trend_score, f08_find_extrema, f09_extrema_score,
+        e10_stationarity_order, e11_forecast_arima, e12_forecast_with_factory, e12_forecast_with_model, f01_normalize_pair, f02_errors, f03_f04_format_and_length, f05_mse_score, f06_decompose, f07_season_trend_score, f08_find_extrema, f09_extrema_score,
         f10_total_score, f11_final_reward, j02_custom_reward,
     )
 }
@@ -379,3 +385,4 @@ ORACLE_SQL = {
     "f11_final_reward": f"{_X},{_S},{_TOTAL} SELECT series_id, round(CASE WHEN series_id LIKE 'error#%' THEN 0 ELSE length_score + mse_score + extrema_score + season_trend_score END, 4) + 0.0 AS reward FROM tot",
     "j02_custom_reward": f"{_T} SELECT series_id, CAST(length(answer_text) - length(truth_text) + length(split_part(series_id, '#', 1)) + CAST(split_part(series_id, '#', 2) AS INTEGER) AS DOUBLE) AS reward FROM answers JOIN truths USING (series_id)",
 }
+ORACLE_SQL["e12_forecast_with_factory"] = ORACLE_SQL["e12_forecast_with_model"]

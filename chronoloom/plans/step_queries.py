@@ -156,6 +156,15 @@ def h03_bootstrap_best_worst(spark, sf_dir):
     return ev.bootstrap_best_worst(b.val_samples(spark, sf_dir))
 
 
+def h03_best_worst_by_ranks(spark, sf_dir):
+    """Resamples of groups of any size, beside the exact expectations: within five standard errors."""
+    samples = b.val_samples(spark, sf_dir)
+    name = F.split("metric", "[@/]")
+    boot = ev.bootstrap_by_ranks(samples).select(*ev.KEYS, name[1].cast("int").alias("n"), F.concat_ws("_", name[0], name[2]).alias("what"), "value").groupBy(*ev.KEYS, "n").pivot("what", ["best_mean", "best_std", "worst_mean", "worst_std"]).agg(F.first("value"))
+    near = lambda c: (F.abs(F.col(c) - F.col(f"{c}_mean")) <= 5 * F.col(f"{c}_std") / 1000**0.5 + 5e-3).alias(f"{c}_agrees")
+    return ev.exact_best_worst(samples).join(boot, [*ev.KEYS, "n"]).select(*ev.KEYS, "n", near("best"), near("worst"))
+
+
 def h04_exact_best_worst(spark, sf_dir):
     return ev.exact_best_worst(b.val_samples(spark, sf_dir)).select(*ev.KEYS, "n", r("best"), r("worst"))
 
@@ -237,7 +246,7 @@ QUERIES = {
     for f in (
         b04_last_step, b05_b06_valid_and_live_rows, b07_normalize_model_name, b08_cap_tool_calls, b09_tool_argument, b10_truncate_responses, c04_attach_rollouts, g01_rollout_index, g01_rollout_index_by_order, g02_repeat, g03_grpo_advantage,
         g03_grpo_advantage_centred, g04_gae_advantage, g05_compute_advantage, g06_token_rewards, g07_pad_tokens, g08_flatten_trajectories, g09_audit_workflow, g10_step_rewards, g11_tool_gate, g12_episode_end,
-        g13_trajectory_timing, g14_critic_value, i4_distinct_trajectories, i5_concat_batches, h01_validation_stats, h02_bootstrap_sizes, h03_bootstrap_best_worst, h04_exact_best_worst, h05_bootstrap_majority,
+        g13_trajectory_timing, g14_critic_value, i4_distinct_trajectories, i5_concat_batches, h01_validation_stats, h02_bootstrap_sizes, h03_best_worst_by_ranks, h03_bootstrap_best_worst, h04_exact_best_worst, h05_bootstrap_majority,
         h06_rollup_by_source, h07_label_metrics, h08_data_metrics, h09_explained_variance, h10_response_info, h11_timing_metrics, h12_throughput, h13_reduce_metrics, h14_sample_generations, i6_shared_stages, j03_bootstrap_reducers,
     )
 }
@@ -359,6 +368,7 @@ ORACLE_SQL = {
       UNION ALL SELECT 'perf/time_per_step', CAST(12.5 AS DOUBLE) FROM tk UNION ALL SELECT 'perf/throughput', round(t / 50, 6) FROM tk""",
     "h13_reduce_metrics": f"{_S} SELECT role AS metric, round(avg(reward_score), 6) + 0.0 AS value FROM steps GROUP BY 1",
     "h14_sample_generations": f"{_S} SELECT response_text AS input, trajectory_id, step_index FROM steps ORDER BY md5('42#' || coalesce(response_text, '')), input, trajectory_id, step_index LIMIT 10",
+    "h03_best_worst_by_ranks": f"{_EXACT} SELECT data_source, uid, var, CAST(n AS INTEGER) AS n, true AS best_agrees, true AS worst_agrees FROM s GROUP BY 1, 2, 3, 4",
     "j03_bootstrap_reducers": f"{_EXACT} SELECT data_source, uid, var, CAST(n AS INTEGER) AS n, true AS best_agrees, true AS worst_agrees FROM s GROUP BY 1, 2, 3, 4",
     "i6_shared_stages": f"{_S} SELECT DISTINCT role AS stage FROM steps WHERE role <> 'user'",
 }

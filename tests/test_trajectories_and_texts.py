@@ -89,3 +89,19 @@ def test_decimals_are_those_of_python(spark):
         assert not wrong, wrong[:5]
     plain = [r["s"] for r in spark.createDataFrame([(-0.00001,), (-0.0,), (-1.5,), (None,)], "v double").select(fixed_text(F.col("v"), 4, signed_zero=False).alias("s")).collect()]
     assert plain == ["0.0000", "0.0000", "-1.5000", None]
+
+
+def test_best_and_worst_of_large_groups_by_ranks(spark):
+    """Two hundred thousand samples of one group, some without a number, beside the closed form."""
+    from chronoloom.operators import evaluation as ev
+
+    x = spark.range(200_000).select(F.lit("d").alias("data_source"), F.when(F.col("id") % 1000 == 0, "small").otherwise("large").alias("uid"), F.lit("reward").alias("var"), F.col("id").alias("sample_no"))
+    x = x.withColumn("num", F.when(F.col("sample_no") % 11 == 3, float("nan")).otherwise(F.pmod(F.xxhash64("sample_no"), F.lit(1000)) / 7)).withColumn("str", F.lit(None).cast("string"))
+    got = {(r["uid"], r["metric"]): r["value"] for r in ev.bootstrap_by_ranks(x).collect()}
+    seen = 0
+    for r in ev.exact_best_worst(x).collect():
+        for side in ("best", "worst"):
+            mean, std = got[r["uid"], f"{side}@{r['n']}/mean"], got[r["uid"], f"{side}@{r['n']}/std"]
+            assert abs(mean - r[side]) <= 5 * std / 1000**0.5 + 1e-2, (r, side)
+            seen += 1
+    assert seen == len(got) / 2 > 40
