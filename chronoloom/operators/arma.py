@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Steps at most, and the relative gain that ends them.
-STEPS, GAIN = 12, 1e-10
+STEPS, GAIN = 5, 1e-8
 
 
 def inside(coefficients: np.ndarray) -> bool:
@@ -46,7 +46,7 @@ def innovations(y: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarr
             after = moved[:, :, :1] * phi[:, None, :]
             after[:, :, :-1] += moved[:, :, 1:]
             after += noise - k[:, :, None] * k[:, None, :] * f[:, None, None]
-            settled = bool(np.abs(after - p).max() < 1e-14)
+            settled = bool(np.abs(after - p).max() < 1e-11)
             p, root, log = after, np.sqrt(f), np.log(f)
         v = y[:, i] - a[:, 0]
         out[:, i] = v / root
