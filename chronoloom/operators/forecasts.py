@@ -61,6 +61,13 @@ def denormalize(df: DataFrame, column: str = "norm") -> DataFrame:
     return df.withColumn("value", F.col(column) * F.col("scale") + F.col("mean"))
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """``series`` dealt by id over all cores. Models cost far more than their series' bytes, by which a small shuffle
+    would be merged into one task; a grouping by series afterwards needs no other shuffle."""
+    spark = series.sparkSession
+    return series.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "series_id")
+
+
 def value_arrays(series: DataFrame) -> DataFrame:
     return series.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("values"))
 
@@ -233,7 +240,7 @@ def stationarity_order(series: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "d": [stationarity(pdf.sort_values("pos")["value"].to_numpy(float))]})
 
-    return series.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, "series_id string, d int")
+    return spread(series.select("series_id", "pos", "value")).groupBy("series_id").applyInPandas(one, "series_id string, d int")
 
 
 # -- models by name -------------------------------------------------------------------
@@ -300,7 +307,7 @@ def forecast_with_model(series: DataFrame, model: str, horizon: int, models: dic
                 values += y.tolist()
             yield pd.DataFrame({"series_id": ids, "step": steps, "yhat": values})
 
-    made = value_arrays(series).filter(F.size("values") > 0).mapInPandas(run, "series_id string, step int, yhat double")
+    made = value_arrays(spread(series)).filter(F.size("values") > 0).mapInPandas(run, "series_id string, step int, yhat double")
     return extend_timestamps(series, horizon, "last").join(fit_length(made, horizon), ["series_id", "step"]).select("series_id", F.lit(model).alias("model"), "step", "ts", "yhat")
 
 
@@ -317,5 +324,5 @@ def forecast_arima(series: DataFrame, horizon: int) -> DataFrame:
                 rows += [(name, text, aic, step, v) for step, v in enumerate(forecast(horizon).tolist())]
             yield pd.DataFrame(rows, columns=["series_id", "order", "aic", "step", "yhat"])
 
-    made = value_arrays(series).filter(F.size("values") > 0).mapInPandas(run, "series_id string, order string, aic double, step int, yhat double")
+    made = value_arrays(spread(series)).filter(F.size("values") > 0).mapInPandas(run, "series_id string, order string, aic double, step int, yhat double")
     return extend_timestamps(series, horizon).join(made, ["series_id", "step"]).select("series_id", F.lit("arima").alias("model"), "order", "aic", "step", "ts", "yhat")
