@@ -70,6 +70,20 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, which are hashes, and each key's place among them. One range of keys after another is
+    sorted, so that what a sort takes is a sixteenth of the block."""
+    part, found, n = (keys >> np.uint64(60)).astype(np.uint8), [], 0
+    places = np.empty(len(keys), np.int32)
+    for k in range(16):
+        here = np.flatnonzero(part == k)
+        some, at = np.unique(keys[here], return_inverse=True)
+        places[here] = at + n
+        n += len(some)
+        found.append(some)
+    return np.concatenate(found), places
+
+
 BLOCK = "block bigint, ids binary, no_id binary, lengths binary, good binary, words binary, tokens binary"
 
 
@@ -81,8 +95,9 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids, no_id, lengths, good, hashes = map(np.concatenate, zip(*parts, strict=True))
-            words, tokens = np.unique(np.append(hashes, _START), return_inverse=True)
-            row = [pack(ids), pack(no_id), pack(lengths), pack(good), pack_sorted(words), pack(tokens[:-1].astype(np.uint32))]
+            parts.clear()
+            words, tokens = distinct(np.append(hashes, _START))
+            row = [pack(ids), pack(no_id), pack(lengths), pack(good), pack_sorted(words), pack(tokens[:-1].view(np.uint32))]
             return pa.RecordBatch.from_arrays([pa.array([serial], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
@@ -96,7 +111,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 held += len(hashes)
                 if held >= BLOCK_TOKENS:
                     yield flush()
-                    parts, held, serial = [], 0, serial + 1
+                    held, serial = 0, serial + 1
         if parts:
             yield flush()
 
@@ -108,7 +123,7 @@ class Block:
     """A row of ``blocks`` read back; ``word`` and ``ahead`` are places in ``words``, ``pair`` is one in ``pairs``."""
 
     def __init__(self, row: dict):
-        self.ids, self.no_id = unpack(row["ids"], np.int64), unpack(row["no_id"], bool)
+        self.block, self.ids, self.no_id = row["block"], unpack(row["ids"], np.int64), unpack(row["no_id"], bool)
         self.lengths, self.words = unpack(row["lengths"], np.int64), unpack_sorted(row["words"])
         self.word = unpack(row["tokens"], np.uint32).view(np.int32)
         self.good = np.repeat(unpack(row["good"], bool), self.lengths)
@@ -118,9 +133,11 @@ class Block:
         self.ahead[first] = np.searchsorted(self.words, _START)
 
     def read_pairs(self) -> None:
-        keys = bw.mix(self.words[self.word] + self.words[self.ahead] * np.uint64(0x9E3779B97F4A7C15))
-        self.pairs, pair = np.unique(keys, return_inverse=True)
-        self.pair = pair.astype(np.int32)
+        keys = np.empty(len(self.word), np.uint64)
+        for low in range(0, len(keys), SLICE_TOKENS):
+            some = slice(low, low + SLICE_TOKENS)
+            keys[some] = bw.mix(self.words[self.word[some]] + self.words[self.ahead[some]] * np.uint64(0x9E3779B97F4A7C15))
+        self.pairs, self.pair = distinct(keys)
 
     def asked(self, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
         """Sorted keys and the counts of this block: words, and words as the one before, or bigrams; background, then target."""
@@ -142,13 +159,13 @@ def requests(blocked: DataFrame, kind: str, bits: int) -> DataFrame:
         edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                keys, counts = Block(row).asked(kind)
+                block = batch.column("block")[i].as_py()
+                keys, counts = Block(batch.slice(i, 1).to_pylist()[0]).asked(kind)
                 bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 full = np.flatnonzero(np.diff(bounds))
                 for some in np.array_split(full, max(1, len(full) // 100)):
                     cuts = [slice(bounds[s], bounds[s + 1]) for s in some]
-                    columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["block"])), pa.array([pack_sorted(keys[c]) for c in cuts], pa.binary())]
+                    columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), pa.array([pack_sorted(keys[c]) for c in cuts], pa.binary())]
                     columns.append(pa.array([pack(np.concatenate([n[c] for n in counts]).astype(np.int64)) for c in cuts], pa.binary()))
                     yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "counts"])
 
@@ -187,13 +204,23 @@ def summed(asked: DataFrame) -> DataFrame:
     return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, SUMS)
 
 
+def _gathered(parts: list[bytes], n: int) -> np.ndarray:
+    """The counts of ``n`` kinds of all parts, which are given up one after another."""
+    out, at = np.empty((n, sum(map(len, parts)) // (8 * n)), np.int64), 0
+    parts.reverse()
+    while parts:
+        counts = unpack(parts.pop(), np.int64).reshape(n, -1)
+        out[:, at : at + counts.shape[1]] = counts
+        at += counts.shape[1]
+    return out
+
+
 def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals: tuple[int, int], vocabulary: int) -> DataFrame:
     """id, n_tokens, target_loss, background_loss, score; the answers come to their block."""
 
-    def score(row: dict, answers: dict[int, list[bytes]]) -> pa.RecordBatch:
-        block = Block(row)
+    def score(block: Block, answers: dict[int, list[bytes]]) -> pa.RecordBatch:
         block.read_pairs()
-        one_ahead, two = (np.concatenate([unpack(b, np.int64).reshape(n, -1) for b in answers[kind]] or [np.zeros((n, 0), np.int64)], axis=1) for kind, n in ((1, 4), (2, 2)))
+        one_ahead, two = _gathered(answers[1], 4), _gathered(answers[2], 2)
         if one_ahead.shape[1] != len(block.words) or two.shape[1] != len(block.pairs):
             raise ValueError("a block has not got the counts it asked for")
         n = block.lengths
@@ -215,19 +242,19 @@ def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals:
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, answers = None, {}
+        now, answers = None, {}
         for batch in batches:
             for i, (block, kind) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
                 if kind == 0:
-                    if row is not None:
-                        yield score(row, answers)
-                    row, answers = batch.slice(i, 1).to_pylist()[0], {1: [], 2: []}
-                elif row is None or row["block"] != block:
+                    if now is not None:
+                        yield score(now, answers)
+                    now, answers = Block(batch.slice(i, 1).to_pylist()[0]), {1: [], 2: []}
+                elif now is None or now.block != block:
                     raise ValueError("counts without their block")
                 else:
                     answers[kind].append(batch.column("sums")[i].as_py())
-        if row is not None:
-            yield score(row, answers)
+        if now is not None:
+            yield score(now, answers)
 
     rows = blocked.withColumns({"kind": F.lit(0), "shard": F.lit(-1)})
     for kind, found in ((1, words), (2, pairs)):
