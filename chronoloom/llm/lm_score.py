@@ -48,6 +48,8 @@ BLOCK_TOKENS = 1 << 21
 SLICE_TOKENS = 1 << 18
 #: Shards are ``1 << LEAST_BITS`` at least and as many as there are blocks.
 LEAST_BITS = 10
+#: Tasks that score at most, twice as many as there are blocks up to that; a task takes its blocks in turn.
+MOST_TASKS = 20_000
 _WORD = bw.byte_table(61, True)
 _START = np.uint64(0xA5B3C7D91E2F4861)
 
@@ -215,7 +217,7 @@ def _gathered(parts: list[bytes], n: int) -> np.ndarray:
     return out
 
 
-def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals: tuple[int, int], vocabulary: int) -> DataFrame:
+def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals: tuple[int, int], vocabulary: int, n_blocks: int) -> DataFrame:
     """id, n_tokens, target_loss, background_loss, score; the answers come to their block."""
 
     def score(block: Block, answers: dict[int, list[bytes]]) -> pa.RecordBatch:
@@ -259,7 +261,8 @@ def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals:
     rows = blocked.withColumns({"kind": F.lit(0), "shard": F.lit(-1)})
     for kind, found in ((1, words), (2, pairs)):
         rows = rows.unionByName(found.filter("block is not null").select("block", F.lit(kind).alias("kind"), "shard", "sums"), allowMissingColumns=True)
-    rows = rows.repartition("block").sortWithinPartitions("block", "kind", "shard")
+    # a number of one's own, as tasks merged by their bytes would sort several blocks with their answers at once
+    rows = rows.repartition(min(MOST_TASKS, 2 * n_blocks + 1), "block").sortWithinPartitions("block", "kind", "shard")
     return rows.mapInArrow(scan, "id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
@@ -272,11 +275,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     marks = target_ids.select(F.col("id").cast("bigint").alias("__target")).filter("__target is not null").distinct()
     marked = inner.join(hinted(stash(marks, "target")), F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("good"))
     blocked = stash(blocks(marked), "blocks")
-    bits = max(LEAST_BITS, blocked.count().bit_length())
+    n_blocks = blocked.count()
+    bits = max(LEAST_BITS, n_blocks.bit_length())
     small_batches(docs.sparkSession)
     words = stash(summed(requests(blocked, "words", bits)), "words")
     n_words, *totals = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "background", "target"))).first()
-    return score_blocks(blocked, words, summed(requests(blocked, "pairs", bits)), tuple(totals), max(n_words, 1) if vocabulary is None else vocabulary)
+    return score_blocks(blocked, words, summed(requests(blocked, "pairs", bits)), tuple(totals), max(n_words, 1) if vocabulary is None else vocabulary, n_blocks)
 
 
 def lm_score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
