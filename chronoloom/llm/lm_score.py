@@ -48,7 +48,7 @@ BLOCK_TOKENS = 1 << 21
 SLICE_TOKENS = 1 << 18
 #: Shards are ``1 << LEAST_BITS`` at least and as many as there are blocks.
 LEAST_BITS = 10
-#: Tasks that score at most, twice as many as there are blocks up to that; a task takes its blocks in turn.
+#: Tasks of a stage at most, twice as many as there are blocks up to that; a task takes its blocks or shards in turn.
 MOST_TASKS = 20_000
 _WORD = bw.byte_table(61, True)
 _START = np.uint64(0xA5B3C7D91E2F4861)
@@ -162,6 +162,7 @@ def requests(blocked: DataFrame, kind: str, bits: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 block = batch.column("block")[i].as_py()
+                pa.default_memory_pool().release_unused()  # a worker is kept, and with it what earlier blocks took
                 keys, counts = Block(batch.slice(i, 1).to_pylist()[0]).asked(kind)
                 bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 full = np.flatnonzero(np.diff(bounds))
@@ -174,7 +175,12 @@ def requests(blocked: DataFrame, kind: str, bits: int) -> DataFrame:
     return blocked.select(*(c.split()[0] for c in BLOCK.split(", "))).mapInArrow(scan, "shard int, block bigint, keys binary, counts binary")
 
 
-def summed(asked: DataFrame) -> DataFrame:
+def tasks_of(n_blocks: int) -> int:
+    """A number of one's own, as tasks merged by their bytes would sort many blocks' rows at once."""
+    return min(MOST_TASKS, 2 * n_blocks + 1)
+
+
+def summed(asked: DataFrame, n_blocks: int) -> DataFrame:
     """The sums of each shard, a row for each request, in its order; a row without a block has the shard's totals of the first two counts."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +209,7 @@ def summed(asked: DataFrame) -> DataFrame:
         if rows:
             yield answers(now, rows)
 
-    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, SUMS)
+    return asked.repartition(tasks_of(n_blocks), "shard").sortWithinPartitions("shard").mapInArrow(add, SUMS)
 
 
 def _gathered(parts: list[bytes], n: int) -> np.ndarray:
@@ -250,6 +256,7 @@ def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals:
                 if kind == 0:
                     if now is not None:
                         yield score(now, answers)
+                    pa.default_memory_pool().release_unused()
                     now, answers = Block(batch.slice(i, 1).to_pylist()[0]), {1: [], 2: []}
                 elif now is None or now.block != block:
                     raise ValueError("counts without their block")
@@ -261,8 +268,7 @@ def score_blocks(blocked: DataFrame, words: DataFrame, pairs: DataFrame, totals:
     rows = blocked.withColumns({"kind": F.lit(0), "shard": F.lit(-1)})
     for kind, found in ((1, words), (2, pairs)):
         rows = rows.unionByName(found.filter("block is not null").select("block", F.lit(kind).alias("kind"), "shard", "sums"), allowMissingColumns=True)
-    # a number of one's own, as tasks merged by their bytes would sort several blocks with their answers at once
-    rows = rows.repartition(min(MOST_TASKS, 2 * n_blocks + 1), "block").sortWithinPartitions("block", "kind", "shard")
+    rows = rows.repartition(tasks_of(n_blocks), "block").sortWithinPartitions("block", "kind", "shard")
     return rows.mapInArrow(scan, "id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
@@ -278,9 +284,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     n_blocks = blocked.count()
     bits = max(LEAST_BITS, n_blocks.bit_length())
     small_batches(docs.sparkSession)
-    words = stash(summed(requests(blocked, "words", bits)), "words")
+    words = stash(summed(requests(blocked, "words", bits), n_blocks), "words")
     n_words, *totals = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_keys", "background", "target"))).first()
-    return score_blocks(blocked, words, summed(requests(blocked, "pairs", bits)), tuple(totals), max(n_words, 1) if vocabulary is None else vocabulary, n_blocks)
+    return score_blocks(blocked, words, summed(requests(blocked, "pairs", bits), n_blocks), tuple(totals), max(n_words, 1) if vocabulary is None else vocabulary, n_blocks)
 
 
 def lm_score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
