@@ -5,11 +5,10 @@ until its points stand alone or a depth limit is reached. Odd documents are isol
 short paths, so 2 ** (-mean path / expected path) is near 1 for them. A document whose
 anomaly score is above a threshold is rejected; the threshold comes from labelled rows.
 
-What is fitted on a sample, as isolation forests are: the trees, on about
-``TREES * TREE_ROWS`` documents, and the threshold, on the documents of at most about
-``FIT_LABELS`` labelled ids, counted in a histogram; both are drawn by a hash of the id, so
-the draw does not depend on partitioning. All documents are scored, where they lie, once
-and without a shuffle.
+Only the trees are grown on a sample, as those of isolation forests are: about ``TREES * TREE_ROWS``
+documents, drawn by a hash of the id, so the draw does not depend on partitioning. The threshold
+comes from all labelled documents, counted in a histogram. All documents are scored where they lie,
+without a shuffle of texts.
 
 The threshold is the one with the fewest labelled bad rows kept plus ``GOOD_WEIGHT`` times the
 good rows rejected (the highest of equal ones), among those at which at most
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bytewise as bw
-from chronoloom.llm.common import rows_of, small_batches, stash
+from chronoloom.llm.common import BROADCAST_IDS, rows_of, small_batches, stash
 from chronoloom.llm.doc_stats import COUNTS, FEATURES, statistics
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -42,8 +41,6 @@ TREES, TREE_ROWS = 128, 256
 #: Labelled good rows that the forest may reject, as a share.
 FALSE_REJECTS, GOOD_WEIGHT = 0.002, 4
 BINS = 1000
-#: Labelled ids from which the threshold is learned, about; all if there are fewer.
-FIT_LABELS = 200_000
 #: The statistics that the rules speak of; length and repetition are left to the base rule, as good
 #: texts differ widely in them.
 RULE_FEATURES = [FEATURES.index(f) for f in ("word_length", "symbol_share", "upper_share", "mark_share", "bang_per_word", "distinct_share", "bar_per_word")]
@@ -132,12 +129,9 @@ def fit_forest(docs: DataFrame, trees: int = TREES, rows: int = TREE_ROWS) -> Is
     return IsolationForest.fit(np.array(sample).reshape(-1, len(RULE_FEATURES)), trees, rows)
 
 
-def named_labels(labels: DataFrame, fit_labels: int = FIT_LABELS) -> DataFrame:
-    """(id, quality) of about ``fit_labels`` ids, by a hash of the id; of several labels of one id the largest."""
+def named_labels(labels: DataFrame) -> DataFrame:
+    """(id, quality) of all labelled ids; of several labels of one id the largest."""
     named = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("quality")).filter("id is not null and quality is not null")
-    share = min(1.0, fit_labels / max(named.count(), 1))
-    if share < 1:
-        named = named.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     return named.groupBy("id").agg(F.max("quality").alias("quality"))
 
 
@@ -171,8 +165,10 @@ def _forest(inner: DataFrame):
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without rejected rows, in place: texts are not joined, columns as they were."""
     inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    forest, named = _forest(inner), named_labels(labels)
-    threshold = fit_threshold(_rows(rows_of(inner, named), forest), named)  # labelled documents alone are scored twice
+    forest, named = _forest(inner), stash(named_labels(labels), "named")
+    # labelled documents alone are scored twice, or all if the labelled are too many to be told without a shuffle of texts
+    labelled = rows_of(inner, named) if named.count() <= BROADCAST_IDS else inner
+    threshold = fit_threshold(_rows(labelled, forest).select("id", "base_failed", "score"), named)
     small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

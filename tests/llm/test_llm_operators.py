@@ -551,6 +551,14 @@ def test_isolation_forest_isolates():
     assert np.allclose(forest.expected_path(np.array([1, 2, 256])), [0, 1, 10.24477], atol=0.01)
 
 
+def test_threshold_takes_all_labels(spark, docs, monkeypatch):
+    many = spark.range(250_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_rules.named_labels(many).count() == 250_000
+    few = sorted(r[0] or -1 for r in quality_rules.keep_good(docs, labels_of(docs)).select("doc_id").collect())
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    assert sorted(r[0] or -1 for r in quality_rules.keep_good(docs, labels_of(docs)).select("doc_id").collect()) == few
+
+
 def test_rules_keep_good_documents(spark, sf_dir):
     got = queries.op6_quality_rules(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     good = got.filter("quality = 1 and not base_failed")
