@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+import numpy as np
 import pytest
 
 from chronoloom.plans import feature_queries as fq
@@ -18,7 +19,7 @@ TIES = [
 
 def events_of(spark, folder, series):
     start = datetime.datetime(2024, 1, 1)
-    rows = [(100 * u + i, start + datetime.timedelta(minutes=i), u, "view", float(v), "{}") for u, values in enumerate(series) for i, v in enumerate(values)]
+    rows = [(1000 * u + i, start + datetime.timedelta(minutes=i), u, "view", float(v), "{}") for u, values in enumerate(series) for i, v in enumerate(values)]
     spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
     db = duckdb.connect()
     db.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
@@ -30,3 +31,20 @@ def test_report_on_ties_equals_sql(spark, tmp_path, name):
     folder, db = events_of(spark, tmp_path, TIES)
     got = sorted(tuple(r) for r in fq.QUERIES[name](spark, folder).collect())
     assert got == sorted(db.sql(fq.ORACLE_SQL[name]).fetchall())
+
+
+def stepped():
+    """Levels that change, noise, a short series and an even one, of two decimals; means of segments on ties too."""
+    rng = np.random.default_rng(8)
+    level = lambda *at, n=20: np.round(np.repeat(at, n) + rng.normal(0, 0.3, n * len(at)), 2)
+    many = [level(*rng.integers(0, 40, rng.integers(2, 9)), n=int(rng.integers(6, 21))) for _ in range(30)]
+    tie = np.round(level(0.0, 9.0, n=40) * 0.1, 2)
+    return [*many, level(3.0, 9.0, 4.0), tie, level(1.0, n=61), np.ones(12), level(2.0, n=9), level(5.0, 50.0, n=8)]
+
+
+def test_dynamics_report_has_change_points_as_its_sql(spark, tmp_path):
+    folder, db = events_of(spark, tmp_path, [x.tolist() for x in stepped()])
+    got = dict(tuple(r) for r in fq.QUERIES["d20_dynamics_report"](spark, folder).collect())
+    assert got == dict(db.sql(fq.ORACLE_SQL["d20_dynamics_report"]).fetchall())
+    assert "Changepoint Count: 2.0" in got["30"] and sum("Changepoint Count: 0.0" not in r for r in got.values()) > 20
+    assert all(len(r.split("\n")) == 9 for r in got.values())
